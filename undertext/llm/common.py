@@ -59,8 +59,7 @@ def stored(df: DataFrame, folder: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def rows_of(df: DataFrame) -> int:
-    return df.count()
+
 
 
 def broadcast_if_small(df: DataFrame, rows: int, bound: int) -> DataFrame:

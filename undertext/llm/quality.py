@@ -1,8 +1,8 @@
 """Quality rules whose cutoffs carry a guarantee about the good documents that they reject.
 
 Every rule is a metric in whole ten-thousandths and a side (too high, too low). Labelled good documents are the
-holdout. For each stratum (language) and rule, the cutoff is the order statistic of the holdout that leaves k
-good documents beyond it, where k is the largest count with P(Binomial(n, a) <= k) <= d. Then, with confidence
+holdout. For each stratum (language) and rule, a cutoff is valid if it leaves at most k good documents
+beyond it, where k is the largest count with P(Binomial(n, a) <= k) <= d. Then, with confidence
 1 - d, at most a share a of the stratum's good documents is rejected. a is the total risk divided among the
 rules, and d is Bonferroni's share of the total error over all strata and rules. Strata with too few labels for
 any k get no cutoff and reject nothing.
@@ -27,10 +27,14 @@ TOP = 1_000_000
 
 @dataclass(frozen=True)
 class Risk:
-    """At most `rejection` of a stratum's good documents go, with confidence 1 - `error` for all strata and rules."""
+    """At most `rejection` of a stratum's good documents go, with confidence 1 - `error` for all strata and rules.
 
-    rejection: float = 0.01
+    price: how many times a good document's loss outweighs catching a bad one, among cutoffs that hold the bound.
+    """
+
+    rejection: float = 0.05
     error: float = 0.05
+    price: float = 20.0
 
 
 #: Name, metric over the base columns, and whether large values are the bad ones.
@@ -121,17 +125,31 @@ def allowed(strata: DataFrame, risk: Risk) -> DataFrame:
 
 
 def cutoffs(rows: DataFrame, labels: DataFrame, risk: Risk) -> DataFrame:
-    """(stratum, rule, cutoff) from the judged rows that labels call good and the base rules pass."""
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct()
-    held = rows.where("not base_failed").join(good, F.col("doc_id") == F.col("good_id"), "left_semi")
+    """(stratum, rule, cutoff) from the judged rows that have a label and that the base rules pass.
+
+    Every cutoff with at most k good documents beyond it keeps the guarantee, so the best of them may be chosen by
+    the same labels: the one with the greatest share of bad documents beyond it less `price` times the share of good
+    ones, the mildest of equals. A rule that gains nothing gets no cutoff. Labels that contradict each other count
+    as bad.
+    """
+    named = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("named_id")).agg(F.min("quality").alias("quality"))
+    held = rows.where("not base_failed").join(named, F.col("doc_id") == F.col("named_id"))
     ladder = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), (F.col(f"m_{n}") if up else -F.col(f"m_{n}")).alias("v")) for n, _, up in RULES]))
-    values = held.select("stratum", ladder.alias("r")).groupBy("stratum", "r.rule", "r.v").agg(F.count(F.lit(1)).alias("c"))
-    strata = values.where(F.col("rule") == RULES[0][0]).groupBy("stratum").agg(F.sum("c").alias("n"))
-    k = allowed(strata, risk)
-    beyond = Window.partitionBy("stratum", "rule").orderBy(F.desc("v"))
-    ranked = values.withColumn("above", F.sum("c").over(beyond) - F.col("c"))
-    # the least value with at most k good documents strictly above it
-    return ranked.join(F.broadcast(k), "stratum").where("above <= k").groupBy("stratum", "rule").agg(F.min("v").alias("cutoff"))
+    good = F.count_if(F.col("quality") == 1)
+    values = held.select("stratum", "quality", ladder.alias("r")).groupBy("stratum", "r.rule", "r.v").agg(good.alias("good"), (F.count(F.lit(1)) - good).alias("bad"))
+    strata = values.where(F.col("rule") == RULES[0][0]).groupBy("stratum").agg(F.sum("good").alias("n"))
+    all_of, beyond = Window.partitionBy("stratum", "rule"), Window.partitionBy("stratum", "rule").orderBy(F.desc("v"))
+    ranked = values.select(
+        "stratum",
+        "rule",
+        "v",
+        (F.sum("good").over(beyond) - F.col("good")).alias("good_above"),
+        F.try_divide(F.sum("bad").over(beyond) - F.col("bad"), F.sum("bad").over(all_of)).alias("caught"),
+        F.try_divide(F.sum("good").over(beyond) - F.col("good"), F.sum("good").over(all_of)).alias("lost"),
+    )
+    gain = F.coalesce(F.col("caught"), F.lit(0.0)) - F.col("lost") * risk.price
+    valid = ranked.join(F.broadcast(allowed(strata, risk)), "stratum").where("good_above <= k").withColumn("gain", gain)
+    return valid.where("gain > 0").groupBy("stratum", "rule").agg(F.max_by("v", F.struct("gain", "v")).alias("cutoff"))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, *keep: str, risk: Risk = Risk()) -> DataFrame:
