@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from undertext.llm import quality
+from undertext.llm import mixing, quality
 
 QUERIES = {
+    "op1_mix_sources": mixing.op1_mix_sources,
     "op7_quality_rules": quality.op7_quality_rules,
 }
 
