@@ -24,3 +24,17 @@ def quality(text):
         "n_repeat_words": len(hit),
         "base_failed": n < 50 or 100 * len(hit) > 50 * n,
     }
+
+
+def token_store(rows, tokenizer, end_id=2):
+    """rows: (doc_id, text), in order of doc_id."""
+    import zlib
+
+    import numpy as np
+
+    start, out = 0, []
+    for doc_id, text in rows:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [end_id]
+        out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        start += len(ids)
+    return out

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from undertext.llm import mixing, quality
+from undertext.llm import mixing, quality, tokenstore
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op10_token_store": tokenstore.op10_token_store,
 }
 
 SQL: dict[str, str] = {}
