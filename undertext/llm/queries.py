@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from undertext.llm import mixing, quality, tokenstore
+from undertext.llm import mixing, quality, tokenstore, urls, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_url_filters": urls.op8_url_filters,
+    "op9_warc_archive": warc.op9_warc_archive,
     "op10_token_store": tokenstore.op10_token_store,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_url_filters": urls.SQL,
+    "op9_warc_archive": warc.SQL,
+}
