@@ -38,3 +38,53 @@ def token_store(rows, tokenizer, end_id=2):
         out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
         start += len(ids)
     return out
+
+
+def decontaminate(docs, items, span=10):
+    """docs and items: dicts of id to text. Returns id to (n_words, n_hit, sorted item ids as strings)."""
+    windows = collections.defaultdict(set)
+    for item, text in items.items():
+        w = TERM.findall((text or "").translate(FOLD))
+        if w:
+            for i in range(max(1, len(w) - span + 1)):
+                windows[tuple(w[i : i + span])].add(str(item))
+    sizes = sorted({len(w) for w in windows})
+    out = {}
+    for doc, text in docs.items():
+        w = TERM.findall((text or "").translate(FOLD))
+        hit, found = set(), set()
+        for size in sizes:
+            for i in range(len(w) - size + 1):
+                if (t := tuple(w[i : i + size])) in windows:
+                    hit.update(range(i, i + size))
+                    found |= windows[t]
+        out[doc] = (len(w), len(hit), sorted(found))
+    return out
+
+
+def jaccard(docs, n=3, num=90, den=100):
+    """docs: list of (id, text). Returns (id, set size, component's least id)."""
+    sets = []
+    for _, text in docs:
+        w = WORD.findall((text or "").translate(FOLD))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set()))
+    parent = list(range(len(docs)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    lists = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in s:
+            lists[g].append(i)
+    for i, s in enumerate(sets):
+        shared = collections.Counter(j for g in s for j in lists[g] if j < i)
+        for j, c in shared.items():
+            if den * c >= num * (len(s) + len(sets[j]) - c):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(docs):
+        least[find(i)] = min(least.get(find(i), doc), doc)
+    return [(doc, len(sets[i]), least[find(i)] if sets[i] else doc) for i, (doc, _) in enumerate(docs)]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from undertext.llm import decontam, jaccard, mixing, quality, tokencount, tokenstore, urls, warc
+from undertext.llm import decontam, jaccard, licenses, lm, mixing, quality, tokencount, tokenstore, urls, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_decontaminate": decontam.op2_decontaminate,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_token_counts": tokencount.op4_token_counts,
     "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
+    "op6_lm_scoring": lm.op6_lm_scoring,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_url_filters": urls.op8_url_filters,
     "op9_warc_archive": warc.op9_warc_archive,
