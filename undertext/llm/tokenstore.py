@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from undertext.llm.common import shared_folder, table
 
-WINDOW, MASK, LEAST, MOST = 8, 1023, 128, 8192
+WINDOW, MASK, LEAST, MOST = 4, 1023, 128, 8192
 DOCS_A_PART = 100_000
 PIECES = "kind string, key binary, doc_id bigint, n_tokens bigint, root binary, chunks array<binary>, width int, body binary"
 
-_gear = np.random.default_rng(20).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
+_gear = np.random.default_rng(20).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -37,9 +37,9 @@ def cuts(ids: np.ndarray) -> list[int]:
     mixed = _gear[ids & 0xFFFF]
     rolling = mixed.copy()
     for k in range(1, min(WINDOW, len(ids))):
-        rolling[k:] += mixed[:-k] << np.uint64(k)
+        rolling[k:] += mixed[:-k] << np.uint32(k)
     found, last = [], 0
-    for end in (np.flatnonzero((rolling >> np.uint64(20)) & np.uint64(MASK) == 0) + 1).tolist() + [len(ids)]:
+    for end in (np.flatnonzero((rolling >> np.uint32(20)) & np.uint32(MASK) == 0) + 1).tolist() + [len(ids)]:
         while end - last > MOST:
             last += MOST
             found.append(last)
@@ -170,12 +170,12 @@ def check_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def check_recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for doc_id, root, start, n_tokens, parts in zip(*[batch[c].to_pylist() for c in ("doc_id", "root", "start", "n_tokens", "parts")]):
-            if any(p["n"] is None for p in parts) or sum(p["n"] for p in parts) != n_tokens or merkle([p["digest"] for p in parts]) != root:
+        for doc_id, root, start, n_tokens, digests, crcs, sizes in zip(*[batch[c].to_pylist() for c in ("doc_id", "root", "start", "n_tokens", "digests", "crcs", "sizes")]):
+            if None in sizes or sum(sizes) != n_tokens or merkle(digests) != root:
                 raise ValueError(f"the recipe of document {doc_id} does not hold")
-            crc = parts[0]["crc"]
-            for p in parts[1:]:
-                crc = crc_of_joined(crc, p["crc"], 4 * p["n"])
+            crc = crcs[0]
+            for other, size in zip(crcs[1:], sizes[1:]):
+                crc = crc_of_joined(crc, other, 4 * size)
             out.append((doc_id, start, n_tokens, crc))
         columns = list(zip(*out)) or [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
@@ -188,7 +188,8 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     listed = recipes.select("doc_id", "root", "key", "start", "n_tokens", F.posexplode("chunks").alias("i", "digest"))
     met = listed.join(checked, "digest", "left").groupBy("doc_id", "root", "key", "start", "n_tokens")
     parts = met.agg(F.array_sort(F.collect_list(F.struct("i", "digest", "crc", "n"))).alias("parts"))
-    return parts.drop("key").mapInArrow(check_recipes, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    flat = parts.select("doc_id", "root", "start", "n_tokens", *[F.col(f"parts.{c}").alias(a) for c, a in (("digest", "digests"), ("crc", "crcs"), ("n", "sizes"))])
+    return flat.mapInArrow(check_recipes, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
