@@ -6,7 +6,9 @@ import __spark_entry__ as entry
 from undertext.functions.lexicon import INVISIBLE
 from undertext.functions.text import decoded, is_adversarial, lines
 from undertext.operators import run_layers, text_layers
-from undertext.plans.queries import QUERIES, SQL
+from undertext.plans import pages, queries
+
+QUERIES, SQL = queries.QUERIES | pages.QUERIES, queries.SQL | pages.SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -29,6 +29,20 @@ PHRASES = (
     r"override\s+(the\s+)?system\s+prompt",
 )
 
+# The same phrases in letters alone.
+COLLAPSED = (
+    r"ignore(all)?previousinstructions?",
+    r"disregard(all)?(previous|prior)instructions?",
+    r"donotfollow(your)?(previous|prior|original)instructions?",
+    r"forget(all)?previousinstructions?",
+    r"youarenowadifferent(ai|assistant|model)",
+    r"actasa?(dan|jailbreak)",
+    r"danmode",
+    r"jailbreakmode",
+    r"systempromptoverride",
+    r"override(the)?systemprompt",
+)
+
 # Code points that show nothing or turn the reading direction.
 INVISIBLE = "​‌﻿‍⁠‎‏⠀‪‫‬‭‮⁦⁧⁨⁩"
 # White space and line ends.

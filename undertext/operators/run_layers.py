@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertext.functions.text import is_adversarial
+from undertext.functions.lexicon import dialect
+from undertext.functions.text import is_adversarial, trimmed
 
 
 def from_white(r, g, b):
@@ -31,11 +32,42 @@ def off_slide(shapes: DataFrame) -> DataFrame:
     return shapes.where(away).where(is_adversarial(F.col("text")))
 
 
-def span_lines(spans: DataFrame, keep) -> DataFrame:
-    """Lines whose kept spans read as instructions: (doc_id, page_no, line_key, phrase, x0, y0, x1, y1, min_size)."""
+def span_lines(spans: DataFrame, keep, *extra) -> DataFrame:
+    """(doc_id, page_no, line_key, phrase, x0, y0, x1, y1, extra aggregates) of lines whose kept spans read as instructions.
+
+    The phrase is the spans' text as it stands, or failing that their trimmed texts with spaces between.
+    """
     key = F.floor(F.floor(F.col("y0") + F.col("size") * 0.2 + 0.5) + 0.5).cast("long")
+    ordered = F.array_sort(F.collect_list(F.struct("op_index", "text")))
     by_line = spans.withColumn("line_key", key).where(keep).groupBy("doc_id", "page_no", "line_key").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("op_index", "text"))), lambda x: F.trim(x.getField("text"))), " ").alias("phrase"),
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.min("size").alias("min_size"),
+        ordered.alias("s"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), *extra
     )
-    return by_line.where(is_adversarial(F.col("phrase")))
+    direct = trimmed(F.array_join(F.transform("s", lambda x: x.getField("text")), ""))
+    spaced = F.array_join(F.filter(F.transform("s", lambda x: trimmed(x.getField("text"))), lambda t: t != ""), " ")
+    both = by_line.withColumn("direct", direct).withColumn("spaced", spaced)
+    phrase = F.when(is_adversarial(F.col("direct")), F.col("direct")).when(is_adversarial(F.col("spaced")), F.col("spaced"))
+    return both.withColumn("phrase", phrase).where("phrase is not null").drop("s", "direct", "spaced")
+
+
+def off_page(width: float, height: float):
+    """Spans that do not touch the page."""
+    return (F.col("x1") <= 0) | (F.col("y1") <= 0) | (F.col("x0") >= width) | (F.col("y0") >= height)
+
+
+def buried(spans: DataFrame, covers: DataFrame) -> DataFrame:
+    """Spans half of whose area a later object of the page covers."""
+    c = covers.select(F.col("doc_id").alias("d"), F.col("page_no").alias("p"), F.col("op_index").alias("op"), *[F.col(k).alias(f"c{k}") for k in ("x0", "y0", "x1", "y1")])
+    wide = F.least("x1", "cx1") - F.greatest("x0", "cx0")
+    tall = F.least("y1", "cy1") - F.greatest("y0", "cy0")
+    half = (wide > 0) & (tall > 0) & (wide * tall >= 0.5 * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    return spans.join(c, (F.col("doc_id") == F.col("d")) & (F.col("page_no") == F.col("p")) & (F.col("op") > F.col("op_index")) & half, "left_semi")
+
+
+def note_threats(notes: DataFrame, phrases, collapsed) -> DataFrame:
+    """One finding a slide at most: a phrase as written, a phrase in letters alone, or instruction wording."""
+    letters = F.regexp_replace("notes", "[^a-zA-Z]", "")
+    first = lambda text, pool, spark: [F.when(text.rlike(spark(p)), F.struct(F.lit(kind).alias("scan"), F.lit(p).alias("pattern"))) for kind, p in pool]
+    raw = first(F.col("notes"), [("raw", p) for p in phrases], lambda p: dialect(p, True))
+    flat = first(letters, [("collapsed", p) for p in collapsed], lambda p: f"(?i){p}")
+    word = F.when(is_adversarial(F.col("notes")), F.struct(F.lit("keywords").alias("scan"), F.lit(None).cast("string").alias("pattern")))
+    return notes.withColumn("t", F.coalesce(*raw, *flat, word)).where("t is not null").select("doc_id", "slide_no", "t.scan", "t.pattern")

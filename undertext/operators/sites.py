@@ -1,0 +1,40 @@
+"""Site tables: host names, defaults and differences."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from undertext.functions.text import trimmed
+
+HOST = r"^([a-z0-9]([a-z0-9\-]{0,61}[a-z0-9])?\.)+[a-z]{2,}$"
+
+
+def normal_host(text: Column) -> Column:
+    """The bare lower-case host of a host or url, null where it is not one."""
+    raw = F.lower(trimmed(text))
+    host = F.when(raw.contains("://"), F.regexp_extract(raw, r"://(?:[^/?#@]*@)?([^/?#:]*)", 1)).otherwise(raw)
+    bare = F.regexp_replace(F.regexp_replace(host, r"^www\.", ""), r"/.*$", "")
+    return F.when(bare.rlike(HOST) & (F.length(bare) <= 253), bare)
+
+
+def active(hosts: DataFrame, enabled: DataFrame, paused: bool = False) -> DataFrame:
+    """hosts with active: on unless the host's row in enabled (host, on) says no, and never while paused."""
+    setting = enabled.select(F.col("host").alias("h"), "on")
+    return hosts.join(setting, F.col("host") == F.col("h"), "left").select("host", (F.coalesce("on", F.lit(True)) & F.lit(not paused)).alias("active"))
+
+
+def unlisted(candidates: DataFrame, *lists: DataFrame) -> DataFrame:
+    """Distinct candidate hosts in none of the lists."""
+    out = candidates.where("host is not null").select("host").distinct()
+    for known in lists:
+        out = out.join(known.select("host"), "host", "left_anti")
+    return out
+
+
+def file_type(name: Column) -> Column:
+    low = F.lower(name)
+    out = F.lit("txt")
+    for ext in ("md", "pdf", "docx", "pptx"):
+        out = F.when(low.endswith(f".{ext}"), ext).otherwise(out)
+    return out
