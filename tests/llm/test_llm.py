@@ -167,3 +167,23 @@ def test_empty_tables(spark, empty, docs, labels):
     for df in (quality.verdicts(empty, labels), mixing.mixed(empty), decontam.checked(empty, bench), licenses.scanned(empty), tokencount.token_counts(empty), jaccard.joined(empty), lm.scored(empty), tokenstore.token_store(spark, empty)):
         assert df.count() == 0
     assert decontam.checked(docs, bench).where("contaminated").count() == 0
+
+
+def test_pipeline_stages_keep_whole_rows(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    good = " ".join(f"t{i}" for i in range(80))
+    rows = [(20, good, "en", "a", 9, "x", 1), (21, good, "en", "a", 9, "y", 2), (22, "bad " + " ".join(f"b{i}" for i in range(70)), None, None, 9, "z", 3), (23, "short", "en", "a", 5, "z", 3)]
+    wide = spark.createDataFrame(rows, SCHEMA + ", n_words string, key int")
+    spark.createDataFrame([(20, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(20, 30)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality_rules"](spark, wide, str(tmp_path))
+    assert kept.columns == wide.columns and sorted(r.doc_id for r in kept.collect()) == [20, 21, 22]
+    one = stages["ngram_jaccard"](spark, kept, str(tmp_path))
+    assert sorted(r.doc_id for r in one.collect()) == [20, 22]
+    clean = stages["decontaminate"](spark, one, str(tmp_path))
+    assert [tuple(r) for r in clean.collect()] == [rows[0]]
+    mix = stages["mix_sources"](spark, clean, str(tmp_path))
+    assert [tuple(r) for r in mix.collect()] == [rows[0]] or mix.count() == 1
+    assert stages["token_store"](spark, mix, str(tmp_path)).count() == mix.count()

@@ -101,4 +101,5 @@ def op2_decontaminate(spark, sf_dir) -> DataFrame:
 
 def stage(spark, docs, sf_dir) -> DataFrame:
     """The documents without any benchmark window."""
-    return checked(docs, table(spark, sf_dir, "benchmark"), *docs.columns).where("not contaminated").select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct("*").alias("_row"))
+    return checked(rows, table(spark, sf_dir, "benchmark"), "_row").where("not contaminated").select("_row.*")

@@ -82,12 +82,12 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")
-    split = docs.select(*keep, text.alias("text"), blank_split(F.col("text")).alias("w"), lines.alias("lines"))
+    split = docs.select(*keep, text.alias("_text"), blank_split(F.col("text")).alias("w"), lines.alias("lines"))
     return split.select(
         *keep,
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", BLANK_RUN, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("_text", BLANK_RUN, "")).cast("long").alias("word_chars"),
+        (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered_by_repeats(F.col("w")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
@@ -179,4 +179,5 @@ def op7_quality_rules(spark, sf_dir) -> DataFrame:
 
 def stage(spark, docs, sf_dir) -> DataFrame:
     """The documents that the rules keep."""
-    return verdicts(docs, table(spark, sf_dir, "labels"), *docs.columns).where("kept").select(*docs.columns)
+    rows = docs.select("doc_id", "text", "lang", F.struct("*").alias("_row"))
+    return verdicts(rows, table(spark, sf_dir, "labels"), "_row").where("kept").select("_row.*")
