@@ -6,7 +6,7 @@ so of d + 1 fragments they share at least one whole segment: segments, not n-gra
 link is lost. Partial overlaps of a candidate pair are counted in each of the coarse fragments apart and summed.
 
 Equal sets are one node from the start, whatever the number of copies. Among nodes that share a segment, each is
-first held against two drawn members of its bucket; components merge, and only members of different components are
+first held against a few drawn members of its bucket; components merge, and only members of different components are
 then held against each other, the smaller components against the rest, so a large group of near copies never forms
 all its pairs. Sets whose segment is empty share a bucket by class and fragment; with five or more n-grams to a
 segment those are rare.
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from undertext.llm.common import shared_folder, stored, table
 
 COARSE = 8
+#: Rounds of held-against-one-member; only the work of the last, exhaustive round depends on it.
+STARS = 5
 REMEMBERED = 500_000
 _known: dict[bytes, int] = {}
 
@@ -153,18 +155,28 @@ def similar(docs: DataFrame, n: int, num: int, den: int, *keep: str) -> tuple[Da
     cut = texts.join(owners, "doc_id", "left_semi").mapInArrow(segmenting(n), "node bigint, n bigint, segments array<array<bigint>>")
     sets = stored(cut.dropDuplicates(["node"]), f"{folder}/sets")
 
+    facts = sets.select("node", "n", F.transform("segments", lambda x: F.size(x)).alias("sizes"))
+    shared = stored(shared.join(facts, "node"), f"{folder}/sized")
+
+    def close(n_a, n_b, sizes_a, sizes_b):
+        """What sets that link must meet: sizes, and sizes by fragment, that differ by no more n-grams than may."""
+        apart = F.aggregate(F.zip_with(sizes_a, sizes_b, lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+        return (n_a * den >= n_b * num) & (n_b * den >= n_a * num) & (apart * (den + num) <= (n_a + n_b) * (den - num))
+
     links, comps = None, spark.createDataFrame([], "node bigint, comp bigint")
-    for step in ("star0", "star1", "rest"):
-        named = shared.join(comps, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-        mixed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(step))).alias("rep")).where("lo < hi")
+    for step in (*[f"star{i}" for i in range(STARS)], "rest"):
+        named = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        one = F.struct("node", "comp", "n", "sizes")
+        mixed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(one, F.xxhash64("node", F.lit(step))).alias("rep")).where("lo < hi")
         if step != "rest":
-            met = named.join(mixed.select("sig", "rep"), "sig").where(F.col("comp") != F.col("rep.comp"))
+            met = named.join(mixed.select("sig", "rep"), "sig").where((F.col("comp") != F.col("rep.comp")) & close(F.col("n"), F.col("rep.n"), F.col("sizes"), F.col("rep.sizes")))
             pairs = met.select(F.least("node", "rep.node").alias("a"), F.greatest("node", "rep.node").alias("b"))
         else:
             sizes = named.join(mixed.select("sig"), "sig", "left_semi").groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
             major = sizes.groupBy("sig").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"))
-            minors = named.join(major, "sig").where("comp <> major").select("sig", F.col("node").alias("x"), F.col("comp").alias("cx"))
-            met = minors.join(named, "sig").where((F.col("cx") != F.col("comp")))
+            minors = named.join(major, "sig").where("comp <> major").select(F.col("sig").alias("xs"), F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("sizes").alias("sx"))
+            may = (F.col("xs") == F.col("sig")) & (F.col("cx") != F.col("comp")) & close(F.col("nx"), F.col("n"), F.col("sx"), F.col("sizes"))
+            met = minors.join(named, may)
             pairs = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
         found = stored(linked(pairs, sets, num, den), f"{folder}/links-{step}")
         links = found if links is None else links.union(found)
