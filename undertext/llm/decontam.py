@@ -48,16 +48,19 @@ def occurrences(docs: DataFrame, items: DataFrame, span: int, folder: str) -> Da
     ranked = listed.join(broadcast_if_small(counts, n_terms, SMALL), "term", "left").groupBy("wid").agg(
         F.min(F.coalesce("c", F.lit(0))).alias("least"), F.min_by(F.struct("term", "offset"), F.struct(F.coalesce("c", F.lit(0)), "offset")).alias("r")
     )
-    rarest = stored(ranked.where("least > 0").join(asked, "wid").select("r.term", "r.offset", F.col("terms"), "items"), f"{folder}/rarest")
-    starts = postings.join(broadcast_if_small(rarest.select("term", "offset", "terms"), n_asked, SMALL), "term").where("pos >= offset")
-    by_doc = starts.groupBy("key").agg(F.collect_list(F.struct((F.col("pos") - F.col("offset")).alias("start"), "terms")).alias("c"))
+    rarest = ranked.where("least > 0").join(asked, "wid").select(F.xxhash64("wid").alias("w"), "r.term", "r.offset", "terms", "items")
+    rarest = stored(rarest, f"{folder}/rarest")
+    # a start travels with its window's number; the window's words meet it again beside the document's
+    starts = postings.join(broadcast_if_small(rarest.select("w", "term", "offset"), n_asked, SMALL), "term").where("pos >= offset")
+    by_doc = starts.groupBy("key").agg(F.collect_list(F.struct((F.col("pos") - F.col("offset")).alias("start"), "w")).alias("c"))
     words = keyed(docs, "text").join(by_doc.withColumnRenamed("key", "k"), F.col("key").eqNullSafe(F.col("k")), "inner").dropDuplicates(["key"])
 
-    def hold(w):
-        return F.filter("c", lambda x: F.slice(w, x.getField("start") + 1, F.size(x.getField("terms"))) == x.getField("terms"))
+    def seen(w):
+        return F.transform("c", lambda x: F.struct(x.getField("start").alias("start"), x.getField("w").alias("w"), F.slice(w, x.getField("start") + 1, F.lit(span)).alias("seen")))
 
-    hits = words.select("key", F.explode(let(gap_split(F.col("text")), hold)).alias("m")).select("key", "m.start", "m.terms")
-    return hits.join(broadcast_if_small(rarest.select("terms", "items"), n_asked, SMALL), "terms").select("key", "start", F.size("terms").alias("size"), "items")
+    near_by = words.select("key", F.explode(let(gap_split(F.col("text")), seen)).alias("m")).select("key", "m.start", "m.w", "m.seen")
+    told = near_by.join(broadcast_if_small(rarest.select("w", "terms", "items"), n_asked, SMALL), "w")
+    return told.where(F.slice("seen", F.lit(1), F.size("terms")) == F.col("terms")).select("key", "start", F.size("terms").alias("size"), "items")
 
 
 def near(postings: DataFrame, terms: list[str], within: int) -> DataFrame:
