@@ -39,8 +39,7 @@ def blank_split(text: Column) -> Column:
 
 def gap_split(text: Column) -> Column:
     """Lower-cased words between ASCII characters that are neither letters nor digits; null text has none."""
-    spaced = F.btrim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), GAP_RUN, " "))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), GAP_RUN), "")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -59,9 +58,6 @@ def stored(df: DataFrame, folder: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-
-
-
 def broadcast_if_small(df: DataFrame, rows: int, bound: int) -> DataFrame:
     """df marked for broadcast where its counted rows are within the bound; else Spark shuffles the join."""
     return F.broadcast(df) if rows <= bound else df

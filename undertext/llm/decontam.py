@@ -37,9 +37,8 @@ def windows(items: DataFrame, span: int) -> DataFrame:
     return cut.groupBy("terms").agg(F.collect_set(F.col("item_id").cast("string")).alias("items")).select(F.sha2(F.array_join("terms", " "), 256).alias("wid"), "terms", "items")
 
 
-def occurrences(docs: DataFrame, items: DataFrame, span: int, folder: str) -> DataFrame:
-    """(key, start, size, items) of every occurrence of a window in a document."""
-    postings = index(docs, folder)
+def occurrences(docs: DataFrame, postings: DataFrame, items: DataFrame, span: int, folder: str) -> DataFrame:
+    """(key, start, size, items) of every occurrence of a window in a document of the index."""
     asked = stored(windows(items, span), f"{folder}/windows")
     listed = asked.select("wid", F.posexplode("terms").alias("offset", "term"))
     n_terms, n_asked = listed.select("term").distinct().count(), asked.count()
@@ -48,19 +47,21 @@ def occurrences(docs: DataFrame, items: DataFrame, span: int, folder: str) -> Da
     ranked = listed.join(broadcast_if_small(counts, n_terms, SMALL), "term", "left").groupBy("wid").agg(
         F.min(F.coalesce("c", F.lit(0))).alias("least"), F.min_by(F.struct("term", "offset"), F.struct(F.coalesce("c", F.lit(0)), "offset")).alias("r")
     )
-    rarest = ranked.where("least > 0").join(asked, "wid").select(F.xxhash64("wid").alias("w"), "r.term", "r.offset", "terms", "items")
+    rarest = ranked.where("least > 0").join(asked, "wid").select(F.xxhash64("terms").alias("w"), F.size("terms").cast("tinyint").alias("size"), "r.term", "r.offset", "terms", "items")
     rarest = stored(rarest, f"{folder}/rarest")
-    # a start travels with its window's number; the window's words meet it again beside the document's
-    starts = postings.join(broadcast_if_small(rarest.select("w", "term", "offset"), n_asked, SMALL), "term").where("pos >= offset")
-    by_doc = starts.groupBy("key").agg(F.collect_list(F.struct((F.col("pos") - F.col("offset")).alias("start"), "w")).alias("c"))
-    words = keyed(docs, "text").join(by_doc.withColumnRenamed("key", "k"), F.col("key").eqNullSafe(F.col("k")), "inner").dropDuplicates(["key"])
+    # a start travels with its window's hash and size; only where the document's words have that hash do they meet the window
+    starts = postings.join(broadcast_if_small(rarest.select("w", "size", "term", "offset"), n_asked, SMALL), "term").where("pos >= offset")
+    by_doc = starts.groupBy("key").agg(F.collect_set(F.struct((F.col("pos") - F.col("offset")).alias("start"), "w", "size")).alias("c"))
 
-    def seen(w):
-        return F.transform("c", lambda x: F.struct(x.getField("start").alias("start"), x.getField("w").alias("w"), F.slice(w, x.getField("start") + 1, F.lit(span)).alias("seen")))
+    def alike(w):
+        seen = lambda x: F.slice(w, x.getField("start") + 1, x.getField("size").cast("int"))
+        met = F.filter("c", lambda x: F.xxhash64(seen(x)) == x.getField("w"))
+        return F.transform(met, lambda x: F.struct(x.getField("start").alias("start"), x.getField("w").alias("w"), seen(x).alias("seen")))
 
-    near_by = words.select("key", F.explode(let(gap_split(F.col("text")), seen)).alias("m")).select("key", "m.start", "m.w", "m.seen")
-    told = near_by.join(broadcast_if_small(rarest.select("w", "terms", "items"), n_asked, SMALL), "w")
-    return told.where(F.slice("seen", F.lit(1), F.size("terms")) == F.col("terms")).select("key", "start", F.size("terms").alias("size"), "items")
+    words = keyed(docs, "text").join(by_doc, "key")
+    near_by = words.select("key", F.explode(let(gap_split(F.col("text")), alike)).alias("m")).select("key", "m.start", "m.w", "m.seen")
+    told = near_by.join(broadcast_if_small(rarest.select("w", "terms", "items"), n_asked, SMALL), "w").where("seen = terms")
+    return told.select("key", "start", F.size("terms").alias("size"), "items")
 
 
 def near(postings: DataFrame, terms: list[str], within: int) -> DataFrame:
@@ -86,15 +87,19 @@ def checked(docs: DataFrame, items: DataFrame, *keep: str, span: int = SPAN) ->
 
     Null text has no words and is clean. Items without words say nothing. Repeated rows have the same result each.
     """
-    found = occurrences(docs, items, span, shared_folder(docs.sparkSession)).groupBy("key").agg(
+    folder = shared_folder(docs.sparkSession)
+    postings = index(docs, folder)
+    found = occurrences(docs, postings, items, span, folder).groupBy("key").agg(
         F.array_sort(F.collect_set(F.struct("start", "size"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
-    found = found.select(F.col("key").alias("k"), covered(F.col("spans")).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    found = found.select("key", covered(F.col("spans")).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     keep = ("doc_id", *[c for c in keep if c != "doc_id"])
-    rows = keyed(docs, *keep, *(["text"] if "text" not in keep else [])).withColumn("n_words", F.size(gap_split(F.col("text"))).cast("long")).select(*keep, "key", "n_words")
+    lengths = postings.groupBy("key").agg((F.max("pos") + 1).cast("long").alias("n_words"))
+    facts = lengths.join(found, "key", "left")
+    rows = keyed(docs, *keep)
     zero = F.lit(0).cast("long")
-    return rows.join(found, F.col("key").eqNullSafe(F.col("k")), "left").select(
-        *keep, "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated")
+    return rows.join(facts, "key", "left").select(
+        *keep, F.coalesce("n_words", zero).alias("n_words"), F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated")
     )
 
 
