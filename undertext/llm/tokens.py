@@ -1,8 +1,9 @@
 """Encoders that remember pre-tokens, for use inside tasks.
 
-A task splits a whole text into the same pre-tokens as the library does and asks the library only for pre-tokens
-that it has not met. Splitting by Python's expressions is exact for printable ASCII and Latin letters; any other
-text, and any text with a special string, goes through the library as a whole.
+A task splits a whole text at its spaces, where pre-tokens begin, and asks the library only for pieces that it has
+not met. Splitting here is exact for printable ASCII and Latin letters; any other text, and any text with a special
+string, goes through the library as a whole. A space with white space on both sides, or at the end after white
+space, may lie inside a pre-token: texts with such a space are split into pre-tokens in full.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ import numpy as np
 PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 #: The byte-level pre-token pattern of the published vocabulary, over the characters of PLAIN.
 BYTE_LEVEL = re.compile(r"'(?:[st]|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
+#: A space that need not begin a pre-token.
+INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
+#: What any text with an inner space contains; looking for these first is quicker.
+PAIRS = ("  ", "\n ", "\r ", "\t ")
 #: A worker forgets all pre-tokens beyond this number; only speed depends on it.
 REMEMBERED = 1_300_000
 
@@ -38,6 +43,15 @@ def special_strings(tokenizer) -> re.Pattern | None:
     return re.compile("|".join(sorted(found, key=len, reverse=True))) if found else None
 
 
+def pieces_of(text: str) -> list[str]:
+    """Parts of a plain text that the library would encode each by itself: those marked by U+0000 as they are, all others after a space."""
+    if any(p in text for p in PAIRS) and INNER_SPACE.search(text):
+        return ["\0" + p for p in BYTE_LEVEL.findall(text)]
+    parts = text.split(" ")
+    parts[0] = "\0" + parts[0]
+    return parts
+
+
 class ByteLevelEncoder:
     """ids of whole texts as little-endian unsigned integers of the narrowest width that holds the vocabulary."""
 
@@ -52,18 +66,38 @@ class ByteLevelEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         plain = [PLAIN.fullmatch(t) is not None and not (self.special and self.special.search(t)) for t in texts]
-        split = [BYTE_LEVEL.findall(t) if p else None for t, p in zip(texts, plain)]
+        split = [pieces_of(t) if p else None for t, p in zip(texts, plain)]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set(chain.from_iterable(s for s in split if s is not None)).difference(self.known))
-        if new:  # one sequence of many pre-tokens costs less than many sequences
-            got = self.tokenizer.encode_batch([new], is_pretokenized=True, add_special_tokens=False)[0]
+        get, out, missing = self.known.__getitem__, [], set()
+        for text, pieces in zip(texts, split):
+            try:
+                out.append(b"".join(map(get, pieces)) if pieces is not None else self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids))
+            except KeyError:
+                out.append(None)
+                missing.update(pieces)
+        if missing:
+            self.learn(list(missing.difference(self.known)))
+        return [b"".join(map(get, pieces)) if packed is None else packed for packed, pieces in zip(out, split)]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Remembers the ids of pieces. One sequence of many pre-tokens costs the library less than many sequences."""
+        inside = {}
+        for p in pieces:
+            if not p.isalpha():  # letters alone are one pre-token with their space
+                parts = BYTE_LEVEL.findall(p[1:] if p.startswith("\0") else " " + p)
+                inside[p] = [x[1:] if x.startswith(" ") else "\0" + x for x in parts]
+        new = list(dict.fromkeys(k for k in chain(chain.from_iterable(inside.values()), (p for p in pieces if p not in inside)) if k not in self.known))
+        if new:
+            words = [k[1:] if k.startswith("\0") else " " + k for k in new]
+            got = self.tokenizer.encode_batch([words], is_pretokenized=True, add_special_tokens=False)[0]
             ids, width, begin = self.pack(got.ids), self.kind.itemsize, 0
-            for word, end in zip(new, np.searchsorted(np.array(got.word_ids), np.arange(len(new)), side="right").tolist()):
-                self.known[word] = ids[begin * width : end * width]
+            for key, end in zip(new, np.searchsorted(np.array(got.word_ids), np.arange(len(new)), side="right").tolist()):
+                self.known[key] = ids[begin * width : end * width]
                 begin = end
-        get = self.known.__getitem__
-        return [b"".join(map(get, s)) if s is not None else self.pack(self.tokenizer.encode(t, add_special_tokens=False).ids) for t, s in zip(texts, split)]
+        for piece, parts in inside.items():
+            if parts != [piece]:
+                self.known[piece] = b"".join(map(self.known.__getitem__, parts))
 
 
 def encoder(path: str) -> ByteLevelEncoder:
