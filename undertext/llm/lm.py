@@ -29,7 +29,7 @@ _lattices: dict[str, tuple[dict[str, int], list[int], list[float]]] = {}
 
 
 def vocabulary(path: str) -> tuple[dict[str, int], list[int], list[float]]:
-    """Pieces to ids, the ids of the byte pieces, and first probabilities from the scores' order."""
+    """Pieces to ids (-1: only the beginning of a piece), the ids of the byte pieces, and first probabilities from the scores' order."""
     if path not in _lattices:
         import sentencepiece
 
@@ -43,34 +43,39 @@ def vocabulary(path: str) -> tuple[dict[str, int], list[int], list[float]]:
         bytes_ = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         skip = {i for i in range(size) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)}
         pieces = {p: i for i in range(size) if i not in skip and len(p := sp.id_to_piece(i)) <= LONGEST}
+        for piece in list(pieces):
+            for j in range(1, len(piece)):
+                pieces.setdefault(piece[:j], -1)
         _lattices[path] = pieces, bytes_, [w / total for w in weight]
     return _lattices[path]
 
 
-def edges(text: str, pieces: dict[str, int], bytes_: list[int], p: list[float]) -> list[list[tuple[int, int, float]]]:
-    """Of each end, its (begin, piece, probability); a character without a piece is spelt in bytes (piece -1)."""
-    into: list[list[tuple[int, int, float]]] = [[] for _ in range(len(text) + 1)]
-    for i in range(len(text)):
-        for j in range(i + 1, min(len(text), i + LONGEST) + 1):
-            k = pieces.get(text[i:j])
-            if k is not None:
-                into[j].append((i, k, p[k]))
-            elif j == i + 1:
-                into[j].append((i, -1, math.prod(p[bytes_[b]] for b in text[i].encode())))
-    return into
+def arcs_from(text: str, i: int, pieces: dict[str, int], bytes_: list[int], p: list[float]) -> list[tuple[int, int, float]]:
+    """(end, piece, probability) of what may begin at i; a character without a piece is spelt in bytes (piece -1)."""
+    out = []
+    for j in range(i + 1, min(len(text), i + LONGEST) + 1):
+        k = pieces.get(text[i:j])
+        if k is not None and k >= 0:
+            out.append((j, k, p[k]))
+        elif j == i + 1:
+            out.append((j, -1, math.prod(p[bytes_[b]] for b in text[i].encode())))
+        if k is None:
+            break
+    return out
 
 
 def log10_word(word: str, pieces, bytes_, p) -> float:
     """log10 of the word's probability over all segmentations. Scaled whenever it gets tiny."""
     text = MARK + word
     a, scale = [1.0] + [0.0] * len(text), 0.0
-    for j, arrive in enumerate(edges(text, pieces, bytes_, p)):
-        if j:
-            a[j] = s = sum(a[i] * q for i, _, q in arrive)
-            if s < TINY:
-                for i in range(max(0, j - LONGEST), j + 1):
-                    a[i] /= s
-                scale += math.log10(s)
+    for i in range(len(text)):
+        if (s := a[i]) < TINY:
+            for j in range(i, min(len(text), i + LONGEST) + 1):
+                a[j] /= s
+            scale += math.log10(s)
+            s = 1.0
+        for j, _, q in arcs_from(text, i, pieces, bytes_, p):
+            a[j] += s * q
     return math.log10(a[-1]) + scale
 
 
@@ -86,18 +91,18 @@ def expected(path: str):
                     text = (MARK + word)[at : at + PART]
                     if not text:
                         continue
-                    into = edges(text, pieces, bytes_, p)
-                    a, b = [1.0] + [0.0] * len(text), [0.0] * len(text) + [1.0]
-                    for j in range(1, len(text) + 1):
-                        a[j] = sum(a[i] * q for i, _, q in into[j])
-                    for j in range(len(text), 0, -1):
-                        for i, _, q in into[j]:
-                            b[i] += q * b[j]
+                    a, b, arcs = [1.0] + [0.0] * len(text), [0.0] * len(text) + [1.0], []
+                    for i in range(len(text)):
+                        arcs.append(arcs_from(text, i, pieces, bytes_, p))
+                        for j, _, q in arcs[i]:
+                            a[j] += a[i] * q
                     if a[-1] > 0:
-                        for j in range(1, len(text) + 1):
-                            for i, k, q in into[j]:
+                        for i in range(len(text) - 1, -1, -1):
+                            share = c * a[i] / a[-1]
+                            for j, k, q in arcs[i]:
+                                b[i] += (through := q * b[j])
                                 if k >= 0:
-                                    use[k] = use.get(k, 0.0) + c * a[i] * q * b[j] / a[-1]
+                                    use[k] = use.get(k, 0.0) + share * through
         yield pa.RecordBatch.from_arrays([pa.array(list(use), pa.int64()), pa.array(list(use.values()), pa.float64())], names=["piece", "uses"])
 
     return run
