@@ -7,8 +7,9 @@ link is lost. Partial overlaps of a candidate pair are counted in each of the co
 
 Equal sets are one node from the start, whatever the number of copies. Among nodes that share a segment, each is
 first held against a few drawn members of its bucket; components merge, and only members of different components are
-then held against each other, the smaller components against the rest, so a large group of near copies never forms
-all its pairs. Sets whose segment is empty share a bucket by class and fragment; with five or more n-grams to a
+then held against each other, the smaller components against the rest, so finding the components of a large group of
+near copies takes few of its pairs. As every link lies within a component, all links are then counted there, blocks of
+sets against blocks, with an array of overlaps and no row for each pair. Sets whose segment is empty share a bucket by class and fragment; with five or more n-grams to a
 segment those are rare.
 """
 
@@ -27,6 +28,8 @@ from undertext.llm.common import shared_folder, stored, table
 COARSE = 8
 #: Rounds of held-against-one-member; only the work of the last, exhaustive round depends on it.
 STARS = 5
+#: Sets in a block, whose links to another block are counted at once, and n-grams that are laid out for it at a time.
+BLOCK, WIDE = 256, 8192
 REMEMBERED = 500_000
 _known: dict[bytes, int] = {}
 
@@ -141,8 +144,67 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def similar(docs: DataFrame, n: int, num: int, den: int, *keep: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node) of every row, and (node, comp) of the nodes with a link to another."""
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each set on the left shares with each on the right."""
+    ids, at, met = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    place = np.where(met > 1, np.cumsum(met > 1) - 1, -1)[at]  # an n-gram of one set alone is in no overlap
+    row = np.repeat(np.arange(len(left) + len(right)), [len(g) for g in (*left, *right)])
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    for low in range(0, int((met > 1).sum()), WIDE):
+        here = (place >= low) & (place < low + WIDE)
+        laid = np.zeros((len(left) + len(right), WIDE), dtype=np.float32)
+        laid[row[here], place[here] - low] = 1
+        out += (laid[: len(left)] @ laid[len(left) :].T).astype(np.int64)
+    return out
+
+
+def linking(num: int, den: int, pairs: bool):
+    """From blocks of a component's sets, sorted by (comp, lo, hi): (a, b) of each link, or (node, the rows it links to)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(lo: int, hi: int, rows: list) -> pa.RecordBatch:
+            node, n, c, block = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
+            x, y = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+            o = overlaps([rows[i][4] for i in x], [rows[i][4] for i in y])
+            yes = (o * den >= (n[x][:, None] + n[y][None, :] - o) * num) & (node[x][:, None] != node[y][None, :])
+            if pairs:
+                i, j = np.nonzero(yes if lo < hi else yes & (node[x][:, None] < node[y][None, :]))
+                a, b = node[x[i]], node[y[j]]
+                return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            nodes, sums = (node[x], yes @ c[y]) if lo == hi else (np.append(node[x], node[y]), np.append(yes @ c[y], yes.T @ c[x]))
+            return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sums)], names=["node", "linked"])
+
+        now, rows = None, []
+        for batch in batches:
+            grams_ = batch["grams"]
+            flat, ends = grams_.values.to_numpy(), grams_.offsets.to_numpy()
+            keys = zip(*(batch[k].to_pylist() for k in ("comp", "lo", "hi")))
+            facts = zip(*(batch[k].to_pylist() for k in ("node", "n", "c", "block")))
+            for i, (key, fact) in enumerate(zip(keys, facts)):
+                if key != now:
+                    if rows:
+                        yield links(*now[1:], rows)
+                    now, rows = key, []
+                rows.append((*fact, flat[ends[i] : ends[i + 1]].copy()))
+        if rows:
+            yield links(*now[1:], rows)
+
+    return run
+
+
+def linked_blocks(rows: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int, pairs: bool) -> DataFrame:
+    """All links between different sets: (a, b) nodes with a < b, or (node, linked) with parts of the number of rows it links to."""
+    copies = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
+    sizes = comps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    members = comps.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(copies, "node").join(sets, "node")
+    other = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = other.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "c", F.flatten("segments").alias("grams"))
+    sorted_ = dealt.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
+    return sorted_.mapInArrow(linking(num, den, pairs), "a bigint, b bigint" if pairs else "node bigint, linked bigint")
+
+
+def similar(docs: DataFrame, n: int, num: int, den: int, *keep: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, node) of every row, (node, comp) of the nodes with a link to another, and (node, n, segments) of sets."""
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(texts.mapInArrow(signing(n, num, den), "doc_id bigint, n bigint, node bigint, sigs array<bigint>"), f"{folder}/signed")
@@ -181,7 +243,15 @@ def similar(docs: DataFrame, n: int, num: int, den: int, *keep: str) -> tuple[Da
         found = stored(linked(pairs, sets, num, den), f"{folder}/links-{step}")
         links = found if links is None else links.union(found)
         comps = components(links, f"{folder}/{step}")
-    return signed.select("doc_id", "n", "node"), comps
+    return signed.select("doc_id", "n", "node"), comps, sets
+
+
+def components_of(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, node) of every row."""
+    named = rows.join(comps, "node", "left").select("doc_id", "n", "node", F.coalesce("comp", "node").alias("key"))
+    least = named.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
+    first = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("first"))
+    return named.join(least, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), first.alias("component_id"), "node")
 
 
 def joined(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -191,14 +261,28 @@ def joined(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFr
     empty sets and link with nothing: component_id is their own doc_id. Repeated rows link like copies. Null ids
     link too, but never name a component that has an id. An empty table gives no rows.
     """
-    rows, comps = similar(docs, n, num, den)
-    named = rows.join(comps, "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("key"))
-    least = named.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
-    return named.join(least, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
+    rows, comps, _ = similar(docs, n, num, den)
+    return components_of(rows, comps).drop("node")
+
+
+def counted(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """The columns of joined, and n_links: how many other rows the row links with, its copies among them."""
+    rows, comps, sets = similar(docs, n, num, den)
+    linked_ = linked_blocks(rows, comps, sets, num, den, False).groupBy("node").agg(F.sum("linked").alias("linked"))
+    copies = rows.where("node is not null").groupBy("node").agg((F.count(F.lit(1)) - 1).alias("copies"))
+    totals = copies.join(linked_, "node", "left").select("node", (F.col("copies") + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    whole = components_of(rows, comps).join(totals, "node", "left")
+    return whole.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, node) of every row, node naming its distinct set, and (a, b) of every link between different sets, a < b."""
+    rows, comps, sets = similar(docs, n, num, den)
+    return rows, linked_blocks(rows, comps, sets, num, den, True)
 
 
 def op5_ngram_jaccard(spark, sf_dir) -> DataFrame:
-    return joined(table(spark, sf_dir, "documents"))
+    return counted(table(spark, sf_dir, "documents"))
 
 
 def stage(spark, docs, sf_dir) -> DataFrame:
