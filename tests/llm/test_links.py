@@ -40,3 +40,25 @@ def test_jaccard_counts_every_link(spark, monkeypatch):
     by_node = {r.node: sets[r.doc_id] for r in named.collect() if r.node is not None}
     found = between.collect()
     assert len(found) == len(pairs) and {frozenset((by_node[r.a], by_node[r.b])) for r in found} == pairs
+
+
+def test_jaccard_survivors_go_by_row(spark):
+    def near(name, changed=()):
+        return " ".join(f"v{i}" if i in changed else f"{name}{i}" for i in range(150))
+
+    a, b, c, d = (near(x) for x in "abcd")
+    rows = [(1, a), (1, a), (2, near("a", [3])), (5, b), (3, near("b", [5])), (5, c), (None, c), (None, d), (None, d), (None, near("d", [9])), (None, None), (7, ""), (7, "")]
+    kept = jaccard.stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    kept = sorted(map(tuple, kept), key=str)
+    ds = [r for r in kept if r[1] and "d7 " in r[1]]
+    assert len(ds) == 1 and ds[0][0] is None
+    assert sorted((r for r in kept if r not in ds), key=str) == sorted([(1, a), (3, near("b", [5])), (5, c), (None, None), (7, ""), (7, "")], key=str)
+
+
+def test_jaccard_null_ids_link_and_bridge(spark):
+    def words(changed):
+        return " ".join(f"v{i}" if i in changed else f"g{i}" for i in range(150))
+
+    rows = [(1, words({10, 40})), (2, words({20, 50})), (None, words(()))]  # 1 and 2 link through the null id alone
+    got = {(r.doc_id, r.component_id) for r in jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (None, 1)}

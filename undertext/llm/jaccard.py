@@ -82,7 +82,7 @@ def fingerprint(sorted_grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(sorted_grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def signing(n: int, num: int, den: int):
+def signing(n: int, num: int, den: int, *keep: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
@@ -96,8 +96,8 @@ def signing(n: int, num: int, den: int):
                     fresh = len(g) and nodes[-1] not in met
                     sigs.append(signatures(g, num, den).view(np.int64) if fresh else None)
                     met.add(nodes[-1])
-                columns = [piece["doc_id"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "node", "sigs"])
+                columns = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(piece[k] for k in keep), *columns], names=[*keep, "n", "node", "sigs"])
 
     return run
 
@@ -204,17 +204,25 @@ def linked_blocks(rows: DataFrame, comps: DataFrame, sets: DataFrame, num: int,
 
 
 def similar(docs: DataFrame, n: int, num: int, den: int, *keep: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, node) of every row, (node, comp) of the nodes with a link to another, and (node, n, segments) of sets."""
+    """(doc_id, n, node) of every row, (node, comp) of the nodes with a link to another, and (node, n, segments) of sets.
+
+    keep: further columns of docs, all bigint. A set is cut from the text of one owner, found by its id and its text's
+    hash, so that null ids and ids with several texts are owners like others.
+    """
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(texts.mapInArrow(signing(n, num, den), "doc_id bigint, n bigint, node bigint, sigs array<bigint>"), f"{folder}/signed")
+    carried = ("doc_id", "h", *keep)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), *keep, "text")
+    schema = f"{', '.join(f'`{k}` bigint' for k in carried)}, n bigint, node bigint, sigs array<bigint>"
+    signed = stored(texts.mapInArrow(signing(n, num, den, *carried), schema), f"{folder}/signed")
     by_sig = Window.partitionBy("sig")
     rows = signed.where("sigs is not null").select("node", F.explode("sigs").alias("sig"))
     met = rows.select("*", F.min("node").over(by_sig).alias("lo"), F.max("node").over(by_sig).alias("hi")).where("lo < hi")
     shared = stored(met.select("sig", "node").distinct(), f"{folder}/shared")
     members = shared.select("node").distinct()
-    owners = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(members, "node", "left_semi").select("doc_id")
-    cut = texts.join(owners, "doc_id", "left_semi").mapInArrow(segmenting(n), "node bigint, n bigint, segments array<array<bigint>>")
+    owner = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("o")
+    owners = signed.where("node is not null").groupBy("node").agg(owner).join(members, "node", "left_semi").select(F.col("o.doc_id").alias("owner"), F.col("o.h").alias("oh")).distinct()
+    owned = texts.join(owners, (F.col("h") == F.col("oh")) & F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi").select("text")
+    cut = owned.mapInArrow(segmenting(n), "node bigint, n bigint, segments array<array<bigint>>")
     sets = stored(cut.dropDuplicates(["node"]), f"{folder}/sets")
 
     facts = sets.select("node", "n", F.transform("segments", lambda x: F.size(x)).alias("sizes"))
@@ -243,7 +251,7 @@ def similar(docs: DataFrame, n: int, num: int, den: int, *keep: str) -> tuple[Da
         found = stored(linked(pairs, sets, num, den), f"{folder}/links-{step}")
         links = found if links is None else links.union(found)
         comps = components(links, f"{folder}/{step}")
-    return signed.select("doc_id", "n", "node"), comps, sets
+    return signed.select("doc_id", "n", "node", *keep), comps, sets
 
 
 def components_of(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -286,6 +294,15 @@ def op5_ngram_jaccard(spark, sf_dir) -> DataFrame:
 
 
 def stage(spark, docs, sf_dir) -> DataFrame:
-    """One document of each group of five-word shingle sets with a similarity of 0.8 or more: that with the least id."""
-    firsts = joined(docs, 5, 80, 100).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    """One row of each group of five-word shingle sets with a similarity of 0.8 or more: that with the least id.
+
+    Rows have keys of their own, so of repeated rows one stays, an id's texts are told apart, and of rows without ids
+    one stays where no other row of its group has an id. Null and blank texts link with nothing and all stay.
+    """
+    key = next(k for k in (f"row_{i}" for i in range(len(docs.columns) + 1)) if k not in {c.lower() for c in docs.columns})
+    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), f"{shared_folder(spark)}/keyed")
+    rows, comps, _ = similar(keyed, 5, 80, 100, key)
+    named = rows.join(comps, "node", "left").select(key, "doc_id", F.coalesce("comp", "node").alias("comp"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key)).alias("first")
+    firsts = named.where("comp is not null").groupBy("comp").agg(least).select(F.col(f"first.{key}").alias(key))
+    return keyed.join(firsts.union(named.where("comp is null").select(key)), key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
