@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from undertext.llm.common import blank_split, lower_ascii, shared_folder, stored, table
 
 FOLDS, HELD = 7, 2
-LONGEST, PART, TINY = 16, 40, 1e-120
+LONGEST, PLAIN, TINY = 16, 200, 1e-120
 MARK = "▁"
 _lattices: dict[str, tuple[dict[str, int], list[int], list[float]]] = {}
 
@@ -79,30 +79,58 @@ def log10_word(word: str, pieces, bytes_, p) -> float:
     return math.log10(a[-1]) + scale
 
 
+def add_uses(text: str, c: float, use: dict[int, float], pieces, bytes_, p) -> None:
+    """Adds c times the expected uses of each piece in text, by forward and backward sums over the whole text.
+
+    A character spelt in bytes uses each of its byte pieces. The sums are plain as long as they stay clear of underflow; longer or rarer texts are summed in logarithms.
+    """
+
+    def add(i: int, k: int, x: float) -> None:
+        for k in (k,) if k >= 0 else map(bytes_.__getitem__, text[i].encode()):
+            use[k] = use.get(k, 0.0) + x
+
+    arcs = [arcs_from(text, i, pieces, bytes_, p) for i in range(len(text))]
+    a, b = [1.0] + [0.0] * len(text), [0.0] * len(text) + [1.0]
+    if len(text) <= PLAIN:
+        for i, found in enumerate(arcs):
+            for j, _, q in found:
+                a[j] += a[i] * q
+    if a[-1] > TINY:
+        for i in range(len(text) - 1, -1, -1):
+            share = c * a[i] / a[-1]
+            for j, k, q in arcs[i]:
+                b[i] += (through := q * b[j])
+                if k >= 0:
+                    use[k] = use.get(k, 0.0) + share * through
+                else:
+                    add(i, k, share * through)
+        return
+    # Each arc is followed through the logarithms of its ends' sums, of which the largest is taken out.
+    into: list[list[float]] = [[] for _ in range(len(text) + 1)]
+    into[0].append(0.0)
+    la, lb = [0.0] * (len(text) + 1), [0.0] * (len(text) + 1)
+    for i in range(len(text) + 1):
+        top = max(into[i], default=-math.inf)
+        la[i] = top + math.log(math.fsum(math.exp(x - top) for x in into[i])) if into[i] else -math.inf
+        for j, _, q in arcs[i] if i < len(text) else ():
+            into[j].append(la[i] + math.log(q))
+    for i in range(len(text) - 1, -1, -1):
+        on = [math.log(q) + lb[j] for j, _, q in arcs[i]]
+        top = max(on)
+        lb[i] = top + math.log(math.fsum(math.exp(x - top) for x in on))
+        for (_, k, _), x in zip(arcs[i], on):
+            add(i, k, c * math.exp(la[i] + x - la[-1]))
+
+
 def expected(path: str):
-    """Expected uses of each piece in (word, c), by forward and backward sums; words are cut to PART characters."""
+    """Expected uses of each piece in (word, c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, bytes_, p = vocabulary(path)
         use: dict[int, float] = {}
         for batch in batches:
             for word, c in zip(batch["word"].to_pylist(), batch["c"].to_pylist()):
-                for at in range(0, len(word) + 1, PART):
-                    text = (MARK + word)[at : at + PART]
-                    if not text:
-                        continue
-                    a, b, arcs = [1.0] + [0.0] * len(text), [0.0] * len(text) + [1.0], []
-                    for i in range(len(text)):
-                        arcs.append(arcs_from(text, i, pieces, bytes_, p))
-                        for j, _, q in arcs[i]:
-                            a[j] += a[i] * q
-                    if a[-1] > 0:
-                        for i in range(len(text) - 1, -1, -1):
-                            share = c * a[i] / a[-1]
-                            for j, k, q in arcs[i]:
-                                b[i] += (through := q * b[j])
-                                if k >= 0:
-                                    use[k] = use.get(k, 0.0) + share * through
+                add_uses(MARK + word, c, use, pieces, bytes_, p)
         yield pa.RecordBatch.from_arrays([pa.array(list(use), pa.int64()), pa.array(list(use.values()), pa.float64())], names=["piece", "uses"])
 
     return run
