@@ -1,7 +1,9 @@
 """License scans by ordered signature rules.
 
-Rules come from a table of licenses, their versions and the phrases that name them; each has a priority and keywords
-that must all stand in a text before its expression runs. Of the detections, one that lies within another of at
+Rules come from signatures of licenses (what their notices, grants and clauses say) and from a table of licenses, their
+versions and the phrases that name them; each has a priority and keywords that must all stand in a text before its
+expression runs. Texts are read as words with one space between them, so wrapped lines and comment marks are no
+obstacle. Of the detections, one that lies within another of at
 least its priority is suppressed, so a license's bare name gives way to the grant around it. The three base phrases
 are never suppressed.
 """
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undertext.llm.common import table
+from undertext.llm.signatures import SIGNATURES
 
 # The base phrases and labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -42,20 +45,20 @@ LICENSES = (
     ("ofl", r"(?:sil )?open font", "font", ("1.0", "1.1")),
     ("odbl", r"(?:open database|odbl)", "o", ("1.0",)),
     ("cc0", r"(?:creative commons zero|cc0)", "c", ("1.0",)),
-    ("cc-by", r"(?:creative commons attribution|cc[ -]by)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-sa", r"(?:creative commons attribution[ -]sharealike|cc[ -]by-sa)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nd", r"(?:creative commons attribution[ -]noderivs|cc[ -]by-nd)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc", r"(?:creative commons attribution[ -]noncommercial|cc[ -]by-nc)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc-sa", r"(?:creative commons attribution[ -]noncommercial[ -]sharealike|cc[ -]by-nc-sa)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc-nd", r"(?:creative commons attribution[ -]noncommercial[ -]noderivs|cc[ -]by-nc-nd)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by", r"(?:creative commons attribution|cc by)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-sa", r"(?:creative commons attribution sharealike|cc by sa)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nd", r"(?:creative commons attribution noderivs|cc by nd)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc", r"(?:creative commons attribution noncommercial|cc by nc)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc-sa", r"(?:creative commons attribution noncommercial sharealike|cc by nc sa)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc-nd", r"(?:creative commons attribution noncommercial noderivs|cc by nc nd)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
 )
 
 # Expression around {name} and {version}, keyword, priority, weight of the detection.
 PHRASES = (
-    (r"spdx-license-identifier:\s*{label}[ -]?{version}", "spdx", 90, 0.95),
-    (r"licensed under (?:the )?(?:terms of )?(?:the )?{name}(?: licen[cs]e)?,?(?: version)? ?v?{version}", "licensed under", 70, 0.9),
-    (r"(?:released|distributed|available) under (?:the )?(?:terms of )?(?:the )?{name}(?: licen[cs]e)?,?(?: version)? ?v?{version}", " under ", 70, 0.85),
-    (r"{name} licen[cs]e,?(?: version)? ?v?{version}", "licen", 50, 0.6),
+    (r"spdx license identifier {label} ?{version}", "spdx", 90, 0.95),
+    (r"licensed under (?:the )?(?:terms of )?(?:the )?{name}(?: licen[cs]e)?(?: version)? ?v?{version}", "licensed under", 70, 0.9),
+    (r"(?:released|distributed|available) under (?:the )?(?:terms of )?(?:the )?{name}(?: licen[cs]e)?(?: version)? ?v?{version}", " under ", 70, 0.85),
+    (r"{name} licen[cs]e(?: version)? ?v?{version}", "licen", 50, 0.6),
 )
 EDGE_A, EDGE_Z = r"(?<![a-z0-9])", r"(?![a-z0-9])"
 
@@ -69,14 +72,19 @@ class Rule:
     pattern: re.Pattern
 
 
+def anchor(phrase: str) -> str:
+    """The longest run of characters that stands in every text the phrase finds."""
+    return max(re.split(r"\(\?:[^)]*\)\??|\[[^]]*\]\??|.\?|~", phrase), key=len).strip()
+
+
 def rules() -> list[Rule]:
-    """A rule for each phrase, license and version, and one for each phrase and license without a version."""
-    out = []
+    """A rule for each signature, for each phrase, license and version, and for each phrase and license without a version."""
+    out = [Rule(label, priority, weight, (anchor(phrase),), re.compile(EDGE_A + phrase.replace("~", r"(?: [^ ]+){0,12}?") + EDGE_Z)) for label, (priority, weight), phrase in SIGNATURES]
     for label, name, word, versions in LICENSES:
         for phrase, keyword, priority, weight in PHRASES:
             for version in dict.fromkeys((*versions, "")):
-                text = phrase.format(name=name, label=re.escape(label), version=re.escape(version))
-                text = text if version else text.removesuffix(",?(?: version)? ?v?").removesuffix("[ -]?")
+                text = phrase.format(name=name, label=label.replace("-", " "), version=re.sub("[.-]", " ", version))
+                text = text if version else text.removesuffix("(?: version)? ?v?").removesuffix(" ?")
                 full = f"{label}-{version}" if version else label
                 out.append(Rule(full, priority + bool(version), weight, (keyword, word), re.compile(EDGE_A + text + EDGE_Z)))
     return sorted(out, key=lambda r: -r.priority)
@@ -93,7 +101,11 @@ def resolved(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
 
 def scanning():
     ordered = rules()
+    # One word of each rule's first keyword, by which most texts are passed over.
+    gates = sorted({max(r.keywords[0].split(), key=len).encode() for r in ordered}, key=len)
+    gates = [g for i, g in enumerate(gates) if not any(x in g for x in gates[:i])]
     word_byte = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
+    spaced = bytes(b if word_byte[b] else 32 for b in range(256))
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     edge = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
     base = [(re.compile((rf"(?<!{edge})" + gap.join(p.split()) + rf"(?!{edge})").encode("latin-1")), p.split()[-1].encode(), label) for p, label in BASE]
@@ -110,8 +122,8 @@ def scanning():
                 labels |= {label} if at else set()
         first, last = (int(np.searchsorted(starts, x)) for x in (min(places), max(places))) if places else (None, None)
         detected = []
-        if b"licen" in raw or b" under " in raw:
-            low = raw.decode()
+        if any(g in raw for g in gates):
+            low = b" ".join(raw.translate(spaced).split()).decode()
             present: dict[str, bool] = {}
             for rule in ordered:
                 if all(present.setdefault(k, k in low) for k in rule.keywords):
