@@ -1,10 +1,13 @@
 import collections
 import itertools
+import random
 import sys
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
+import pyarrow as pa
+import pytest
 
 from undertext.llm import jaccard
 
@@ -32,7 +35,7 @@ def test_jaccard_counts_every_link(spark, monkeypatch):
             want.update((i, j))
             pairs |= {frozenset((sets[i], sets[j]))} if sets[i] != sets[j] else set()
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = jaccard.counted(df).collect()
+    got = jaccard.joined(df).collect()
     assert sorted(tuple(r)[:3] for r in got) == brute.jaccard(rows)
     assert {r.doc_id: r.n_links for r in got} == {i: want[i] for i, _ in rows}
     assert len(pairs) > 500
@@ -62,3 +65,50 @@ def test_jaccard_null_ids_link_and_bridge(spark):
     rows = [(1, words({10, 40})), (2, words({20, 50})), (None, words(()))]  # 1 and 2 link through the null id alone
     got = {(r.doc_id, r.component_id) for r in jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(1, 1), (2, 1), (None, 1)}
+
+
+@pytest.mark.parametrize("n,num,den", [(3, 90, 100), (5, 80, 100), (1, 1, 2), (2, 1, 1)])
+def test_jaccard_of_small_and_borderline_sets(spark, n, num, den):
+    rng = random.Random(n)
+    texts = []
+    for k in range(150):  # families of one to forty words with words changed, put in and left out
+        words = [f"f{k}w{i}" for i in range(rng.choice([1, 2, 3, 4, 5, 6, 8, 11, 20, 40]))]
+        for _ in range(rng.randrange(2, 7)):
+            copy = list(words)
+            for _ in range(rng.randrange(0, 1 + len(words) // 6)):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randrange(2)] = rng.choice([[], [f"x{rng.randrange(9)}"]])
+                copy = copy or ["x"]
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    got = sorted(tuple(r)[:3] for r in jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string"), n, num, den).collect())
+    assert got == brute.jaccard(rows, n, num, den)
+
+
+def test_jaccard_of_two_thousand_near_copies(spark):
+    rng = random.Random(3)
+    base = [f"g{i}" for i in range(120)]
+    texts = []
+    for k in range(2000):
+        words = list(base)
+        for _ in range(k % 4):
+            words[rng.randrange(120)] = f"v{rng.randrange(50)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    got = sorted(map(tuple, jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert [r[:3] for r in got] == brute.jaccard(rows)
+    sets = [shingles(t, 3) for t in texts]
+    for i in range(0, 2000, 97):
+        assert got[i][3] == sum(100 * len(sets[i] & s) >= 90 * len(sets[i] | s) for j, s in enumerate(sets) if j != i)
+
+
+def test_words_are_split_and_folded_as_the_contract_says():
+    texts = [None, "", " \n", "a", "a b", "A\x0bB\tc\r\n d ", "É é x\xa0y\x85z \x1c q", "end", "of the text"]
+    hashes, at = jaccard.word_hashes(pa.array(texts))
+    names = {}
+    for i, t in enumerate(texts):
+        words = brute.WORD.findall((t or "").translate(brute.FOLD))
+        assert len(words) == at[i + 1] - at[i]
+        for w, h in zip(words, hashes[at[i] : at[i + 1]].tolist()):
+            assert names.setdefault(w, h) == h
+    assert len(set(names.values())) == len(names)

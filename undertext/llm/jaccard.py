@@ -1,37 +1,50 @@
 """Exact n-gram Jaccard join by vertical partitioning.
 
-The global order of n-grams (that of their 64-bit hashes) is cut into fragments; a document's set falls into one
-segment a fragment. Two sets that reach the similarity differ in at most d n-grams, d following from their sizes,
-so of d + 1 fragments they share at least one whole segment: segments, not n-grams, name the candidates, and no
-link is lost. Partial overlaps of a candidate pair are counted in each of the coarse fragments apart and summed.
-
-Equal sets are one node from the start, whatever the number of copies. Among nodes that share a segment, each is
-first held against a few drawn members of its bucket; components merge, and only members of different components are
-then held against each other, the smaller components against the rest, so finding the components of a large group of
-near copies takes few of its pairs. As every link lies within a component, all links are then counted there, blocks of
-sets against blocks, with an array of overlaps and no row for each pair. Sets whose segment is empty share a bucket by class and fragment; with five or more n-grams to a
-segment those are rare.
+The global order of n-grams (that of their 64-bit hashes) is cut into fragments, and each fragment is worked on apart.
+
+Candidates: of a set's n-grams in the global order, the runs of RUN consecutive ones are looked at. A link leaves so
+few n-grams that only one of the two sets has, that among the first runs of each, as many as `runs` says, at least one
+is common to both (see there). Runs go to the fragment in which they begin. There, sets with an equal run are tied
+to one of them, which makes a row a set and not a row a pair; sets that are tied, directly or not, form a group.
+
+Counts: sets of a group are laid against each other in blocks. A block pair's sets are cut into PARTS fragments; each
+fragment's overlaps are counted apart, as an array with a place for each pair, and the arrays are summed for each block
+pair. Links follow from the sums, and components from the links. Equal sets are one set from the start, however many
+copies there are. So the work, not the number of rows, grows with the square of a group of different sets; all else
+grows with the input.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertext.llm.common import shared_folder, stored, table
-
-COARSE = 8
-#: Rounds of held-against-one-member; only the work of the last, exhaustive round depends on it.
-STARS = 5
-#: Sets in a block, whose links to another block are counted at once, and n-grams that are laid out for it at a time.
-BLOCK, WIDE = 256, 8192
-REMEMBERED = 500_000
-_known: dict[bytes, int] = {}
+from undertext.llm.common import broadcast_if_small, shared_folder, stored, table
+
+#: Fragments for which overlaps are counted apart.
+PARTS = 4
+#: Sets in a block, and n-grams that are laid out for it at a time.
+BLOCK, WIDE = 1024, 4096
+#: Fragments by which runs are dealt, at least; twice the shuffle partitions where those are more.
+FRAGMENTS = 256
+#: Runs that a task holds before it deals them, and texts that it reads at once.
+HELD, TEXTS = 1_000_000, 500
+#: Owners of sets are broadcast up to this many (about 50 bytes each), else joined by shuffle.
+SMALL = 1_000_000
+
+_rng = np.random.default_rng(5)
+_byte = _rng.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
+_byte[:, 65:91] = _byte[:, 97:123]  # A-Z as a-z
+_blank = np.zeros(256, dtype=bool)
+_blank[[9, 10, 11, 12, 13, 32]] = True
+_STEPS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,96 +54,174 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def grams(text: str | None, n: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's n-word shingles, lower-cased in ASCII; a shorter text is one shingle."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    if len(_known) > REMEMBERED:
-        _known.clear()
-    for w in set(words).difference(_known):
-        _known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-    ids = np.fromiter(map(_known.__getitem__, words), dtype=np.uint64, count=len(words))
-    size = min(n, len(ids))
-    out = np.full(len(ids) - size + 1, size, dtype=np.uint64)
-    for k in range(size):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + ids[k : len(ids) - size + 1 + k])
-    return np.unique(out)
-
-
-def classes(size: int, num: int, den: int) -> tuple[tuple[int, int], tuple[int, int]]:
-    """(least, most) size of the class that holds size, and of the next: partners lie in the same or a neighbouring one."""
-    low = 1
-    while (high := low * den // num) < size:
-        low = high + 1
-    return (low, high), (high + 1, (high + 1) * den // num)
-
-
-def signatures(sorted_grams: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Hashes of the set's segments in its own and the next size class."""
+def powers(size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For both steps, the powers from 0 to size at least, and their inverses modulo 2**64."""
+    if not _powers or len(_powers[0][0]) <= size:
+        up = lambda step: np.concatenate([np.ones(1, dtype=np.uint64), np.cumprod(np.full(2 * size + 1, step, dtype=np.uint64))])
+        _powers[:] = [(up(s), up(pow(s, -1, 1 << 64))) for s in _STEPS]
+    return _powers
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of the texts, lower-cased in ASCII, and where each text's words begin (and the last one's end)."""
+    texts = pa.array(texts, pa.large_binary()) if not isinstance(texts, pa.Array) else texts.cast(pa.large_binary())
+    texts = pa.concat_arrays([texts.fill_null(b"")])
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    word = ~_blank[raw]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    borders = offsets[(offsets > 0) & (offsets < len(raw))]
+    first[borders] = word[borders]
+    last = word.copy()
+    last[:-1] &= ~word[1:]
+    last[borders - 1] = word[borders - 1]
+    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    sums = []
+    for values, (up, down) in zip(_byte, powers(len(raw))):
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values[raw] * up[: len(raw)])])
+        sums.append((total[end] - total[begin]) * down[begin])
+    return mix(sums[0] + mix(sums[1] + (end - begin).astype(np.uint64))), np.searchsorted(begin, offsets)
+
+
+def gram_sets(texts, n: int) -> list[np.ndarray]:
+    """Each text's set: the sorted distinct hashes of its n-word shingles; a shorter text is one shingle, one without words none."""
+    words, at = word_hashes(texts)
+    whole = np.full(max(0, len(words) - n + 1), n, dtype=np.uint64)
+    for k in range(n):
+        whole = mix(whole * _SPREAD + words[k : len(words) - n + 1 + k])
     out = []
-    for low, high in classes(len(sorted_grams), num, den):
-        parts = (den - num) * 2 * high // (den + num) + 1
-        fragment = ((sorted_grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        sums = np.zeros(parts, dtype=np.uint64)
-        np.add.at(sums, fragment.astype(np.int64), mix(sorted_grams + np.uint64(1)))
-        out.append(mix(sums ^ mix(np.uint64(low) * np.uint64(1 << 32) + np.arange(parts, dtype=np.uint64))))
-    return np.concatenate(out)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        if b - a >= n:
+            out.append(np.unique(whole[a : b - n + 1]))
+        elif b > a:
+            one = np.full(1, b - a, dtype=np.uint64)
+            for w in words[a:b]:
+                one = mix(one * _SPREAD + w)
+            out.append(one)
+        else:
+            out.append(whole[:0])
+    return out
 
 
-def fingerprint(sorted_grams: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(sorted_grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+def run_length(num: int, den: int) -> int:
+    """N-grams in a run: the longer, the fewer sets meet by chance and the more runs a set has."""
+    return min(4, max(1, (6 * den // 10) // (den - num))) if num < den else 4
 
 
-def signing(n: int, num: int, den: int, *keep: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
-                sizes, nodes, sigs = [], [], []
-                for text in piece["text"].to_pylist():
-                    g = grams(text, n)
-                    sizes.append(len(g))
-                    nodes.append(fingerprint(g) if len(g) else None)
-                    fresh = len(g) and nodes[-1] not in met
-                    sigs.append(signatures(g, num, den).view(np.int64) if fresh else None)
-                    met.add(nodes[-1])
-                columns = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*(piece[k] for k in keep), *columns], names=[*keep, "n", "node", "sigs"])
+def runs(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position of the set, n-gram with which the run begins, hash of the run) for the first runs of each set.
 
-    return run
+    Let t = num / den, m the run length, and x and y two sets that link, of which a n-grams are in x alone and b in y
+    alone. In the global order, x and y agree on a run of x unless one of the a is in it (each is in m runs at most)
+    or one of the b falls inside it (each falls inside m - 1 at most). Linking means a + t b <= (1 - t) |x|, so at most
+    m a + (m - 1) b <= m (1 - t) |x| runs of x differ, as m - 1 <= m t; the same holds for y. Before the first run
+    that both have, all runs of either differ, so it is among the first m (1 - t) |x| + 1 runs of x and likewise of y.
+    Marks after the last n-gram let a run begin with each n-gram.
+    """
+    m = run_length(num, den)
+    sizes = np.array([len(g) for g in sets], dtype=np.int64)
+    take = np.minimum(sizes, m * (den - num) * sizes // den + 1)
+    flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
+    of = np.repeat(np.arange(len(sets)), take)
+    start = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(take) + take, take) + np.arange(len(of))
+    end = np.cumsum(sizes)[of]
+    sig = np.zeros(len(of), dtype=np.uint64)
+    for j in range(m):
+        there = start + j < end
+        sig = mix(sig * _SPREAD + np.where(there, flat[np.where(there, start + j, 0)], (start + j - end + 1).astype(np.uint64)))
+    return of, flat[start], sig
+
+
+def fingerprint(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def segmenting(n: int):
-    """(node, n, segments): a set cut into COARSE fragments."""
+ROWS = "frag int, doc_id bigint, h bigint, h2 bigint, n bigint, node binary, key bigint, keys binary, sigs binary"
+ROW_KINDS = [("frag", pa.int32()), ("doc_id", pa.int64()), ("h", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("key", pa.int64()), ("keys", pa.binary()), ("sigs", pa.binary())]
+
+
+def key_of(node: bytes) -> int:
+    return int.from_bytes(node[:8], "little", signed=True)
+
+
+def filled(kinds: list, count: int, **columns) -> pa.RecordBatch:
+    """A batch of count rows; columns that are not given are null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(count, t) for k, t in kinds], names=[k for k, _ in kinds])
+
+
+def signing(n: int, num: int, den: int, fragments: int) -> Callable:
+    """From texts: a row each with its set's size and name (frag below 0), and parcels of runs by fragment."""
+
+    def parcels(held: list) -> pa.RecordBatch:
+        frag, key, sig = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(frag, kind="stable")
+        found, begin = np.unique(frag[order], return_index=True)
+        ends = [*begin[1:].tolist(), len(order)]
+        cut = lambda x: [x[order[a:b]].tobytes() for a, b in zip(begin.tolist(), ends)]
+        return filled(ROW_KINDS, len(found), frag=found, keys=cut(key), sigs=cut(sig))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = (np.arange(1, COARSE, dtype=np.uint64) << np.uint64(61)).astype(np.uint64)
+        met: set[bytes] = set()
+        held, size = [], 0
         for batch in batches:
-            out = []
-            for text in batch["text"].to_pylist():
-                if len(g := grams(text, n)):
-                    out.append((fingerprint(g), len(g), [s.view(np.int64) for s in np.split(g, np.searchsorted(g, edges))]))
-            columns = list(zip(*out)) or [(), (), ()]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["node", "n", "segments"])
+            for at in range(0, batch.num_rows, TEXTS):
+                piece = batch.slice(at, TEXTS)
+                sets = gram_sets(piece["text"], n)
+                nodes = [fingerprint(g) if len(g) else None for g in sets]
+                fresh = [i for i, x in enumerate(nodes) if x is not None and x not in met and not met.add(x)]
+                of, begin, sig = runs([sets[i] for i in fresh], num, den)
+                keys = np.array([key_of(nodes[i]) for i in fresh], dtype=np.int64)[of]
+                place = ((begin >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int32)
+                held.append((place, keys, sig.astype(np.uint32)))
+                size += len(of)
+                spread = [-1 - (k * 7919 + at) % (1 << 20) for k in range(piece.num_rows)]
+                yield filled(ROW_KINDS, piece.num_rows, frag=spread, doc_id=piece["doc_id"], h=piece["h"], h2=piece["h2"], n=[len(g) for g in sets], node=nodes, key=[x and key_of(x) for x in nodes])
+                if size >= HELD:
+                    yield parcels(held)
+                    held, size = [], 0
+        if size:
+            yield parcels(held)
 
     return run
 
 
-def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) that reach num / den. Sizes go first, then overlaps by fragment are summed."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("segments").alias(f"s_{x}"))
-    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    near = both.where((F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num))
-    partial = F.zip_with("s_a", "s_b", lambda x, y: F.size(F.array_intersect(x, y)).cast("long"))
-    overlap = near.select("a", "b", "n_a", "n_b", F.aggregate(partial, F.lit(0).cast("long"), lambda t, x: t + x).alias("o"))
-    return overlap.where(F.col("o") * den >= (F.col("n_a") + F.col("n_b") - F.col("o")) * num).select("a", "b")
+SIGNED = "doc_id bigint, h bigint, h2 bigint, n bigint, node binary, key bigint, a bigint, b bigint"
+SIGNED_KINDS = [("doc_id", pa.int64()), ("h", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())]
+
+
+def tying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as they are; for each fragment's runs, in one go, ties (a, b) of sets with an equal run to the least of them."""
+
+    def ties(keys: list, sigs: list) -> pa.RecordBatch:
+        key, sig = np.frombuffer(b"".join(keys), dtype=np.int64), np.frombuffer(b"".join(sigs), dtype=np.uint32)
+        order = np.lexsort((key, sig))
+        key, sig = key[order], sig[order]
+        begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        least = np.repeat(key[begin], np.diff(np.append(begin, len(sig))))
+        tied = np.unique(np.stack([key, least], axis=1)[key != least], axis=0)
+        return filled(SIGNED_KINDS, len(tied), a=tied[:, 0], b=tied[:, 1])
+
+    now, keys, sigs = None, [], []
+    for batch in batches:
+        rows = batch.filter(pa.compute.less(batch["frag"], 0))
+        if rows.num_rows:
+            yield filled(SIGNED_KINDS, rows.num_rows, **{k: rows[k] for k in ("doc_id", "h", "h2", "n", "node", "key")})
+        parcels = batch.filter(pa.compute.greater_equal(batch["frag"], 0))
+        for frag, key, sig in zip(*(parcels[k].to_pylist() for k in ("frag", "keys", "sigs"))):
+            if frag != now and keys:
+                yield ties(keys, sigs)
+                keys, sigs = [], []
+            now = frag
+            keys.append(key)
+            sigs.append(sig)
+    if keys:
+        yield ties(keys, sigs)
 
 
 def components(links: DataFrame, folder: str) -> DataFrame:
-    """(node, comp) of every node in a link: comp is the least node reachable. Labels spread and jump until they rest."""
+    """(node, comp) of every node in a link (a, b): comp is the least node reachable. Labels spread and jump until they rest."""
     edges = stored(links.union(links.select("b", "a")).distinct(), f"{folder}/edges")
     labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), f"{folder}/labels0")
     for i in range(1, 64):
@@ -144,165 +235,216 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def cutting(n: int) -> Callable:
+    """(node, segments): a text's set cut into PARTS fragments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array([(k << 64) // PARTS for k in range(1, PARTS)], dtype=np.uint64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                sets = [g for g in gram_sets(batch["text"].slice(at, TEXTS), n) if len(g)]
+                cut = [[s.tobytes() for s in np.split(g, np.searchsorted(g, edges))] for g in sets]
+                columns = [pa.array([fingerprint(g) for g in sets], pa.binary()), pa.array(cut, pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "segments"])
+
+    return run
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many n-grams each set on the left shares with each on the right."""
     ids, at, met = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
     place = np.where(met > 1, np.cumsum(met > 1) - 1, -1)[at]  # an n-gram of one set alone is in no overlap
     row = np.repeat(np.arange(len(left) + len(right)), [len(g) for g in (*left, *right)])
-    out = np.zeros((len(left), len(right)), dtype=np.int64)
-    for low in range(0, int((met > 1).sum()), WIDE):
+    out, shared = np.zeros((len(left), len(right)), dtype=np.int64), int((met > 1).sum())
+    for low in range(0, shared, WIDE):
         here = (place >= low) & (place < low + WIDE)
-        laid = np.zeros((len(left) + len(right), WIDE), dtype=np.float32)
+        laid = np.zeros((len(left) + len(right), min(WIDE, shared - low)), dtype=np.float32)
         laid[row[here], place[here] - low] = 1
         out += (laid[: len(left)] @ laid[len(left) :].T).astype(np.int64)
     return out
 
 
-def linking(num: int, den: int, pairs: bool):
-    """From blocks of a component's sets, sorted by (comp, lo, hi): (a, b) of each link, or (node, the rows it links to)."""
+def grouped(batches: Iterator[pa.RecordBatch], by: tuple[str, ...], rest: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows that are equal in the columns by, with the columns rest of each."""
+    now, rows = None, []
+    for batch in batches:
+        for key, row in zip(zip(*(batch[k].to_pylist() for k in by)), zip(*(batch[k].to_pylist() for k in rest))):
+            if key != now:
+                if rows:
+                    yield now, rows
+                now, rows = key, []
+            rows.append(row)
+    if rows:
+        yield now, rows
+
+
+COUNTED = "comp bigint, lo bigint, hi bigint, frag int, nodes array<binary>, facts binary, width int, overlaps binary"
+
+
+def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block pair and fragment, the overlaps of its sets' segments: rows of the lower block by columns of the higher."""
+    names = [c.split()[0] for c in COUNTED.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.int32(), pa.binary()]
+    for (comp, lo, hi, frag), rows in grouped(batches, ("comp", "lo", "hi", "frag"), ("block", "node", "n", "c", "segment")):
+        rows = [r for i, r in enumerate(rows) if not i or r[:2] != rows[i - 1][:2]]  # a row that occurs twice gives its set twice
+        segments = [np.frombuffer(r[4], dtype=np.uint64) for r in rows]
+        x, y = ([s for r, s in zip(rows, segments) if r[0] == side] for side in (lo, hi))
+        found = overlaps(x, y)
+        width = 2 if found.max(initial=0) < 1 << 16 else 4
+        told = (pa.array([[r[1] for r in rows]], kinds[4]), [np.array([(r[0] == lo, r[0] == hi, r[2], r[3]) for r in rows], dtype=np.int64).tobytes()]) if frag == 0 else ([None], [None])
+        columns = [[comp], [lo], [hi], [frag], *told, [width], [found.astype(f"<u{width}").tobytes()]]
+        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
+def least_reachable(yes: np.ndarray) -> np.ndarray:
+    """For a symmetric matrix of links, the least position that each can reach."""
+    label = np.arange(len(yes))
+    while True:
+        new = np.minimum(label, np.where(yes, label[None, :], len(yes)).min(axis=1, initial=len(yes)))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def summing(num: int, den: int, pairs: bool) -> Callable:
+    """Sums each block pair's overlaps over the fragments. Gives (a, b) of every link, or (node, linked, to): the number of rows linked there, and a node reached."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(lo: int, hi: int, rows: list) -> pa.RecordBatch:
-            node, n, c, block = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
-            x, y = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-            o = overlaps([rows[i][4] for i in x], [rows[i][4] for i in y])
-            yes = (o * den >= (n[x][:, None] + n[y][None, :] - o) * num) & (node[x][:, None] != node[y][None, :])
+        for (_, lo, hi), rows in grouped(batches, ("comp", "lo", "hi"), ("frag", "nodes", "facts", "width", "overlaps")):
+            nodes, facts = rows[0][1], np.frombuffer(rows[0][2], dtype=np.int64).reshape(-1, 4)
+            x, y = np.flatnonzero(facts[:, 0]), np.flatnonzero(facts[:, 1])
+            o = sum(np.frombuffer(r[4], dtype=f"<u{r[3]}").astype(np.int64) for r in rows).reshape(len(x), len(y))
+            n, c = facts[:, 2], facts[:, 3]
+            yes = o * den >= (n[x][:, None] + n[y][None, :] - o) * num
+            if lo == hi:
+                np.fill_diagonal(yes, False)
             if pairs:
-                i, j = np.nonzero(yes if lo < hi else yes & (node[x][:, None] < node[y][None, :]))
-                a, b = node[x[i]], node[y[j]]
-                return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-            nodes, sums = (node[x], yes @ c[y]) if lo == hi else (np.append(node[x], node[y]), np.append(yes @ c[y], yes.T @ c[x]))
-            return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sums)], names=["node", "linked"])
-
-        now, rows = None, []
-        for batch in batches:
-            grams_ = batch["grams"]
-            flat, ends = grams_.values.to_numpy(), grams_.offsets.to_numpy()
-            keys = zip(*(batch[k].to_pylist() for k in ("comp", "lo", "hi")))
-            facts = zip(*(batch[k].to_pylist() for k in ("node", "n", "c", "block")))
-            for i, (key, fact) in enumerate(zip(keys, facts)):
-                if key != now:
-                    if rows:
-                        yield links(*now[1:], rows)
-                    now, rows = key, []
-                rows.append((*fact, flat[ends[i] : ends[i + 1]].copy()))
-        if rows:
-            yield links(*now[1:], rows)
+                i, j = np.nonzero(np.triu(yes) if lo == hi else yes)
+                ab = [sorted((nodes[a], nodes[b])) for a, b in zip(x[i].tolist(), y[j].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in ab], pa.binary()) for k in (0, 1)], names=["a", "b"])
+                continue
+            whole = yes if lo == hi else np.zeros((len(nodes), len(nodes)), dtype=bool)
+            if lo < hi:
+                whole[np.ix_(x, y)], whole[np.ix_(y, x)] = yes, yes.T
+            if not yes.any():
+                continue
+            linked, to = whole @ c, least_reachable(whole)
+            some = np.flatnonzero(linked).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in some], pa.binary()), pa.array(linked[some], pa.int64()), pa.array([nodes[to[i]] for i in some], pa.binary())], names=["node", "linked", "to"])
 
     return run
 
 
-def linked_blocks(rows: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int, pairs: bool) -> DataFrame:
-    """All links between different sets: (a, b) nodes with a < b, or (node, linked) with parts of the number of rows it links to."""
-    copies = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
-    sizes = comps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = comps.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(copies, "node").join(sets, "node")
-    other = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = other.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "c", F.flatten("segments").alias("grams"))
-    sorted_ = dealt.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
-    return sorted_.mapInArrow(linking(num, den, pairs), "a bigint, b bigint" if pairs else "node bigint, linked bigint")
+def blocks(members: DataFrame, num: int, den: int) -> DataFrame:
+    """The members with their block and, a row each, the blocks that they are held against.
+
+    Groups of more than a block's sets are cut by size, so that links lie within a class or between neighbours, and by hash.
+    """
+    width = F.log(F.lit(1.01 * den / num))  # a little over the ratio of sizes, so that no rounding sets linked sizes two classes apart
+    sized = members.withColumn("cls", F.when(F.col("k") <= BLOCK, F.lit(0).cast("long")).otherwise(F.floor(F.log(F.col("n").cast("double")) / width)))
+    ladder = sized.groupBy("comp", "cls").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).groupBy("comp").agg(F.collect_list(F.struct("cls", "parts")).alias("ladder"))
+    named = lambda cls, part: F.shiftleft(cls, 32) + part
+    own = F.filter("ladder", lambda x: x["cls"] == F.col("cls"))[0]["parts"]
+    near = F.filter("ladder", lambda x: F.abs(x["cls"] - F.col("cls")) <= 1)
+    other = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["parts"] - 1), lambda b: named(x["cls"], b))))
+    return sized.join(ladder, "comp").select("comp", "node", "n", "c", named(F.col("cls"), F.pmod(F.xxhash64("node"), own)).alias("block"), F.explode(other).alias("other"))
+
 
+def hashes(docs: DataFrame, *more) -> DataFrame:
+    """(doc_id, h, h2): what names a row. h and h2: two hashes of the text, of its own each."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(2), "text").alias("h2"), *more)
 
-def similar(docs: DataFrame, n: int, num: int, den: int, *keep: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, node) of every row, (node, comp) of the nodes with a link to another, and (node, n, segments) of sets.
 
-    keep: further columns of docs, all bigint. A set is cut from the text of one owner, found by its id and its text's
-    hash, so that null ids and ids with several texts are owners like others.
+def similar(docs: DataFrame, n: int, num: int, den: int, pairs: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, h2, n, node) of every row, and what summing gives for the different sets that link.
+
+    A set is cut from the text of one owner, found by its id and its text's hashes, so that null ids and ids with
+    several texts are owners like others.
     """
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
-    carried = ("doc_id", "h", *keep)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), *keep, "text")
-    schema = f"{', '.join(f'`{k}` bigint' for k in carried)}, n bigint, node bigint, sigs array<bigint>"
-    signed = stored(texts.mapInArrow(signing(n, num, den, *carried), schema), f"{folder}/signed")
-    by_sig = Window.partitionBy("sig")
-    rows = signed.where("sigs is not null").select("node", F.explode("sigs").alias("sig"))
-    met = rows.select("*", F.min("node").over(by_sig).alias("lo"), F.max("node").over(by_sig).alias("hi")).where("lo < hi")
-    shared = stored(met.select("sig", "node").distinct(), f"{folder}/shared")
-    members = shared.select("node").distinct()
-    owner = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("o")
-    owners = signed.where("node is not null").groupBy("node").agg(owner).join(members, "node", "left_semi").select(F.col("o.doc_id").alias("owner"), F.col("o.h").alias("oh")).distinct()
-    owned = texts.join(owners, (F.col("h") == F.col("oh")) & F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi").select("text")
-    cut = owned.mapInArrow(segmenting(n), "node bigint, n bigint, segments array<array<bigint>>")
-    sets = stored(cut.dropDuplicates(["node"]), f"{folder}/sets")
-
-    facts = sets.select("node", "n", F.transform("segments", lambda x: F.size(x)).alias("sizes"))
-    shared = stored(shared.join(facts, "node"), f"{folder}/sized")
-
-    def close(n_a, n_b, sizes_a, sizes_b):
-        """What sets that link must meet: sizes, and sizes by fragment, that differ by no more n-grams than may."""
-        apart = F.aggregate(F.zip_with(sizes_a, sizes_b, lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
-        return (n_a * den >= n_b * num) & (n_b * den >= n_a * num) & (apart * (den + num) <= (n_a + n_b) * (den - num))
-
-    links, comps = None, spark.createDataFrame([], "node bigint, comp bigint")
-    for step in (*[f"star{i}" for i in range(STARS)], "rest"):
-        named = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        one = F.struct("node", "comp", "n", "sizes")
-        mixed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(one, F.xxhash64("node", F.lit(step))).alias("rep")).where("lo < hi")
-        if step != "rest":
-            met = named.join(mixed.select("sig", "rep"), "sig").where((F.col("comp") != F.col("rep.comp")) & close(F.col("n"), F.col("rep.n"), F.col("sizes"), F.col("rep.sizes")))
-            pairs = met.select(F.least("node", "rep.node").alias("a"), F.greatest("node", "rep.node").alias("b"))
-        else:
-            sizes = named.join(mixed.select("sig"), "sig", "left_semi").groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
-            major = sizes.groupBy("sig").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"))
-            minors = named.join(major, "sig").where("comp <> major").select(F.col("sig").alias("xs"), F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("sizes").alias("sx"))
-            may = (F.col("xs") == F.col("sig")) & (F.col("cx") != F.col("comp")) & close(F.col("nx"), F.col("n"), F.col("sx"), F.col("sizes"))
-            met = minors.join(named, may)
-            pairs = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-        found = stored(linked(pairs, sets, num, den), f"{folder}/links-{step}")
-        links = found if links is None else links.union(found)
-        comps = components(links, f"{folder}/{step}")
-    return signed.select("doc_id", "n", "node", *keep), comps, sets
-
-
-def components_of(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node) of every row."""
-    named = rows.join(comps, "node", "left").select("doc_id", "n", "node", F.coalesce("comp", "node").alias("key"))
-    least = named.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
-    first = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("first"))
-    return named.join(least, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), first.alias("component_id"), "node")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = hashes(docs, "text")
+    parcels = texts.mapInArrow(signing(n, num, den, max(FRAGMENTS, 2 * partitions)), ROWS).repartition(partitions, "frag").sortWithinPartitions("frag")
+    signed = stored(parcels.mapInArrow(tying, SIGNED), f"{folder}/signed")
+    rows = signed.where("n is not null").drop("a", "b")
+    groups = components(signed.where("a is not null").select("a", "b"), f"{folder}/groups")
+
+    owner = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "h2")).alias("o")
+    nodes = rows.where("node is not null").groupBy("node").agg(owner, F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("key").alias("key"))
+    met = stored(nodes.join(groups.select(F.col("node").alias("key"), "comp"), "key").select("comp", "node", "n", "c", "o.doc_id", "o.h", "o.h2"), f"{folder}/met")
+    sizes = met.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    members = stored(met.join(sizes, "comp"), f"{folder}/members")
+    count = members.count()
+
+    owners = broadcast_if_small(members.select(F.col("doc_id").alias("o_id"), F.col("h").alias("o_h"), F.col("h2").alias("o_h2")), count, SMALL)
+    own = (F.col("h") == F.col("o_h")) & (F.col("h2") == F.col("o_h2")) & F.col("doc_id").eqNullSafe(F.col("o_id"))
+    cut = texts.join(owners, own, "left_semi").select("text").mapInArrow(cutting(n), "node binary, segments array<binary>")
+    dealt = blocks(members, num, den).join(cut, "node").select("comp", "block", "node", "n", "c", "other", F.posexplode("segments").alias("frag", "segment"))
+    keyed = dealt.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "frag", "block", "node", "n", "c", "segment")
+    laid = keyed.repartition("comp", "lo", "hi", "frag").sortWithinPartitions("comp", "lo", "hi", "frag", "block", "node")
+    counts = laid.mapInArrow(counting, COUNTED).repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "frag")
+    found = counts.mapInArrow(summing(num, den, pairs), "a binary, b binary" if pairs else "node binary, linked bigint, to binary")
+    return rows, stored(found, f"{folder}/found")
+
+
+def in_components(rows: DataFrame, found: DataFrame, folder: str) -> DataFrame:
+    """The rows with comp: the same for all that are reachable by links, null for a set without words."""
+    comps = components(found.where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")), folder)
+    return rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def joined(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text).
+    """(doc_id, n_shingles, component_id, n_links) of every row of docs (doc_id, text).
 
-    Two rows link when their shingle sets' overlap is at least num / den of their union. Null and blank texts have
-    empty sets and link with nothing: component_id is their own doc_id. Repeated rows link like copies. Null ids
-    link too, but never name a component that has an id. An empty table gives no rows.
+    Two rows link when their shingle sets' overlap is at least num / den of their union; n_links is the number of other
+    rows that a row links with, its copies among them. Null and blank texts have empty sets and link with nothing:
+    component_id is their own doc_id. Repeated rows link like copies. Null ids link too, but never name a component
+    that has an id. Other columns are left out. An empty table gives no rows.
     """
-    rows, comps, _ = similar(docs, n, num, den)
-    return components_of(rows, comps).drop("node")
-
-
-def counted(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """The columns of joined, and n_links: how many other rows the row links with, its copies among them."""
-    rows, comps, sets = similar(docs, n, num, den)
-    linked_ = linked_blocks(rows, comps, sets, num, den, False).groupBy("node").agg(F.sum("linked").alias("linked"))
+    rows, found = similar(docs, n, num, den)
+    named = in_components(rows, found, shared_folder(docs.sparkSession))
+    least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("first"))
     copies = rows.where("node is not null").groupBy("node").agg((F.count(F.lit(1)) - 1).alias("copies"))
-    totals = copies.join(linked_, "node", "left").select("node", (F.col("copies") + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    whole = components_of(rows, comps).join(totals, "node", "left")
-    return whole.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    totals = copies.join(found.groupBy("node").agg(F.sum("linked").alias("linked")), "node", "left")
+    links_ = totals.select("node", (F.col("copies") + F.coalesce("linked", F.lit(0))).alias("n_links")).where("n_links > 0")
+    first = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("first"))
+    whole = named.join(least, "comp", "left").join(links_, "node", "left")
+    return whole.select("doc_id", F.col("n").alias("n_shingles"), first.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node) of every row, node naming its distinct set, and (a, b) of every link between different sets, a < b."""
-    rows, comps, sets = similar(docs, n, num, den)
-    return rows, linked_blocks(rows, comps, sets, num, den, True)
+    rows, found = similar(docs, n, num, den, True)
+    return rows.select("doc_id", "n", "node"), found
 
 
 def op5_ngram_jaccard(spark, sf_dir) -> DataFrame:
-    return counted(table(spark, sf_dir, "documents"))
+    """The whole documents table, as joined gives it."""
+    return joined(table(spark, sf_dir, "documents"))
 
 
 def stage(spark, docs, sf_dir) -> DataFrame:
     """One row of each group of five-word shingle sets with a similarity of 0.8 or more: that with the least id.
 
-    Rows have keys of their own, so of repeated rows one stays, an id's texts are told apart, and of rows without ids
-    one stays where no other row of its group has an id. Null and blank texts link with nothing and all stay.
+    Of repeated rows one stays, an id's texts are told apart, and of rows without ids one stays where no other row of
+    its group has an id. Null and blank texts link with nothing and all stay. All columns are carried, whatever their names.
     """
-    key = next(k for k in (f"row_{i}" for i in range(len(docs.columns) + 1)) if k not in {c.lower() for c in docs.columns})
-    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), f"{shared_folder(spark)}/keyed")
-    rows, comps, _ = similar(keyed, 5, 80, 100, key)
-    named = rows.join(comps, "node", "left").select(key, "doc_id", F.coalesce("comp", "node").alias("comp"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key)).alias("first")
-    firsts = named.where("comp is not null").groupBy("comp").agg(least).select(F.col(f"first.{key}").alias(key))
-    return keyed.join(firsts.union(named.where("comp is null").select(key)), key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    folder = shared_folder(spark)
+    rows, found = similar(docs, 5, 80, 100)
+    named = in_components(rows.where("node is not null"), found, folder)
+    name = ("doc_id", "h", "h2")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), *name)).alias("first")
+    first = named.groupBy("comp").agg(least, F.count(F.lit(1)).alias("k")).where("k > 1").select("comp", "first")
+    told = named.join(first, "comp").groupBy(*name).agg(F.count(F.lit(1)).alias("k"), F.first(F.struct(*name).eqNullSafe(F.struct(*[f"first.{c}" for c in name]))).alias("stays"))
+    gone = stored(told.where("not stays or k > 1"), f"{folder}/gone")  # other rows than a group's first, and firsts that are repeated
+    count = gone.count()
+    held = hashes(docs, F.struct("*").alias("row"))
+
+    def matched(some: DataFrame, how: str) -> DataFrame:
+        side = broadcast_if_small(some.select(*[F.col(c).alias(f"g_{c}") for c in name]), count, SMALL)
+        return held.join(side, (F.col("h") == F.col("g_h")) & (F.col("h2") == F.col("g_h2")) & F.col("doc_id").eqNullSafe(F.col("g_doc_id")), how)
+
+    single = matched(gone, "left_anti").select("row.*")
+    one = matched(gone.where("stays"), "left_semi").groupBy(*name).agg(F.first("row").alias("row")).select("row.*")
+    return single.union(one)
