@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -205,10 +206,10 @@ def tying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     now, keys, sigs = None, [], []
     for batch in batches:
-        rows = batch.filter(pa.compute.less(batch["frag"], 0))
+        rows = batch.filter(pc.less(batch["frag"], 0))
         if rows.num_rows:
             yield filled(SIGNED_KINDS, rows.num_rows, **{k: rows[k] for k in ("doc_id", "h", "h2", "n", "node", "key")})
-        parcels = batch.filter(pa.compute.greater_equal(batch["frag"], 0))
+        parcels = batch.filter(pc.greater_equal(batch["frag"], 0))
         for frag, key, sig in zip(*(parcels[k].to_pylist() for k in ("frag", "keys", "sigs"))):
             if frag != now and keys:
                 yield ties(keys, sigs)
