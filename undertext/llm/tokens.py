@@ -1,9 +1,10 @@
 """Encoders that remember pre-tokens, for use inside tasks.
 
-A task splits a whole text at its spaces, where pre-tokens begin, and asks the library only for pieces that it has
-not met. Splitting here is exact for printable ASCII and Latin letters; any other text, and any text with a special
-string, goes through the library as a whole. A space with white space on both sides, or at the end after white
-space, may lie inside a pre-token: texts with such a space are split into pre-tokens in full.
+A task splits whole texts at their spaces, where pre-tokens begin, finds the distinct pieces, and asks the library only
+for those that it has not met; ids are then laid out by array. Pieces of printable ASCII and Latin letters are split on
+into pre-tokens here, so that "word", "word." and "word," share one; the library encodes any other piece by itself. A
+space with white space on both sides, or at the end after white space, may lie inside a pre-token: texts with such a
+space, texts with a special string and texts with U+0000 go through the library as a whole.
 """
 
 from __future__ import annotations
@@ -13,15 +14,24 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Texts made of these only are split here.
+#: Pieces and texts made of these only are split here.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: The byte-level pre-token pattern of the published vocabulary, over the characters of PLAIN.
 BYTE_LEVEL = re.compile(r"'(?:[st]|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
 #: A space that need not begin a pre-token.
 INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
 #: What any text with an inner space contains; looking for these first is quicker.
 PAIRS = ("  ", "\n ", "\r ", "\t ")
+#: Marks that are a pre-token by themselves behind a word; those left out take the general way, with equal results.
+MARKS = tuple(".,;:!?)")
+#: How byte-level vocabularies write bytes that are not printable, numbered from 256 in ascending order.
+SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+#: Bytes of text that are worked on at once, one text at least.
+AT_ONCE = 1 << 23
 #: A worker forgets all pre-tokens beyond this number; only speed depends on it.
 REMEMBERED = 1_300_000
 
@@ -43,61 +53,104 @@ def special_strings(tokenizer) -> re.Pattern | None:
     return re.compile("|".join(sorted(found, key=len, reverse=True))) if found else None
 
 
-def pieces_of(text: str) -> list[str]:
-    """Parts of a plain text that the library would encode each by itself: those marked by U+0000 as they are, all others after a space."""
-    if any(p in text for p in PAIRS) and INNER_SPACE.search(text):
-        return ["\0" + p for p in BYTE_LEVEL.findall(text)]
-    parts = text.split(" ")
-    parts[0] = "\0" + parts[0]
-    return parts
+def laid_out(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[b : b + n] for each b and n of begin and size, joined."""
+    ends = np.cumsum(size)
+    kind = np.int32 if len(flat) < 1 << 30 else np.int64
+    at = np.repeat((begin - ends + size).astype(kind), size)
+    at += np.arange(len(at), dtype=kind)
+    return flat[at]
 
 
 class ByteLevelEncoder:
-    """ids of whole texts as little-endian unsigned integers of the narrowest width that holds the vocabulary."""
+    """The ids of whole texts, as the library's encode(text, add_special_tokens=False) has them.
+
+    A piece stands for itself after a space, or, behind U+0000, for itself at the beginning of a text or of a pre-token.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = library(path)
+        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.special = special_strings(self.tokenizer)
-        self.known: dict[str, bytes] = {}
-
-    def pack(self, ids) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        plain = [PLAIN.fullmatch(t) is not None and not (self.special and self.special.search(t)) for t in texts]
-        split = [pieces_of(t) if p else None for t, p in zip(texts, plain)]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        get, out, missing = self.known.__getitem__, [], set()
-        for text, pieces in zip(texts, split):
-            try:
-                out.append(b"".join(map(get, pieces)) if pieces is not None else self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids))
-            except KeyError:
-                out.append(None)
-                missing.update(pieces)
-        if missing:
-            self.learn(list(missing.difference(self.known)))
-        return [b"".join(map(get, pieces)) if packed is None else packed for packed, pieces in zip(out, split)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.begin, self.size = np.empty(0, dtype=self.kind), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """An array of ids for each text; null is empty."""
+        texts, out = texts.fill_null(""), []
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
+            out += self.some(texts.slice(at, until - at))
+            at = until
+        return out
+
+    def some(self, texts: pa.Array) -> list[np.ndarray]:
+        if len(self.place) > REMEMBERED:
+            self.forget()
+        strings = texts.to_pylist()
+        whole = ["\0" in t or bool(self.special and self.special.search(t)) or any(p in t for p in PAIRS) and INNER_SPACE.search(t) is not None for t in strings]
+        split = pc.split_pattern(texts.filter(pa.array([not w for w in whole])), " ")
+        offsets, found = split.offsets.to_numpy() - split.offsets[0].as_py(), split.flatten().dictionary_encode()
+        pieces, index = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+        firsts = ["\0" + t.split(" ", 1)[0] for t, w in zip(strings, whole) if not w]
+        self.learn([p for p in dict.fromkeys(chain(pieces, firsts)) if p not in self.place])
+        places = np.fromiter(map(self.place.__getitem__, pieces), dtype=np.int64, count=len(pieces))[index]
+        places[offsets[:-1]] = [self.place[f] for f in firsts]
+        sizes = self.size[places]
+        ids, ends = laid_out(self.flat, self.begin[places], sizes), np.append(0, np.cumsum(sizes))[offsets]
+        simple = iter(zip(ends[:-1].tolist(), ends[1:].tolist()))
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=self.kind) if w else ids[slice(*next(simple))] for t, w in zip(strings, whole)]
+
+    def keep(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys))))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.flat, self.size = np.concatenate([self.flat, ids]), np.concatenate([self.size, sizes])
 
     def learn(self, pieces: list[str]) -> None:
-        """Remembers the ids of pieces. One sequence of many pre-tokens costs the library less than many sequences."""
-        inside = {}
+        """Remembers the ids of new pieces."""
+        inside, other, new = {}, [], {}
         for p in pieces:
-            if not p.isalpha():  # letters alone are one pre-token with their space
-                parts = BYTE_LEVEL.findall(p[1:] if p.startswith("\0") else " " + p)
-                inside[p] = [x[1:] if x.startswith(" ") else "\0" + x for x in parts]
-        new = list(dict.fromkeys(k for k in chain(chain.from_iterable(inside.values()), (p for p in pieces if p not in inside)) if k not in self.known))
-        if new:
-            words = [k[1:] if k.startswith("\0") else " " + k for k in new]
-            got = self.tokenizer.encode_batch([words], is_pretokenized=True, add_special_tokens=False)[0]
-            ids, width, begin = self.pack(got.ids), self.kind.itemsize, 0
-            for key, end in zip(new, np.searchsorted(np.array(got.word_ids), np.arange(len(new)), side="right").tolist()):
-                self.known[key] = ids[begin * width : end * width]
-                begin = end
-        for piece, parts in inside.items():
-            if parts != [piece]:
-                self.known[piece] = b"".join(map(self.known.__getitem__, parts))
+            if LETTERS.fullmatch(p):  # letters alone are one pre-token with their space
+                new[p] = None
+            elif p[-1:] in MARKS and LETTERS.fullmatch(p, 0, len(p) - 1):
+                inside[p] = (p[:-1], "\0" + p[-1])
+            elif PLAIN.fullmatch(p, 1 if p.startswith("\0") else 0):
+                parts = [x[1:] if x.startswith(" ") else "\0" + x for x in BYTE_LEVEL.findall(p[1:] if p.startswith("\0") else " " + p)]
+                if parts == [p]:
+                    new[p] = None
+                else:
+                    inside[p] = parts
+            else:
+                other.append(p)
+        new.update(dict.fromkeys(chain.from_iterable(inside.values())))
+        for keys, call in ((list(new), self.pre_tokens), (other, self.texts)):
+            if keys := [k for k in keys if k not in self.place]:
+                got = call(keys)
+                self.keep(keys, np.fromiter(chain.from_iterable(got), dtype=self.kind), np.fromiter(map(len, got), dtype=np.int64, count=len(got)))
+        if keys := [p for p in inside if p not in self.place]:  # an empty piece at the beginning of a text has no parts
+            counts = np.fromiter((len(inside[p]) for p in keys), dtype=np.int64, count=len(keys))
+            parts = np.fromiter(map(self.place.__getitem__, chain.from_iterable(inside[p] for p in keys)), dtype=np.int64)
+            sums = np.append(0, np.cumsum(self.size[parts]))[np.append(0, np.cumsum(counts))]
+            self.keep(keys, laid_out(self.flat, self.begin[parts], self.size[parts]), np.diff(sums))
+
+    def pre_tokens(self, keys: list[str]) -> list[list[int]]:
+        """Ids of pre-tokens, whose bytes the library's model takes as characters."""
+        space = chr(SHOWN[32])
+
+        def shown(k: str) -> str:
+            before, word = ("", k[1:]) if k.startswith("\0") else (space, k)
+            return before + (word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(SHOWN))
+
+        return [[t.id for t in found] for found in map(self.model.tokenize, map(shown, keys))]
+
+    def texts(self, keys: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([k[1:] if k.startswith("\0") else " " + k for k in keys], add_special_tokens=False)]
 
 
 def encoder(path: str) -> ByteLevelEncoder:
