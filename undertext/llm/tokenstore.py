@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from undertext.llm.common import shared_folder, table
 
 WINDOW, MASK, LEAST, MOST = 4, 1023, 128, 8192
-DOCS_A_PART = 100_000
+DOCS_A_PART = 20_000
 #: Texts that are encoded at once.
 TEXTS = 2000
 PIECES = "kind string, key binary, doc_id bigint, n_tokens bigint, root binary, chunks array<binary>, width int, body binary"
