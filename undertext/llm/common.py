@@ -43,9 +43,11 @@ def gap_split(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset, a temporary one becomes it."""
+    """A new folder under spark.checkpoint.dir. Where that is unset, a local session gets a temporary one; on a cluster, whose executors would not share it, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="undertext-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/undertext-{uuid.uuid4().hex}"

@@ -139,6 +139,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def copies(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each time that a document is taken whole, and one with
     the words of the blocks that are taken once more, joined by spaces; n_chars follows the text where it is there.
+    Null and blank texts are never taken. Equal rows are interchangeable. Other columns are carried, whatever their names.
     """
     parts, _ = pieces(sizes(docs, shared_folder(docs.sparkSession)), mix)
     by_row = parts.groupBy("key", "size").agg(
@@ -149,24 +150,26 @@ def copies(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     more = F.when(F.col("most") > F.col("whole"), F.array(F.filter("parts", lambda p: p.getField("times") > F.col("whole"))))
     whole = F.array_repeat(F.array().cast("array<struct<begin:bigint,end:bigint,times:bigint>>"), F.col("whole").cast("int"))
     spec = by_row.select("key", F.explode(F.concat(whole, F.coalesce(more, F.array().cast("array<array<struct<begin:bigint,end:bigint,times:bigint>>>")))).alias("runs"))
-    spec = spec.groupBy(F.col("key.doc_id").alias("_d"), F.col("key.h").alias("_h")).agg(F.collect_list("runs").alias("_runs"))
-    one = docs.withColumn("_row", F.xxhash64(*docs.columns)).dropDuplicates(["doc_id", "_row"])
-    joined = one.join(spec, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_h"))).withColumn("_run", F.explode("_runs"))
+    spec = spec.groupBy(F.col("key.doc_id").alias("d"), F.col("key.h").alias("k")).agg(F.collect_list("runs").alias("all_runs"))
+    one = docs.select("doc_id", F.xxhash64(*docs.columns).alias("h"), "text", F.struct("*").alias("row")).dropDuplicates(["doc_id", "h"])
+    joined = one.join(spec, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))).withColumn("run", F.explode("all_runs"))
 
     def chosen(words):
-        return F.array_join(F.flatten(F.transform("_run", lambda r: F.slice(words, (r.getField("begin") + 1).cast("int"), (r.getField("end") - r.getField("begin")).cast("int")))), " ")
+        return F.array_join(F.flatten(F.transform("run", lambda r: F.slice(words, (r.getField("begin") + 1).cast("int"), (r.getField("end") - r.getField("begin")).cast("int")))), " ")
 
-    text = F.when(F.size("_run") == 0, F.col("text")).otherwise(let(blank_split(F.col("text")), chosen))
+    text = F.when(F.size("run") == 0, F.col("text")).otherwise(let(blank_split(F.col("text")), chosen))
     out = joined.withColumn("text", text)
+    own = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def stage(spark, docs, sf_dir) -> DataFrame:
-    """What the mix takes of the documents."""
+    """What the mix takes of the documents, as copies gives it; an empty table gives no rows."""
     return copies(docs)
 
 
 def op1_mix_sources(spark, sf_dir) -> DataFrame:
+    """The whole documents table, as mixed gives it."""
     return mixed(table(spark, sf_dir, "documents"))
