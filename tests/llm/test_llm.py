@@ -187,3 +187,48 @@ def test_pipeline_stages_keep_whole_rows(spark, docs, tmp_path):
     mix = stages["mix_sources"](spark, clean, str(tmp_path))
     assert [tuple(r) for r in mix.collect()] == [rows[0]] or mix.count() == 1
     assert stages["token_store"](spark, mix, str(tmp_path)).count() == mix.count()
+
+
+def test_quality_cutoffs_are_those_of_exact_binomial_sums(spark):
+    """Two strata and one too small for any cutoff, against plain Python."""
+    import math
+    import random
+    from fractions import Fraction
+
+    rng, rows, labels = random.Random(8), [], []
+    for i in range(3300):
+        lang, good = ("en", "fr", None)[min(2, i // 1600)], i % 11 > 0
+        n = rng.randrange(0, 9) if good else rng.randrange(4, 40)
+        rows.append((i, " ".join(f"{'#' if j < n else 'w'}{i}x{j}{'y' * rng.randrange(5)}" for j in range(60)), lang))
+        labels.append((i, int(good)))
+    risk, names = quality.Risk(), [n for n, _, _ in quality.RULES]
+    measures = {}
+    for i, text, _ in rows:
+        q = brute.quality(text)
+        n, chars = q["n_words"], q["word_chars"]
+        measures[i] = (q["n_symbols"] * 10000 // chars, 0, 0, chars * 100 // n, -(chars * 100 // n))
+    want = {}
+    for lang in {r[2] for r in rows}:
+        ids = [r[0] for r in rows if r[2] == lang]
+        good, bad = [i for i in ids if labels[i][1]], [i for i in ids if not labels[i][1]]
+        a, tests = Fraction(1, 20) / len(names), 3 * len(names)
+        k, below = -1, Fraction(0)
+        while True:
+            below += math.comb(len(good), k + 1) * a ** (k + 1) * (1 - a) ** (len(good) - k - 1)
+            if below > Fraction(1, 20) / tests:
+                break
+            k += 1
+        for at, name in enumerate(names):
+            best = None
+            for v in sorted({measures[i][at] for i in ids}):
+                over = sum(measures[i][at] > v for i in good)
+                if over <= k:
+                    gain = sum(measures[i][at] > v for i in bad) / len(bad) - risk.price * over / len(good)
+                    if gain > 0 and (best is None or (gain, v) > best):
+                        best = (gain, v)
+            if best:
+                want[lang, name] = best[1]
+    assert want and not any(lang is None for lang, _ in want)
+    got = {r.doc_id: r.kept for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert got == {i: not any(measures[i][at] > want.get((lang, name), math.inf) for at, name in enumerate(names)) for i, _, lang in rows}
+    assert 0 < sum(not kept for kept in got.values()) < 400

@@ -8,7 +8,7 @@ rules, and d is Bonferroni's share of the total error over all strata and rules.
 any k get no cutoff and reject nothing.
 
 The holdout is counted into a histogram of the metric's whole values first, so no window ever sees more rows
-than a metric has values, whatever the number of labels.
+than a metric has values (10,001 for shares; for the mean length of words as many as labelled documents have).
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undertext.llm.common import BLANK_RUN, blank_split, let, shared_folder, stored, table
+from undertext.llm.common import BLANK_RUN, blank_split, broadcast_if_small, let, shared_folder, stored, table
 
 SYMBOLS = "#*$%&|<>"
-TOP = 1_000_000
+#: Cutoffs are broadcast up to this many strata, else joined by shuffle.
+SMALL = 10_000
 
 
 @dataclass(frozen=True)
@@ -97,7 +98,7 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
 def judged(rows: DataFrame) -> DataFrame:
     """Adds base_failed and a metric column for each rule."""
     bad = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return rows.withColumn("base_failed", bad).withColumns({f"m_{n}": F.least(F.expr(e), F.lit(TOP)).cast("long") for n, e, _ in RULES})
+    return rows.withColumn("base_failed", bad).withColumns({f"m_{n}": F.expr(e).cast("long") for n, e, _ in RULES})
 
 
 def log_gamma(x: Column) -> Column:
@@ -148,7 +149,7 @@ def cutoffs(rows: DataFrame, labels: DataFrame, risk: Risk) -> DataFrame:
         F.try_divide(F.sum("good").over(beyond) - F.col("good"), F.sum("good").over(all_of)).alias("lost"),
     )
     gain = F.coalesce(F.col("caught"), F.lit(0.0)) - F.col("lost") * risk.price
-    valid = ranked.join(F.broadcast(allowed(strata, risk)), "stratum").where("good_above <= k").withColumn("gain", gain)
+    valid = ranked.join(allowed(strata, risk), "stratum").where("good_above <= k").withColumn("gain", gain)
     return valid.where("gain > 0").groupBy("stratum", "rule").agg(F.max_by("v", F.struct("gain", "v")).alias("cutoff"))
 
 
@@ -162,22 +163,24 @@ def verdicts(docs: DataFrame, labels: DataFrame, *keep: str, risk: Risk = Risk()
     keep = ("doc_id", *[c for c in keep if c != "doc_id"])
     wanted = docs.select(*keep, *[c for c in ("text", "lang") if c not in keep])
     thin = measured(wanted.withColumn("stratum", F.concat(F.lit("lang:"), F.coalesce(F.col("lang"), F.lit("\x00")))), *keep, "stratum")
-    rows = stored(judged(thin), f"{shared_folder(docs.sparkSession)}/measures")
+    folder = shared_folder(docs.sparkSession)
+    rows = stored(judged(thin), f"{folder}/measures")
     limits = cutoffs(rows, labels, risk).groupBy("stratum").pivot("rule", [n for n, _, _ in RULES]).agg(F.first("cutoff"))
-    limits = limits.select("stratum", *[F.col(n).alias(f"x_{n}") for n, _, _ in RULES])
+    limits = stored(limits.select(F.col("stratum").alias("of_stratum"), *[F.col(n).alias(f"x_{n}") for n, _, _ in RULES]), f"{folder}/limits")
     over = [F.coalesce((F.col(f"m_{n}") if up else -F.col(f"m_{n}")) > F.col(f"x_{n}"), F.lit(False)) for n, _, up in RULES]
     rejected = reduce(lambda a, b: a | b, over)
-    joined = rows.join(F.broadcast(limits), "stratum", "left")
+    joined = rows.join(broadcast_if_small(limits, limits.count(), SMALL), F.col("stratum") == F.col("of_stratum"), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
 def op7_quality_rules(spark, sf_dir) -> DataFrame:
+    """The whole documents and labels tables, as verdicts gives them."""
     return verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def stage(spark, docs, sf_dir) -> DataFrame:
-    """The documents that the rules keep."""
+    """The documents that the rules keep, with all columns; an empty table gives no rows."""
     rows = docs.select("doc_id", "text", "lang", F.struct("*").alias("_row"))
     return verdicts(rows, table(spark, sf_dir, "labels"), "_row").where("kept").select("_row.*")
