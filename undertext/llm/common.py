@@ -63,3 +63,33 @@ def stored(df: DataFrame, folder: str, *by: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int, bound: int) -> DataFrame:
     """df marked for broadcast where its counted rows are within the bound; else Spark shuffles the join."""
     return F.broadcast(df) if rows <= bound else df
+
+
+#: What names a row of documents together with its doc_id.
+NAME = ("doc_id", "h", "h2")
+#: Names of rows are broadcast up to this many (about 50 bytes each), else joined by shuffle.
+FEW = 1_000_000
+
+
+def named_rows(docs: DataFrame, by: tuple[str, ...], *more: str | Column) -> DataFrame:
+    """(doc_id, h, h2) and more of every row. h and h2 are two hashes of the columns in by, so 128 bits tell texts apart."""
+    told = [x for c in by for x in (F.col(c), F.col(c).isNull())]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*told).alias("h"), F.xxhash64(F.lit(2), *told).alias("h2"), *more)
+
+
+def matching(rows: DataFrame, names: DataFrame, count: int, how: str) -> DataFrame:
+    """rows joined (left_anti or left_semi) with names, both with (doc_id, h, h2); count: how many names there are."""
+    side = broadcast_if_small(names.select(*[F.col(c).alias(f"g_{c}") for c in NAME]), count, FEW)
+    return rows.join(side, (F.col("h") == F.col("g_h")) & (F.col("h2") == F.col("g_h2")) & F.col("doc_id").eqNullSafe(F.col("g_doc_id")), how)
+
+
+def without(docs: DataFrame, by: tuple[str, ...], names: DataFrame, folder: str) -> DataFrame:
+    """docs, with all their columns, but for the rows that names has. The names are written to folder, not the rows."""
+    gone = stored(names.select(*NAME).distinct(), folder)
+    return matching(named_rows(docs, by, F.struct("*").alias("row")), gone, gone.count(), "left_anti").select("row.*")
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of written tables that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertext.llm.common import broadcast_if_small, gap_split, let, shared_folder, stored, table
+from undertext.llm.common import broadcast_if_small, discard, gap_split, let, named_rows, shared_folder, stored, table, without
 
 SPAN = 10
 #: Benchmark windows and terms are broadcast up to this many rows (about 200 bytes each), else joined by shuffle.
@@ -95,7 +95,8 @@ def checked(docs: DataFrame, items: DataFrame, *keep: str, span: int = SPAN) ->
     found = found.select("key", covered(F.col("spans")).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     keep = ("doc_id", *[c for c in keep if c != "doc_id"])
     lengths = postings.groupBy("key").agg((F.max("pos") + 1).cast("long").alias("n_words"))
-    facts = lengths.join(found, "key", "left")
+    facts = stored(lengths.join(found, "key", "left"), f"{folder}/facts")
+    discard(docs.sparkSession, f"{folder}/postings")
     rows = keyed(docs, *keep)
     zero = F.lit(0).cast("long")
     return rows.join(facts, "key", "left").select(
@@ -104,10 +105,11 @@ def checked(docs: DataFrame, items: DataFrame, *keep: str, span: int = SPAN) ->
 
 
 def op2_decontaminate(spark, sf_dir) -> DataFrame:
+    """The whole documents and benchmark tables, as checked gives them."""
     return checked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def stage(spark, docs, sf_dir) -> DataFrame:
-    """The documents without any benchmark window."""
-    rows = docs.select("doc_id", "text", F.struct("*").alias("_row"))
-    return checked(rows, table(spark, sf_dir, "benchmark"), "_row").where("not contaminated").select("_row.*")
+    """The documents without any benchmark window, with all columns; an empty table gives no rows."""
+    found = checked(named_rows(docs, ("text",), "text"), table(spark, sf_dir, "benchmark"), "h", "h2").where("contaminated")
+    return without(docs, ("text",), found, f"{shared_folder(spark)}/contaminated")

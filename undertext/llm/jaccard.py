@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertext.llm.common import broadcast_if_small, shared_folder, stored, table
+from undertext.llm.common import NAME, matching, named_rows, shared_folder, stored, table
 
 #: Fragments for which overlaps are counted apart.
 PARTS = 4
@@ -35,8 +35,6 @@ BLOCK, WIDE = 1024, 4096
 FRAGMENTS = 256
 #: Runs that a task holds before it deals them, and texts that it reads at once.
 HELD, TEXTS = 1_000_000, 500
-#: Owners of sets are broadcast up to this many (about 50 bytes each), else joined by shuffle.
-SMALL = 1_000_000
 
 _rng = np.random.default_rng(5)
 _byte = _rng.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
@@ -352,11 +350,6 @@ def blocks(members: DataFrame, num: int, den: int) -> DataFrame:
     return sized.join(ladder, "comp").select("comp", "node", "n", "c", named(F.col("cls"), F.pmod(F.xxhash64("node"), own)).alias("block"), F.explode(other).alias("other"))
 
 
-def hashes(docs: DataFrame, *more) -> DataFrame:
-    """(doc_id, h, h2): what names a row. h and h2: two hashes of the text, of its own each."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(2), "text").alias("h2"), *more)
-
-
 def similar(docs: DataFrame, n: int, num: int, den: int, pairs: bool = False) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h, h2, n, node) of every row, and what summing gives for the different sets that link.
 
@@ -365,7 +358,7 @@ def similar(docs: DataFrame, n: int, num: int, den: int, pairs: bool = False) ->
     """
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = hashes(docs, "text")
+    texts = named_rows(docs, ("text",), "text")
     parcels = texts.mapInArrow(signing(n, num, den, max(FRAGMENTS, 2 * partitions)), ROWS).repartition(partitions, "frag").sortWithinPartitions("frag")
     signed = stored(parcels.mapInArrow(tying, SIGNED), f"{folder}/signed")
     rows = signed.where("n is not null").drop("a", "b")
@@ -376,11 +369,8 @@ def similar(docs: DataFrame, n: int, num: int, den: int, pairs: bool = False) ->
     met = stored(nodes.join(groups.select(F.col("node").alias("key"), "comp"), "key").select("comp", "node", "n", "c", "o.doc_id", "o.h", "o.h2"), f"{folder}/met")
     sizes = met.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     members = stored(met.join(sizes, "comp"), f"{folder}/members")
-    count = members.count()
-
-    owners = broadcast_if_small(members.select(F.col("doc_id").alias("o_id"), F.col("h").alias("o_h"), F.col("h2").alias("o_h2")), count, SMALL)
-    own = (F.col("h") == F.col("o_h")) & (F.col("h2") == F.col("o_h2")) & F.col("doc_id").eqNullSafe(F.col("o_id"))
-    cut = texts.join(owners, own, "left_semi").select("text").mapInArrow(cutting(n), "node binary, segments array<binary>")
+    owned = matching(texts, members, members.count(), "left_semi")
+    cut = owned.select("text").mapInArrow(cutting(n), "node binary, segments array<binary>")
     dealt = blocks(members, num, den).join(cut, "node").select("comp", "block", "node", "n", "c", "other", F.posexplode("segments").alias("frag", "segment"))
     keyed = dealt.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "frag", "block", "node", "n", "c", "segment")
     laid = keyed.repartition("comp", "lo", "hi", "frag").sortWithinPartitions("comp", "lo", "hi", "frag", "block", "node")
@@ -434,18 +424,11 @@ def stage(spark, docs, sf_dir) -> DataFrame:
     folder = shared_folder(spark)
     rows, found = similar(docs, 5, 80, 100)
     named = in_components(rows.where("node is not null"), found, folder)
-    name = ("doc_id", "h", "h2")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), *name)).alias("first")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), *NAME)).alias("first")
     first = named.groupBy("comp").agg(least, F.count(F.lit(1)).alias("k")).where("k > 1").select("comp", "first")
-    told = named.join(first, "comp").groupBy(*name).agg(F.count(F.lit(1)).alias("k"), F.first(F.struct(*name).eqNullSafe(F.struct(*[f"first.{c}" for c in name]))).alias("stays"))
+    stays = F.struct(*NAME).eqNullSafe(F.struct(*[f"first.{c}" for c in NAME]))
+    told = named.join(first, "comp").groupBy(*NAME).agg(F.count(F.lit(1)).alias("k"), F.first(stays).alias("stays"))
     gone = stored(told.where("not stays or k > 1"), f"{folder}/gone")  # other rows than a group's first, and firsts that are repeated
-    count = gone.count()
-    held = hashes(docs, F.struct("*").alias("row"))
-
-    def matched(some: DataFrame, how: str) -> DataFrame:
-        side = broadcast_if_small(some.select(*[F.col(c).alias(f"g_{c}") for c in name]), count, SMALL)
-        return held.join(side, (F.col("h") == F.col("g_h")) & (F.col("h2") == F.col("g_h2")) & F.col("doc_id").eqNullSafe(F.col("g_doc_id")), how)
-
-    single = matched(gone, "left_anti").select("row.*")
-    one = matched(gone.where("stays"), "left_semi").groupBy(*name).agg(F.first("row").alias("row")).select("row.*")
-    return single.union(one)
+    count, held = gone.count(), named_rows(docs, ("text",), F.struct("*").alias("row"))
+    one = matching(held, gone.where("stays"), count, "left_semi").groupBy(*NAME).agg(F.first("row").alias("row"))
+    return matching(held, gone, count, "left_anti").select("row.*").union(one.select("row.*"))

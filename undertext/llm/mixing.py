@@ -141,7 +141,9 @@ def copies(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     the words of the blocks that are taken once more, joined by spaces; n_chars follows the text where it is there.
     Null and blank texts are never taken. Equal rows are interchangeable. Other columns are carried, whatever their names.
     """
-    parts, _ = pieces(sizes(docs, shared_folder(docs.sparkSession)), mix)
+    folder = shared_folder(docs.sparkSession)
+    rows = sizes(docs, folder)
+    parts, _ = pieces(rows, mix)
     by_row = parts.groupBy("key", "size").agg(
         F.min("times").alias("whole"),
         F.max("times").alias("most"),
@@ -151,7 +153,14 @@ def copies(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     whole = F.array_repeat(F.array().cast("array<struct<begin:bigint,end:bigint,times:bigint>>"), F.col("whole").cast("int"))
     spec = by_row.select("key", F.explode(F.concat(whole, F.coalesce(more, F.array().cast("array<array<struct<begin:bigint,end:bigint,times:bigint>>>")))).alias("runs"))
     spec = spec.groupBy(F.col("key.doc_id").alias("d"), F.col("key.h").alias("k")).agg(F.collect_list("runs").alias("all_runs"))
-    one = docs.select("doc_id", F.xxhash64(*docs.columns).alias("h"), "text", F.struct("*").alias("row")).dropDuplicates(["doc_id", "h"])
+    repeated = stored(rows.groupBy(F.col("key.doc_id").alias("e_doc_id"), F.col("key.h").alias("e_h")).count().where("count > 1"), f"{folder}/repeated")
+    n_repeated = repeated.count()
+    held = docs.select("doc_id", F.xxhash64(*docs.columns).alias("h"), "text", F.struct("*").alias("row"))
+
+    def repeats(how):
+        return held.join(broadcast_if_small(repeated, n_repeated, 1_000_000), (F.col("h") == F.col("e_h")) & F.col("doc_id").eqNullSafe(F.col("e_doc_id")), how)
+
+    one = repeats("left_anti").union(repeats("left_semi").dropDuplicates(["doc_id", "h"]))  # of equal rows one, which has the runs of all
     joined = one.join(spec, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))).withColumn("run", F.explode("all_runs"))
 
     def chosen(words):

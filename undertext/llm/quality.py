@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undertext.llm.common import BLANK_RUN, blank_split, broadcast_if_small, let, shared_folder, stored, table
+from undertext.llm.common import BLANK_RUN, blank_split, broadcast_if_small, let, named_rows, shared_folder, stored, table, without
 
 SYMBOLS = "#*$%&|<>"
 #: Cutoffs are broadcast up to this many strata, else joined by shuffle.
@@ -182,5 +182,6 @@ def op7_quality_rules(spark, sf_dir) -> DataFrame:
 
 def stage(spark, docs, sf_dir) -> DataFrame:
     """The documents that the rules keep, with all columns; an empty table gives no rows."""
-    rows = docs.select("doc_id", "text", "lang", F.struct("*").alias("_row"))
-    return verdicts(rows, table(spark, sf_dir, "labels"), "_row").where("kept").select("_row.*")
+    rows = named_rows(docs, ("text", "lang"), "text", "lang")
+    rejected = verdicts(rows, table(spark, sf_dir, "labels"), "h", "h2").where("not kept")
+    return without(docs, ("text", "lang"), rejected, f"{shared_folder(spark)}/rejected")
