@@ -35,6 +35,8 @@ BLOCK, WIDE = 1024, 4096
 FRAGMENTS = 256
 #: Runs that a task holds before it deals them, and texts that it reads at once.
 HELD, TEXTS = 1_000_000, 500
+#: Bytes of text whose words are hashed at once.
+AT_ONCE = 1 << 20
 
 _rng = np.random.default_rng(5)
 _byte = _rng.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
@@ -54,17 +56,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(size: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For both steps, the powers from 0 to size at least, and their inverses modulo 2**64."""
-    if not _powers or len(_powers[0][0]) <= size:
-        up = lambda step: np.concatenate([np.ones(1, dtype=np.uint64), np.cumprod(np.full(2 * size + 1, step, dtype=np.uint64))])
-        _powers[:] = [(up(s), up(pow(s, -1, 1 << 64))) for s in _STEPS]
+    """For both steps, the powers from 0 to size at least, and their inverses modulo 2**64. A table is kept for AT_ONCE bytes; a longer text gets one of its own."""
+    up = lambda step, n: np.concatenate([np.ones(1, dtype=np.uint64), np.cumprod(np.full(n, step, dtype=np.uint64))])
+    if size > AT_ONCE:
+        return [(up(s, size), up(pow(s, -1, 1 << 64), size)) for s in _STEPS]
+    if not _powers:
+        _powers[:] = [(up(s, AT_ONCE), up(pow(s, -1, 1 << 64), AT_ONCE)) for s in _STEPS]
     return _powers
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words of the texts, lower-cased in ASCII, and where each text's words begin (and the last one's end)."""
-    texts = pa.array(texts, pa.large_binary()) if not isinstance(texts, pa.Array) else texts.cast(pa.large_binary())
-    texts = pa.concat_arrays([texts.fill_null(b"")])
+    texts = pa.concat_arrays([texts.cast(pa.large_binary()).fill_null(b"")])
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
@@ -84,23 +87,27 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mix(sums[0] + mix(sums[1] + (end - begin).astype(np.uint64))), np.searchsorted(begin, offsets)
 
 
-def gram_sets(texts, n: int) -> list[np.ndarray]:
+def gram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """Each text's set: the sorted distinct hashes of its n-word shingles; a shorter text is one shingle, one without words none."""
-    words, at = word_hashes(texts)
-    whole = np.full(max(0, len(words) - n + 1), n, dtype=np.uint64)
-    for k in range(n):
-        whole = mix(whole * _SPREAD + words[k : len(words) - n + 1 + k])
-    out = []
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-        if b - a >= n:
-            out.append(np.unique(whole[a : b - n + 1]))
-        elif b > a:
-            one = np.full(1, b - a, dtype=np.uint64)
-            for w in words[a:b]:
-                one = mix(one * _SPREAD + w)
-            out.append(one)
-        else:
-            out.append(whole[:0])
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, at = [], 0
+    while at < len(texts):  # AT_ONCE bytes at a time, one text at least
+        until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
+        words, begin = word_hashes(texts.slice(at, until - at))
+        whole = np.full(max(0, len(words) - n + 1), n, dtype=np.uint64)
+        for k in range(n):
+            whole = mix(whole * _SPREAD + words[k : len(words) - n + 1 + k])
+        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
+            if b - a >= n:
+                out.append(np.unique(whole[a : b - n + 1]))
+            elif b > a:
+                one = np.full(1, b - a, dtype=np.uint64)
+                for w in words[a:b]:
+                    one = mix(one * _SPREAD + w)
+                out.append(one)
+            else:
+                out.append(whole[:0].copy())
+        at = until
     return out
 
 

@@ -33,7 +33,7 @@ SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b
 #: Bytes of text that are worked on at once, one text at least.
 AT_ONCE = 1 << 23
 #: A worker forgets all pre-tokens beyond this number; only speed depends on it.
-REMEMBERED = 1_300_000
+REMEMBERED = 600_000
 
 _open: dict[str, object] = {}
 
