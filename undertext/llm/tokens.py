@@ -31,9 +31,9 @@ MARKS = tuple(".,;:!?)")
 #: How byte-level vocabularies write bytes that are not printable, numbered from 256 in ascending order.
 SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 #: Bytes of text that are worked on at once, one text at least.
-AT_ONCE = 1 << 23
+AT_ONCE = 1 << 22
 #: A worker forgets all pre-tokens beyond this number; only speed depends on it.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 _open: dict[str, object] = {}
 
@@ -78,6 +78,7 @@ class ByteLevelEncoder:
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.flat, self.begin, self.size = np.empty(0, dtype=self.kind), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        pa.default_memory_pool().release_unused()
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """An array of ids for each text; null is empty."""

@@ -114,6 +114,7 @@ def encode_into_pieces(path: str, end_id: int):
                     out.append(("R", struct.pack(">IQ", part, row), doc_id, len(ids), merkle(digests), digests, None, None))
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+        encode.forget()  # a worker goes on to other work with its memory free
 
     return run
 
