@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # Families of instruction wording. \b and \s are meant as ASCII word edges and Unicode white space.
 FAMILIES = {
     "identity": r"\b(AI|LLM|GPT|Claude|ChatGPT|Gemini|Copilot|Bard|language\s+model|artificial\s+intelligence|large\s+language|neural\s+net(?:work)?|machine\s+learning\s+model|assistant|chatbot|bot)\b",
@@ -15,6 +17,9 @@ FAMILIES = {
     "hebrew": r"בינה\s+מלאכותית|מודל\s+שפה|צ'?אט[\s-]*בוט|אם\s+אתה\s+(?:בינה|מודל|עוזר|בוט|מחשב)|כאשר\s+אתה\s+(?:בינה|מודל|עוזר|בוט)|ב(?:תשובה|תגובה|מענה|פלט)\s+שלך|(?:כלול|הוסף|שלב|ציין|כתוב)\s+את\s+ה?מילה",
 }
 
+#: What any text that reads as instructions has in it; most texts are told apart by this one search.
+GATE = r"\b(?:" + "|".join(FAMILIES[k][3:-3] for k in ("identity", "override", "directive")) + r")\b|" + "|".join(FAMILIES[k] for k in ("conditional", "jailbreak", "in_your", "hebrew"))
+
 # Canonical override phrases in order of precedence, as they are reported.
 PHRASES = (
     r"ignore\s+(all\s+)?previous\s+instructions?",
@@ -58,6 +63,6 @@ def dialect(pattern: str, spark: bool) -> str:
     """A pattern for Java or RE2: case-folded in ASCII, \\s and \\b spelt out where the engine's own differ."""
     space = escaped(SPACES, not spark)
     out = pattern.replace(r"[\s-]", f"[{space}-]").replace(r"\s", f"[{space}]")
-    if spark:
-        out = out.replace(r"\b", "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+    if spark:  # an edge stands before a word or behind one, so one look to either side decides
+        out = re.sub(r"\\b(?=[(A-Za-z])", "(?<![A-Za-z0-9_])", out).replace(r"\b", "(?![A-Za-z0-9_])")
     return f"(?i){out}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from undertext.functions.lexicon import FAMILIES, INVISIBLE, LINE_ENDS, SPACES, dialect, escaped
+from undertext.functions.lexicon import FAMILIES, GATE, INVISIBLE, LINE_ENDS, SPACES, dialect, escaped
 
 LINE = rf"\r\n|[{escaped(LINE_ENDS, False)}]"
 
@@ -22,7 +22,7 @@ def lines(text: Column) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{escaped(SPACES, False)}]+|[{escaped(SPACES, False)}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def family(text: Column, name: str) -> Column:
@@ -30,10 +30,10 @@ def family(text: Column, name: str) -> Column:
 
 
 def is_adversarial(text: Column) -> Column:
-    """Whether the wording addresses a machine reader. Blank and null text does not."""
-    alone = family(text, "identity") | family(text, "jailbreak") | family(text, "hebrew") | family(text, "conditional") | family(text, "in_your")
+    """Whether the wording addresses a machine reader. Blank and null text does not: every pattern needs letters."""
+    alone = family(text, "identity") | family(text, "conditional") | family(text, "in_your") | family(text, "jailbreak") | family(text, "hebrew")
     pairs = (family(text, "override") & family(text, "meta")) | (family(text, "directive") & family(text, "target"))
-    return F.coalesce((trimmed(text) != "") & (alone | pairs), F.lit(False))
+    return F.coalesce(text.rlike(dialect(GATE, True)) & (alone | pairs), F.lit(False))
 
 
 def shown(text: Column) -> Column:

@@ -14,16 +14,19 @@ def from_white(r, g, b):
 
 
 def docx_threats(runs: DataFrame) -> DataFrame:
-    """(doc_id, para_no, run_no, layer, severity) from runs with text, hidden, size_pt, color_val; one pass for all layers."""
+    """(doc_id, para_no, run_no, layer, severity) from runs with text, hidden, size_pt, color_val; one pass for all layers.
+
+    Plain conditions pick the odd runs, wording is looked at for those alone, and layers are listed for what remains.
+    """
     part = lambda i: F.conv(F.substring("color_val", i, 2), 16, 10).cast("double")
     far = F.when(F.col("color_val").rlike("^[0-9a-fA-F]{6}$"), from_white(part(1), part(3), part(5)))
-    hit = lambda name, when, severity: F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(name).alias("layer"), severity.alias("severity")))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    hidden, white, tiny = yes(F.col("hidden")), yes(far < 25), yes(F.col("size_pt") < 2.0)
+    found = runs.where(hidden | tiny | white).where(is_adversarial(F.col("text")))
+    hit = lambda name, when, severity: F.when(when, F.struct(F.lit(name).alias("layer"), severity.alias("severity")))
     high = F.lit("high")
-    layers = F.array(
-        hit("hidden_attr", F.col("hidden"), high), hit("white_on_white", far < 25, F.when(far < 10, "high").otherwise("medium")), hit("tiny_font", F.col("size_pt") < 2.0, high)
-    )
-    odd = runs.select("doc_id", "para_no", "run_no", "text", F.filter(layers, lambda x: x.isNotNull()).alias("found")).where(F.size("found") > 0)
-    return odd.where(is_adversarial(F.col("text"))).select("doc_id", "para_no", "run_no", F.explode("found").alias("t")).select("doc_id", "para_no", "run_no", "t.layer", "t.severity")
+    layers = F.array_compact(F.array(hit("hidden_attr", hidden, high), hit("white_on_white", white, F.when(far < 10, "high").otherwise("medium")), hit("tiny_font", tiny, high)))
+    return found.select("doc_id", "para_no", "run_no", F.explode(layers).alias("t")).select("doc_id", "para_no", "run_no", "t.layer", "t.severity")
 
 
 def off_slide(shapes: DataFrame) -> DataFrame:
@@ -32,21 +35,55 @@ def off_slide(shapes: DataFrame) -> DataFrame:
     return shapes.where(away).where(is_adversarial(F.col("text")))
 
 
-def span_lines(spans: DataFrame, keep, *extra) -> DataFrame:
-    """(doc_id, page_no, line_key, phrase, x0, y0, x1, y1, extra aggregates) of lines whose kept spans read as instructions.
+LINE = ("doc_id", "page_no", "line_key")
+# A cover hides a region from this share on; fills conceal from this opacity on, and up to this share of the page.
+COVERED, OPAQUE, PAGE_FILL = 0.5, 0.85, 0.85
+
+
+def keyed_lines(spans: DataFrame) -> DataFrame:
+    return spans.withColumn("line_key", F.floor(F.floor(F.col("y0") + F.col("size") * 0.2 + 0.5) + 0.5).cast("long"))
+
 
-    The phrase is the spans' text as it stands, or failing that their trimmed texts with spaces between.
+def touches(width: float, height: float):
+    """Whether a group of spans touches the page with the box around all of them."""
+    return (F.min("x0") < width) & (F.max("x1") > 0) & (F.min("y0") < height) & (F.max("y1") > 0)
+
+
+def page_lines(spans: DataFrame, keep, page: tuple[float, float] | None = None, **least: str) -> DataFrame:
+    """(doc_id, page_no, line_key, direct, spaced, x0, y0, x1, y1, last_op, least ones) of each line's kept spans.
+
+    direct: their text as it stands; spaced: their trimmed texts with spaces between. page: its width and height; lines
+    that lie off it, with all their spans, don't count. least: names for the smallest values of columns.
     """
-    key = F.floor(F.floor(F.col("y0") + F.col("size") * 0.2 + 0.5) + 0.5).cast("long")
-    ordered = F.array_sort(F.collect_list(F.struct("op_index", "text")))
-    by_line = spans.withColumn("line_key", key).where(keep).groupBy("doc_id", "page_no", "line_key").agg(
-        ordered.alias("s"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), *extra
-    )
+    some = keyed_lines(spans) if page else keyed_lines(spans).where(keep)
+    kept = lambda c: F.when(keep, c)
+    by_line = some.groupBy(*LINE).agg(
+        F.array_sort(F.collect_list(kept(F.struct("op_index", "text")))).alias("s"),
+        *[f(kept(F.col(c))).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))],
+        F.max(kept(F.col("op_index"))).alias("last_op"),
+        *[F.min(kept(F.col(c))).alias(name) for name, c in least.items()],
+        (touches(*page) if page else F.lit(True)).alias("on_page"),
+    )
     direct = trimmed(F.array_join(F.transform("s", lambda x: x.getField("text")), ""))
     spaced = F.array_join(F.filter(F.transform("s", lambda x: trimmed(x.getField("text"))), lambda t: t != ""), " ")
-    both = by_line.withColumn("direct", direct).withColumn("spaced", spaced)
+    return by_line.where((F.size("s") > 0) & F.col("on_page")).withColumn("direct", direct).withColumn("spaced", spaced).drop("s", "on_page")
+
+
+def worded(lines: DataFrame) -> DataFrame:
+    """Lines that read as instructions, with that phrase: as it stands, or failing that with spaces between the spans."""
     phrase = F.when(is_adversarial(F.col("direct")), F.col("direct")).when(is_adversarial(F.col("spaced")), F.col("spaced"))
-    return both.withColumn("phrase", phrase).where("phrase is not null").drop("s", "direct", "spaced")
+    return lines.withColumn("phrase", phrase).where("phrase is not null").drop("direct", "spaced")
+
+
+def span_lines(spans: DataFrame, keep, page: tuple[float, float] | None = None, **least: str) -> DataFrame:
+    return worded(page_lines(spans, keep, page, **least))
+
+
+def keyword_lines(spans: DataFrame, page: tuple[float, float], phrases) -> DataFrame:
+    """(doc_id, page_no, line_key, extracted, pattern, match): the first of the phrases in a visible line's text as it stands."""
+    lines = page_lines(spans, F.lit(True), page).where("direct <> ''")
+    one = lambda p: F.when(F.col("direct").rlike(dialect(p, True)), F.struct(F.lit(p).alias("pattern"), F.regexp_extract("direct", dialect(p, True), 0).alias("match")))
+    return lines.withColumn("m", F.coalesce(*map(one, phrases))).where("m is not null").select(*LINE, F.col("direct").alias("extracted"), "m.pattern", "m.match")
 
 
 def off_page(width: float, height: float):
@@ -54,20 +91,47 @@ def off_page(width: float, height: float):
     return (F.col("x1") <= 0) | (F.col("y1") <= 0) | (F.col("x0") >= width) | (F.col("y0") >= height)
 
 
-def buried(spans: DataFrame, covers: DataFrame) -> DataFrame:
-    """Spans half of whose area a later object of the page covers."""
-    c = covers.select(F.col("doc_id").alias("d"), F.col("page_no").alias("p"), F.col("op_index").alias("op"), *[F.col(k).alias(f"c{k}") for k in ("x0", "y0", "x1", "y1")])
+def concealing(covers: DataFrame, page: tuple[float, float]) -> DataFrame:
+    """Of covers (doc_id, page_no, kind, alpha, op_index, box), images and those fills that conceal, with their columns under names of their own."""
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    fill = (F.col("alpha") >= OPAQUE) & (area > 0) & (area / (page[0] * page[1]) < PAGE_FILL)
+    c = covers.where((F.col("kind") == "image") | fill)
+    return c.select(F.col("doc_id").alias("d"), F.col("page_no").alias("p"), F.col("op_index").alias("op"), "kind", *[F.col(k).alias(f"c{k}") for k in ("x0", "y0", "x1", "y1")])
+
+
+def covered_by(c: DataFrame, after: str):
+    """Join condition: an object painted after the column `after` covers the box by half at least."""
     wide = F.least("x1", "cx1") - F.greatest("x0", "cx0")
     tall = F.least("y1", "cy1") - F.greatest("y0", "cy0")
-    half = (wide > 0) & (tall > 0) & (wide * tall >= 0.5 * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
-    return spans.join(c, (F.col("doc_id") == F.col("d")) & (F.col("page_no") == F.col("p")) & (F.col("op") > F.col("op_index")) & half, "left_semi")
+    half = (wide > 0) & (tall > 0) & (wide * tall >= COVERED * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    return (F.col("doc_id") == F.col("d")) & (F.col("page_no") == F.col("p")) & (F.col("op") > F.col(after)) & half
+
+
+def buried_lines(spans: DataFrame, covers: DataFrame, probed: DataFrame, page: tuple[float, float]) -> DataFrame:
+    """(doc_id, page_no, line_key, phrase, cover, cover_op) of visible lines whose buried spans read as instructions.
+
+    A span is buried by an object painted after it. The line's cover is the first image, or else the first fill, that
+    is painted after all its buried spans; a fill counts only on pages where probed (doc_id, page_no) says that nothing shows.
+    """
+    c = concealing(covers, page)
+    phrases = span_lines(spans.join(c, covered_by(c, "op_index"), "left_semi"), F.lit(True))
+    visible = keyed_lines(spans).groupBy(*LINE).agg(touches(*page).alias("on_page")).where("on_page").select(*LINE)
+    first = F.min(F.struct(F.when(F.col("kind") == "image", 0).otherwise(1).alias("rank"), "op", "kind")).alias("first")
+    met = phrases.join(visible, list(LINE), "left_semi").join(c, covered_by(c, "last_op")).groupBy(*LINE, "phrase").agg(first)
+    shapes = met.where("first.kind <> 'image'").join(probed, ["doc_id", "page_no"], "left_semi")
+    return met.where("first.kind = 'image'").union(shapes).select(*LINE, "phrase", F.when(F.col("first.kind") == "image", "image").otherwise("shape").alias("cover"), F.col("first.op").alias("cover_op"))
 
 
 def note_threats(notes: DataFrame, phrases, collapsed) -> DataFrame:
-    """One finding a slide at most: a phrase as written, a phrase in letters alone, or instruction wording."""
-    letters = F.regexp_replace("notes", "[^a-zA-Z]", "")
-    first = lambda text, pool, spark: [F.when(text.rlike(spark(p)), F.struct(F.lit(kind).alias("scan"), F.lit(p).alias("pattern"))) for kind, p in pool]
-    raw = first(F.col("notes"), [("raw", p) for p in phrases], lambda p: dialect(p, True))
-    flat = first(letters, [("collapsed", p) for p in collapsed], lambda p: f"(?i){p}")
-    word = F.when(is_adversarial(F.col("notes")), F.struct(F.lit("keywords").alias("scan"), F.lit(None).cast("string").alias("pattern")))
-    return notes.withColumn("t", F.coalesce(*raw, *flat, word)).where("t is not null").select("doc_id", "slide_no", "t.scan", "t.pattern")
+    """(doc_id, slide_no, scan, pattern, match, extracted), one a slide at most: a phrase as written, a phrase in letters alone, or instruction wording."""
+    kept = notes.where(trimmed(F.col("notes")) != "").withColumn("letters", F.regexp_replace("notes", "[^a-zA-Z]", ""))
+
+    def first(column, scan, pattern, regex):
+        found = F.struct(F.lit(scan).alias("scan"), F.lit(pattern).alias("pattern"), F.regexp_extract(column, regex, 0).alias("match"))
+        return F.when(F.col(column).rlike(regex), found)
+
+    raw = [first("notes", "raw", p, dialect(p, True)) for p in phrases]
+    flat = [first("letters", "collapsed", p, f"(?i){p}") for p in collapsed]
+    none = F.lit(None).cast("string")
+    word = F.when(is_adversarial(F.col("notes")), F.struct(F.lit("adversarial_keywords").alias("scan"), none.alias("pattern"), none.alias("match")))
+    return kept.withColumn("t", F.coalesce(*raw, *flat, word)).where("t is not null").select("doc_id", "slide_no", "t.*", trimmed(F.col("notes")).alias("extracted"))
