@@ -15,6 +15,7 @@ import math
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -150,18 +151,18 @@ def scored_texts(n: int, v: int, ends: int, p_end: float):
     unit = math.log10(n + v + 1) if n + v else 0.0
 
     def run(words: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        c = dict(zip(words["word"], words["c"]))
-        base = {w: math.log10(k + 1) for w, k in c.items() if k}
-        lattice = dict(zip(words["word"], words["ls"]))
+        place = {w.encode(): i for i, w in enumerate(words["word"])}
+        counts, lattice = words["c"].to_numpy(), words["ls"].to_numpy()
+        known, base = counts > 0, np.where(counts > 0, np.log10(counts + 1.0), 0.0)
         out = []
         for doc_id, text in zip(docs["doc_id"], docs["text"]):
-            tokens = [w.decode() for w in (text or "").encode().lower().split()]
-            known = [base[w] for w in tokens if w in base]
+            tokens = (text or "").encode().lower().split()
+            at = np.fromiter(map(place.__getitem__, tokens), dtype=np.int64, count=len(tokens))
             size = len(tokens) + 1
             held = zlib.crc32(str(int(doc_id)).encode()) % FOLDS == HELD if doc_id is not None and doc_id == doc_id else False
-            b = math.fsum(known) + math.log10(ends + 1) - size * unit
-            s = math.fsum(map(lattice.__getitem__, tokens)) + p_end
-            out.append((doc_id, held, size, len(known) + (ends > 0), n, b, s))
+            b = float(base[at].sum()) + math.log10(ends + 1) - size * unit
+            s = float(lattice[at].sum()) + p_end
+            out.append((doc_id, held, size, int(known[at].sum()) + (ends > 0), n, b, s))
         return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]).astype({"doc_id": "Int64"})
 
     return run
