@@ -30,6 +30,8 @@ FOLDS, HELD = 7, 2
 PLAIN, TINY = 200, 1e-120
 #: Fitting rests at a step that gains less than this share of the likelihood, or after so many steps.
 REST, STEPS = 0.002, 12
+#: Bytes of words that are gathered, and their characters worked on at once.
+GATHER, CHARS = 1 << 21, 1 << 17
 #: Bytes of an input file in one tile.
 TILE = 8 << 20
 MARK = "▁"
@@ -179,11 +181,25 @@ class Lattices:
 
 
 def by_length(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Texts of up to PLAIN characters by their length, with their places."""
+    """Texts of up to PLAIN characters by their length, with their places, a bounded number of characters at a time."""
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     for n in np.unique(lengths[lengths <= PLAIN]).tolist():
-        at = np.flatnonzero(lengths == n)
-        yield at, [texts[i] for i in at.tolist()]
+        every = np.flatnonzero(lengths == n)
+        for at in np.array_split(every, -(-n * len(every) // CHARS)):
+            yield at, [texts[i] for i in at.tolist()]
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of words joined to larger ones, so that arrays are long."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += batch.nbytes
+        if size >= GATHER:
+            yield pa.concat_batches(some)
+            some, size = [], 0
+    if some:
+        yield pa.concat_batches(some)
 
 
 def log10_word(word: str, pieces, bytes_, p) -> float:
@@ -252,7 +268,7 @@ def expected(path: str, p: list[float] | None = None):
         pieces, bytes_, first = vocabulary(path)
         weights = np.array(first if p is None else p)
         plain, total, likelihood = weights.tolist(), np.zeros(len(weights)), 0.0
-        for batch in batches:
+        for batch in gathered(batches):
             texts, counts = [MARK + w for w in batch["word"].to_pylist()], batch["c"].to_numpy().astype(float)
             done = np.zeros(len(texts), dtype=bool)
             for at, some in by_length(texts):
@@ -290,7 +306,7 @@ def scored_words(path: str, p: list[float], n: int, d: float, rest: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.array(p)
-        for batch in batches:
+        for batch in gathered(batches):
             c = batch["c"].to_numpy()
             spelt = math.log(rest) + lattice_log10(batch["word"].to_pylist(), path, weights) * math.log(10)
             own = np.where(c > 0, np.log(np.maximum(c - d, 1e-9) / n), -np.inf)
