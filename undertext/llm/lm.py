@@ -33,7 +33,7 @@ REST, STEPS = 0.002, 12
 #: Bytes of words that are gathered, and their characters worked on at once.
 GATHER, CHARS = 1 << 21, 1 << 17
 #: Bytes of an input file in one tile.
-TILE = 8 << 20
+TILE = 16 << 20
 MARK = "▁"
 _lattices: dict[str, tuple[dict[str, int], list[int], list[float]]] = {}
 _tables: dict[str, Table] = {}
