@@ -36,6 +36,11 @@ def is_adversarial(text: Column) -> Column:
     return F.coalesce(text.rlike(dialect(GATE, True)) & (alone | pairs), F.lit(False))
 
 
+def display_name(text: Column) -> Column:
+    """text without invisible code points."""
+    return F.regexp_replace(text, f"[{escaped(INVISIBLE, False)}]", "")
+
+
 def shown(text: Column) -> Column:
     """text without invisible code points, trimmed."""
-    return trimmed(F.regexp_replace(text, f"[{escaped(INVISIBLE, False)}]", ""))
+    return trimmed(display_name(text))
