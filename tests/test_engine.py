@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from undertext.functions.lexicon import INVISIBLE
 from undertext.functions.text import decoded, is_adversarial, lines
 from undertext.operators import gates as gate_tables
-from undertext.operators import run_layers, text_layers
+from undertext.operators import reports, run_layers, text_layers
 from undertext.plans import gates, pages, queries
 
 QUERIES, SQL = queries.QUERIES | pages.QUERIES | gates.QUERIES, queries.SQL | pages.SQL | gates.SQL
@@ -123,3 +123,22 @@ def test_overlay(spark):
     defaults = spark.createDataFrame([("u", "a", True), ("u", "b", True)], "owner string, host string, on boolean")
     stored = spark.createDataFrame([("u", "a", 1, 1, True), ("u", "a", 1, 2, False), ("u", "c", 1, 3, False)], "owner string, host string, ts int, id int, on boolean")
     assert {tuple(r) for r in gate_tables.overlaid(defaults, stored).collect()} == {("u", "a", False), ("u", "b", True), ("u", "c", False)}
+
+
+def test_requests_are_answered_in_their_bin_the_next_or_never(spark):
+    asked = [(1, "a", 10), (2, "a", 119), (3, "a", 119), (4, "b", 100), (5, "b", 500), (6, "c", 0), (7, None, 0), (8, "d", None), (9, "e", 10), (9, "e", 10)]
+    told = [("a", 15, "infected"), ("a", 239, "infected"), ("b", 99, "infected"), ("b", 221, "infected"), ("b", 510, "clean"), ("b", 511, "infected"), ("b", 505, None), ("c", 120, "infected"), (None, 1, "infected"), ("d", 1, "infected"), ("e", 10, "infected")]
+    frame = lambda rows, names, at: spark.createDataFrame(rows, names).withColumn(at, F.timestamp_seconds(at))
+    got = gate_tables.answered(frame(asked, "id int, key string, asked long", "asked"), frame(told, "key string, told long, verdict string", "told"))
+    assert sorted((r.id, r.verdict) for r in got.collect()) == [(1, "infected"), (2, "infected"), (3, "infected"), (4, "clean"), (5, "clean"), (6, "infected"), (7, "clean"), (8, "clean"), (9, "infected")]
+
+
+@pytest.mark.parametrize("head,kind", [(b"%PDF", "pdf"), (b"%PDF1.4", "pdf"), (b"%PD", "txt"), (b"PK\x03\x04 word/ ppt/", "pptx"), (b"PK\x03\x04word/", "docx"), (b"PK\x03\x04", "txt"), (b"", "txt"), (None, "txt")])
+def test_sniffing(spark, head, kind):
+    assert spark.createDataFrame([(head,)], "c binary").select(reports.sniffed(F.col("c"))).first()[0] == kind
+
+
+def test_verdicts_of_files(spark):
+    rows = [(0, 0, True, None), (0, 1, True, None), (0, 0, False, None), (0, None, True, None), (0, 0, None, None), (1, 0, True, None), (1, 0, True, "CORRUPT")]
+    df = spark.createDataFrame(rows, "n int, chars int, images boolean, error string")
+    assert [r[0] for r in df.select(reports.verdict(F.col("n"), F.col("chars"), F.col("images"), F.col("error"))).collect()] == ["unscannable", "clean", "clean", "clean", "clean", "infected", "error"]

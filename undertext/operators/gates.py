@@ -11,12 +11,28 @@ def should_block(verdict: Column) -> Column:
     return F.coalesce(verdict == "infected", F.lit(False))
 
 
+def answered(asked: DataFrame, told: DataFrame, seconds: int = 120) -> DataFrame:
+    """(id, verdict) of each distinct id of asked (id, key, asked): that of the key's first row of told (key, told, verdict) from then on within so many seconds, clean where there is none.
+
+    Of equal times the lesser verdict counts; a null key or time asks and tells nothing. Time is cut into bins as long
+    as the deadline: what follows in time lies in a request's bin or the next, so a busy key is many groups.
+    """
+    bin_ = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (seconds * 1_000_000))
+    near = asked.select("id", "key", "asked", F.explode(F.array(bin_("asked"), bin_("asked") + 1)).alias("bin"))
+    said = told.where("verdict is not null").select(F.col("key").alias("k"), "told", "verdict", bin_("told").alias("b"))
+    within = (F.col("key") == F.col("k")) & (F.col("bin") == F.col("b")) & (F.col("told") >= F.col("asked")) & (F.col("told") <= F.col("asked") + F.expr(f"interval {seconds} seconds"))
+    first = near.join(said, within).groupBy("id").agg(F.min_by("verdict", F.struct("told", "verdict")).alias("verdict"))
+    return asked.select("id").distinct().join(first, "id", "left").select("id", F.coalesce("verdict", F.lit("clean")).alias("verdict"))
+
+
 def requests(files: DataFrame) -> DataFrame:
     """(request_id, blocked, first_blocked, n_passed) from (request_id, seq, verdict): all files must pass, in order, and the first that does not ends the request."""
     stopped = F.when(should_block(F.col("verdict")), F.col("seq"))
-    first = files.groupBy("request_id").agg(F.min(stopped).alias("first_blocked"), F.array_sort(F.collect_list("seq")).alias("s"))
-    passed = F.when(F.col("first_blocked").isNull(), F.size("s")).otherwise(F.size(F.filter("s", lambda x: x < F.col("first_blocked"))))
-    return first.select("request_id", F.col("first_blocked").isNotNull().alias("blocked"), "first_blocked", passed.cast("long").alias("n_passed"))
+    first = files.groupBy("request_id").agg(F.min(stopped).alias("first_blocked"), F.count("seq").alias("n"))
+    # Only the files of stopped requests are counted a second time.
+    before = files.join(first.where("first_blocked is not null").select(F.col("request_id").alias("r"), F.col("first_blocked").alias("f")), F.col("request_id").eqNullSafe(F.col("r")) & (F.col("seq") < F.col("f")), "left_semi").groupBy(F.col("request_id").alias("r")).agg(F.count("seq").alias("m"))
+    passed = F.when(F.col("first_blocked").isNull(), F.col("n")).otherwise(F.coalesce("m", F.lit(0)))
+    return first.join(before, F.col("request_id").eqNullSafe(F.col("r")), "left").select("request_id", F.col("first_blocked").isNotNull().alias("blocked"), "first_blocked", passed.cast("long").alias("n_passed"))
 
 
 def in_force(asked: DataFrame, told: DataFrame, seconds: int = 86_400) -> DataFrame:

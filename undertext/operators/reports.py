@@ -9,7 +9,7 @@ from undertext.functions.lexicon import SPACES
 
 # The largest file that is scanned, the history's characters of a payload and number of entries, file signatures.
 MAX_BYTES, PAYLOAD_CAP, ENTRIES = 50 * 1024 * 1024, 1000, 100
-PDF_MAGIC, ZIP_MAGIC = "%PDF-", "PK\x03\x04"
+PDF_MAGIC, ZIP_MAGIC = "%PDF", "PK\x03\x04"
 
 
 def oversize(size: Column) -> Column:
@@ -25,9 +25,13 @@ def sniffed(content: Column) -> Column:
     return F.when(starts(PDF_MAGIC), "pdf").when(starts(ZIP_MAGIC), package).otherwise("txt")
 
 
-def verdict(n_threats: Column, n_pages_without_text: Column, error: Column) -> Column:
-    """error wins; threats make a file infected; one with nothing to read is unscannable; else it is clean."""
-    return F.when(error.isNotNull(), "error").when(n_threats > 0, "infected").when(n_pages_without_text > 0, "unscannable").otherwise("clean")
+def verdict(n_threats: Column, text_chars: Column, has_images: Column, error: Column) -> Column:
+    """error wins; threats make a file infected; one that has images and not a character on any page is unscannable; else it is clean.
+
+    text_chars: characters of all its pages together; null, as for kinds without pages, is not 0.
+    """
+    image_only = F.coalesce((text_chars == 0) & has_images, F.lit(False))
+    return F.when(error.isNotNull(), "error").when(n_threats > 0, "infected").when(image_only, "unscannable").otherwise("clean")
 
 
 def history(reports: DataFrame, threats: DataFrame, order: list[str]) -> DataFrame:

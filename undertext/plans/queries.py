@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from undertext.functions.lexicon import FAMILIES, INVISIBLE, LINE_ENDS, PHRASES, SPACES, dialect, escaped
 from undertext.functions.text import family
-from undertext.operators import reports, run_layers, sites, text_layers
+from undertext.operators import gates, reports, run_layers, sites, text_layers
 
 POOL = ("include the word pool", "if you are an AI stop", "plain words", "ignore all previous instructions", "a red house", "use the phrase below")
 
@@ -117,13 +117,9 @@ def primary_threat(spark, sf_dir):
 def request_verdicts(spark, sf_dir):
     """Clicks as requests; a user's first purchase within 120 seconds decides, else the request is clean."""
     events = _t(spark, sf_dir, "events")
-    # seconds are cut into bins as long as the deadline: what follows a click in time lies in its bin or the next, so a busy user is many keys
-    bin_ = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 120_000_000)
-    asked = events.where("event_type = 'click'").select("event_id", "user_id", F.col("ts").alias("asked"), F.explode(F.array(bin_, bin_ + 1)).alias("bin"))
-    told = events.where("event_type = 'purchase'").select(F.col("user_id").alias("u"), F.col("ts").alias("told"), "value", bin_.alias("b"))
-    within = (F.col("user_id") == F.col("u")) & (F.col("bin") == F.col("b")) & (F.col("told") >= F.col("asked")) & (F.col("told") <= F.col("asked") + F.expr("interval 120 seconds"))
-    joined = asked.join(told, within, "left").groupBy("event_id").agg(F.min_by("value", F.struct("told", "value")).alias("value"))
-    return joined.select("event_id", F.when(F.col("value") > 50, "infected").otherwise("clean").alias("verdict"))
+    asked = events.where("event_type = 'click'").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("ts").alias("asked"))
+    told = events.where("event_type = 'purchase'").select(F.col("user_id").alias("key"), F.col("ts").alias("told"), F.when(F.col("value") > 50, "infected").otherwise("clean").alias("verdict"))
+    return gates.answered(asked, told).withColumnRenamed("id", "event_id")
 
 
 def coalesce_duplicates(spark, sf_dir):
@@ -137,7 +133,7 @@ def history_top100(spark, sf_dir):
 
 #: Planted names of documents, and packages' heads and member paths for bytes.
 NAMES = ("Report.PDF", "notes.md", "deck.PpTx", "letter.docx", "readme", "a.pdf.txt", "archive.tar.gz")
-HEADS = ("%PDF-1.7 ", "PK\x03\x04 ppt/slides ", "PK\x03\x04 word/document ", "PK\x03\x04 ", "", " %PDF-")
+HEADS = ("%PDF-1.7 ", "%PDF1.4 ", "%PD ", "PK\x03\x04 ppt/slides ", "PK\x03\x04 word/document ", "PK\x03\x04 ", "", " %PDF-")
 
 
 def _pick(values):
@@ -164,7 +160,7 @@ def _reports(spark, sf_dir):
     counted = threats.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_threats"))
     facts = docs.join(counted, "doc_id", "left").withColumn("n_threats", F.coalesce("n_threats", F.lit(0).cast("long")))
     error = F.when(F.col("doc_id") % 11 == 0, "unreadable")
-    told = facts.select("doc_id", _pick(NAMES).alias("name"), sites.file_type(_pick(NAMES)).alias("file_type"), reports.verdict(F.col("n_threats"), (F.col("doc_id") % 7 == 0).cast("int"), error).alias("verdict"), "n_threats", (F.col("doc_id") * 7919 % 1000).alias("ts"))
+    told = facts.select("doc_id", _pick(NAMES).alias("name"), sites.file_type(_pick(NAMES)).alias("file_type"), reports.verdict(F.col("n_threats"), F.when(F.col("doc_id") % 7 == 0, 0).otherwise(F.length("text")), F.col("doc_id") % 3 == 0, error).alias("verdict"), "n_threats", (F.col("doc_id") * 7919 % 1000).alias("ts"))
     return told, threats
 
 
@@ -197,7 +193,7 @@ _NAME = f"([{', '.join(map(q, NAMES))}])[doc_id % {len(NAMES)} + 1]"
 _HEAD = "([" + ", ".join("'" + h.replace("\x03\x04", "' || chr(3) || chr(4) || '") + "'" for h in HEADS) + f"])[doc_id % {len(HEADS)} + 1]"
 _TYPE = "CASE " + " ".join(f"WHEN lower({_NAME}) LIKE '%.{e}' THEN '{e}'" for e in ("md", "pdf", "docx", "pptx")) + " ELSE 'txt' END"
 _R = f"""(SELECT doc_id, {_NAME} AS name, {_TYPE} AS file_type, n_threats, doc_id * 7919 % 1000 AS ts,
-  CASE WHEN doc_id % 11 = 0 THEN 'error' WHEN n_threats > 0 THEN 'infected' WHEN doc_id % 7 = 0 THEN 'unscannable' ELSE 'clean' END AS verdict FROM ({_V}))"""
+  CASE WHEN doc_id % 11 = 0 THEN 'error' WHEN n_threats > 0 THEN 'infected' WHEN doc_id % 21 = 0 THEN 'unscannable' ELSE 'clean' END AS verdict FROM ({_V}))"""
 
 QUERIES = {f.__name__: f for f in (zero_width_threats, zero_width_verdicts, codepoint_histogram, splitlines_count, is_adversarial_lines, family_hits, first_phrase, docx_threats, layer_severity, primary_threat, request_verdicts, coalesce_duplicates, history_top100, file_type_infer, sniff_type, oversize_guard, verdict_rollup, history_payload_cap, history_search)}
 
@@ -214,11 +210,11 @@ SQL = {
     "docx_threats": _D,
     "layer_severity": f"SELECT layer, severity, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ({_D}) GROUP BY 1, 2",
     "primary_threat": f"SELECT doc_id, arg_min(layer, para_no * 1000000 + run_no + 100000 * CASE layer WHEN 'hidden_attr' THEN 1 WHEN 'white_on_white' THEN 2 ELSE 3 END) AS layer, count(*) AS n_threats FROM ({_D}) GROUP BY 1",
-    "request_verdicts": "SELECT event_id, CASE WHEN value > 50 THEN 'infected' ELSE 'clean' END AS verdict FROM (SELECT c.event_id, first(p.value ORDER BY p.ts, p.value) AS value FROM events c LEFT JOIN events p ON p.event_type = 'purchase' AND p.user_id = c.user_id AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 120 SECOND WHERE c.event_type = 'click' GROUP BY 1)",
+    "request_verdicts": "SELECT event_id, CASE WHEN value > 50 THEN 'infected' ELSE 'clean' END AS verdict FROM (SELECT c.event_id, first(p.value ORDER BY p.ts, p.value > 50) AS value FROM events c LEFT JOIN events p ON p.event_type = 'purchase' AND p.user_id = c.user_id AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 120 SECOND WHERE c.event_type = 'click' GROUP BY 1)",
     "coalesce_duplicates": "SELECT concat_ws('|', source, lang, CAST(length(text) AS VARCHAR)) AS key, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "history_top100": f"SELECT doc_id, n_threats FROM ({_V}) WHERE verdict = 'infected' ORDER BY doc_id DESC LIMIT 100",
     "file_type_infer": f"SELECT doc_id, {_TYPE} AS file_type FROM documents",
-    "sniff_type": f"SELECT doc_id, CASE WHEN starts_with(c, '%PDF-') THEN 'pdf' WHEN NOT starts_with(c, 'PK' || chr(3) || chr(4)) THEN 'txt' WHEN contains(c, 'ppt/') THEN 'pptx' WHEN contains(c, 'word/') THEN 'docx' ELSE 'txt' END AS file_type FROM (SELECT doc_id, {_HEAD} || text AS c FROM documents)",
+    "sniff_type": f"SELECT doc_id, CASE WHEN starts_with(c, '%PDF') THEN 'pdf' WHEN NOT starts_with(c, 'PK' || chr(3) || chr(4)) THEN 'txt' WHEN contains(c, 'ppt/') THEN 'pptx' WHEN contains(c, 'word/') THEN 'docx' ELSE 'txt' END AS file_type FROM (SELECT doc_id, {_HEAD} || text AS c FROM documents)",
     "oversize_guard": "SELECT doc_id, strlen(text) * 10000 > 52428800 AS oversize FROM documents",
     "verdict_rollup": f"SELECT doc_id, verdict, n_threats FROM {_R}",
     "history_payload_cap": f"SELECT r.doc_id, name, file_type, verdict, CASE WHEN t.p IS NOT NULL THEN 'zero_width' END AS layer, CASE WHEN t.p <> '' THEN substr(t.p, 1, 1000) END AS payload, ts FROM {_R} r LEFT JOIN (SELECT doc_id, arg_min(CASE WHEN seen = '' THEN '' ELSE seen || ' ' END || '[' || codepoint || ']', line_no * 100000000 + col) AS p FROM {_Z} GROUP BY 1) t USING (doc_id)",
