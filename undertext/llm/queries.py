@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from undertext.llm import decontam, jaccard, licenses, lm, mixing, quality, tokencount, tokenstore, urls, warc
+from undertext.llm import decontam, jaccard, licenses, lm, mixing, quality, runs, tokencount, tokenstore, urls, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filters": urls.op8_url_filters,
     "op9_warc_archive": warc.op9_warc_archive,
     "op10_token_store": tokenstore.op10_token_store,
+    "op11_periodic_runs": runs.op11_periodic_runs,
 }
 
 SQL: dict[str, str] = {
