@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from undertext.llm import decontam, jaccard, licenses, lm, mixing, quality, runs, tokencount, tokenstore, urls, warc
+from undertext.llm import decontam, jaccard, licenses, lm, mixing, packing, quality, runs, tokencount, tokenstore, turns, urls, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_warc_archive": warc.op9_warc_archive,
     "op10_token_store": tokenstore.op10_token_store,
     "op11_periodic_runs": runs.op11_periodic_runs,
+    "op12_best_fit_packing": packing.op12_best_fit_packing,
+    "op13_conversation_repair": turns.op13_conversation_repair,
 }
 
 SQL: dict[str, str] = {
