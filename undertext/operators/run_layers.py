@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from undertext.functions.lexicon import dialect
 from undertext.functions.text import is_adversarial, trimmed
+from undertext.operators.covers import buried, cover_cells, met
 
 
 def from_white(r, g, b):
@@ -36,8 +37,8 @@ def off_slide(shapes: DataFrame) -> DataFrame:
 
 
 LINE = ("doc_id", "page_no", "line_key")
-# A cover hides a region from this share on; fills conceal from this opacity on, and up to this share of the page.
-COVERED, OPAQUE, PAGE_FILL = 0.5, 0.85, 0.85
+# Fills conceal from this opacity on, and up to this share of the page.
+OPAQUE, PAGE_FILL = 0.85, 0.85
 
 
 def keyed_lines(spans: DataFrame) -> DataFrame:
@@ -92,19 +93,10 @@ def off_page(width: float, height: float):
 
 
 def concealing(covers: DataFrame, page: tuple[float, float]) -> DataFrame:
-    """Of covers (doc_id, page_no, kind, alpha, op_index, box), images and those fills that conceal, with their columns under names of their own."""
+    """Of covers (doc_id, page_no, kind, alpha, op_index, box), images and those fills that conceal, by cell of the page."""
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     fill = (F.col("alpha") >= OPAQUE) & (area > 0) & (area / (page[0] * page[1]) < PAGE_FILL)
-    c = covers.where((F.col("kind") == "image") | fill)
-    return c.select(F.col("doc_id").alias("d"), F.col("page_no").alias("p"), F.col("op_index").alias("op"), "kind", *[F.col(k).alias(f"c{k}") for k in ("x0", "y0", "x1", "y1")])
-
-
-def covered_by(c: DataFrame, after: str):
-    """Join condition: an object painted after the column `after` covers the box by half at least."""
-    wide = F.least("x1", "cx1") - F.greatest("x0", "cx0")
-    tall = F.least("y1", "cy1") - F.greatest("y0", "cy0")
-    half = (wide > 0) & (tall > 0) & (wide * tall >= COVERED * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
-    return (F.col("doc_id") == F.col("d")) & (F.col("page_no") == F.col("p")) & (F.col("op") > F.col(after)) & half
+    return cover_cells(covers.where((F.col("kind") == "image") | fill))
 
 
 def buried_lines(spans: DataFrame, covers: DataFrame, probed: DataFrame, page: tuple[float, float]) -> DataFrame:
@@ -114,12 +106,12 @@ def buried_lines(spans: DataFrame, covers: DataFrame, probed: DataFrame, page: t
     is painted after all its buried spans; a fill counts only on pages where probed (doc_id, page_no) says that nothing shows.
     """
     c = concealing(covers, page)
-    phrases = span_lines(spans.join(c, covered_by(c, "op_index"), "left_semi"), F.lit(True))
+    phrases = span_lines(buried(spans, c), F.lit(True))
     visible = keyed_lines(spans).groupBy(*LINE).agg(touches(*page).alias("on_page")).where("on_page").select(*LINE)
     first = F.min(F.struct(F.when(F.col("kind") == "image", 0).otherwise(1).alias("rank"), "op", "kind")).alias("first")
-    met = phrases.join(visible, list(LINE), "left_semi").join(c, covered_by(c, "last_op")).groupBy(*LINE, "phrase").agg(first)
-    shapes = met.where("first.kind <> 'image'").join(probed, ["doc_id", "page_no"], "left_semi")
-    return met.where("first.kind = 'image'").union(shapes).select(*LINE, "phrase", F.when(F.col("first.kind") == "image", "image").otherwise("shape").alias("cover"), F.col("first.op").alias("cover_op"))
+    covered = met(phrases.join(visible, list(LINE), "left_semi"), c, "last_op").groupBy(*LINE, "phrase").agg(first)
+    shapes = covered.where("first.kind <> 'image'").join(probed, ["doc_id", "page_no"], "left_semi")
+    return covered.where("first.kind = 'image'").union(shapes).select(*LINE, "phrase", F.when(F.col("first.kind") == "image", "image").otherwise("shape").alias("cover"), F.col("first.op").alias("cover_op"))
 
 
 def note_threats(notes: DataFrame, phrases, collapsed) -> DataFrame:
