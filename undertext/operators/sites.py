@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from undertext.functions.text import trimmed
 
+# What a host name is, the surfaces that are always watched, and those that are offered.
 HOST = r"^([a-z0-9]([a-z0-9\-]{0,61}[a-z0-9])?\.)+[a-z]{2,}$"
 
+STATIC = ("chatgpt.com", "chat.openai.com", "claude.ai")
+OFFERED = ("gemini.google.com", "copilot.microsoft.com", "perplexity.ai")
+
 
 def normal_host(text: Column) -> Column:
     """The bare lower-case host of a host or url, null where it is not one."""
@@ -38,3 +42,30 @@ def file_type(name: Column) -> Column:
     for ext in ("md", "pdf", "docx", "pptx"):
         out = F.when(low.endswith(f".{ext}"), ext).otherwise(out)
     return out
+
+
+def origin(host: Column) -> Column:
+    """The pattern of a host's pages."""
+    return F.concat(F.lit("https://"), host, F.lit("/*"))
+
+
+def script_name(host: Column) -> Column:
+    """A host as part of a name: whatever is no ASCII letter, digit or dot becomes a low line."""
+    return F.regexp_replace(host, "[^a-zA-Z0-9.]", "_")
+
+
+def known_sites(custom: DataFrame) -> DataFrame:
+    """(host, builtin, rank, place) of all sites in their order: static, offered, and custom ones (host, place). A custom host that is listed already stands twice, as in the lists."""
+    rows = [(h, True, 0, i) for i, h in enumerate(STATIC)] + [(h, False, 1, i) for i, h in enumerate(OFFERED)]
+    fixed = custom.sparkSession.createDataFrame(rows, "host string, builtin boolean, rank int, place long")
+    return fixed.unionByName(custom.select("host", F.lit(False).alias("builtin"), F.lit(2).alias("rank"), F.col("place").cast("long").alias("place")))
+
+
+def is_builtin(host: Column) -> Column:
+    return F.coalesce(host.isin(*STATIC), F.lit(False))
+
+
+def to_register(sites: DataFrame, granted: DataFrame) -> DataFrame:
+    """Of sites (of known_sites), those not built in that a permission was granted for (granted: origin), with origin and script, once each."""
+    asked = sites.where("not builtin").select("host").distinct().withColumn("origin", origin(F.col("host")))
+    return asked.join(granted.select(F.col("origin").alias("o")), F.col("origin") == F.col("o"), "left_semi").withColumn("script", script_name(F.col("host")))

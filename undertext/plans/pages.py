@@ -13,7 +13,7 @@ WIDTH, HEIGHT = 595.0, 842.0
 
 def spans(docs):
     r = runs(docs)
-    grey = F.when(F.col("color_val") == "FFFFFF", 255).when(F.col("color_val") == "F0F0F0", 243).otherwise(0)
+    grey = F.when(F.col("color_val") == "FFFFFF", 255).when(F.col("color_val") == "F3F3F3", 243).otherwise(0)
     x, y = (F.col("run_no") % 12 * 60 - 30).cast("double"), (820 - F.col("para_no") * 14).cast("double")
     return r.select("doc_id", F.lit(1).alias("page_no"), (F.col("para_no").cast("long") * 100000 + F.col("run_no")).alias("op_index"), "text", grey.alias("grey"), F.col("size_pt").alias("size"), x.alias("x0"), y.alias("y0"), (x + 40).alias("x1"), (y + F.col("size_pt")).alias("y1"))
 
@@ -81,10 +81,13 @@ def pptx_off_slide(spark, sf_dir):
     return run_layers.off_slide(shapes).select("doc_id", "para_no", "run_no")
 
 
+def note_pool():
+    return F.element_at(F.array(*map(F.lit, (*POOL, "d-a-n m.o.d.e"))), (F.col("doc_id") % (len(POOL) + 1) + 1).cast("int"))
+
+
 def pptx_speaker_notes(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
-    pool = F.element_at(F.array(*map(F.lit, (*POOL, "d-a-n m.o.d.e"))), (F.col("doc_id") % (len(POOL) + 1) + 1).cast("int"))
-    return run_layers.note_threats(docs.select("doc_id", F.lit(1).alias("slide_no"), pool.alias("notes")), PHRASES, COLLAPSED)
+    return run_layers.note_threats(docs.select("doc_id", F.lit(1).alias("slide_no"), note_pool().alias("notes")), PHRASES, COLLAPSED)
 
 
 def normalize_host(spark, sf_dir):

@@ -56,7 +56,7 @@ def runs(docs: DataFrame) -> DataFrame:
     return numbered.select(
         "doc_id", "para_no", "run_no", F.when(F.col("run_no") % 7 == 0, pool).otherwise(F.col("word")).alias("text"),
         F.when(mark == 1, True).when(mark == 2, False).alias("hidden"), F.when(mark == 3, 1.5).when(mark == 4, 2.0).otherwise(11.0).alias("size_pt"),
-        F.when(mark == 5, "FFFFFF").when(mark == 6, "F0F0F0").when(mark == 7, "auto").otherwise("000000").alias("color_val"),
+        F.when(mark == 5, "FFFFFF").when(mark == 6, "F3F3F3").when(mark == 7, "auto").otherwise("000000").alias("color_val"),
     )
 
 
@@ -186,7 +186,7 @@ _Z = f"""(SELECT doc_id, line_no, i AS col, 'U+' || upper(lpad(to_hex(unicode(ch
 _V = f"SELECT d.doc_id, CASE WHEN n > 0 THEN 'infected' ELSE 'clean' END AS verdict, coalesce(n, 0) AS n_threats FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM {_Z} GROUP BY 1) USING (doc_id)"
 _D = " UNION ALL ".join(
     f"SELECT doc_id, para_no, run_no, {q(layer)} AS layer, {severity} AS severity FROM {RUNS} WHERE {when} AND {adv('text')}"
-    for layer, when, severity in (("hidden_attr", "m = 1", "'high'"), ("white_on_white", "m IN (5)", "'high'"), ("tiny_font", "m = 3", "'high'"))
+    for layer, when, severity in (("hidden_attr", "m = 1", "'high'"), ("white_on_white", "m IN (5, 6)", "CASE m WHEN 5 THEN 'high' ELSE 'medium' END"), ("tiny_font", "m = 3", "'high'"))
 )
 
 _NAME = f"([{', '.join(map(q, NAMES))}])[doc_id % {len(NAMES)} + 1]"
