@@ -57,7 +57,7 @@ def splits(text, pieces, bytes_, p):
     return total
 
 
-WORDS = ["a", "the", "nation", "internat", "caf\u00e9", "x\U00012345y", "\U00012345", "\u0434\u0430", "zq9", "-", "\0", "ab" * 150, "\U00012345" * 60]
+WORDS = ["a", "the", "nation", "internat", "caf\u00e9", "x\U00012345y", "\U00012345", "\u0434\u0430", "zq9", "-", "\0", "ab" * 95, "ab" * 150, "\U00012345" * 60]
 
 
 def test_lattices_against_enumeration_and_the_plain_recursion():
@@ -90,8 +90,8 @@ def test_score_of_a_small_corpus_step_by_step(spark):
     for _ in range(lm.STEPS):
         use = {}
         for w in c:
-            lm.add_uses(lm.MARK + w, 1, use, pieces, bytes_, p)
-        like = sum(math.log10(splits(lm.MARK + w, pieces, bytes_, p)) for w in c)
+            lm.add_uses(lm.MARK + w, c[w], use, pieces, bytes_, p)
+        like = sum(c[w] * math.log10(splits(lm.MARK + w, pieces, bytes_, p)) for w in c)
         p = [(use.get(i, 0.0) + first[i]) / (sum(use.values()) + 1) for i in range(len(first))]
         if before is not None and like - before < lm.REST * abs(before):
             break
@@ -100,8 +100,9 @@ def test_score_of_a_small_corpus_step_by_step(spark):
     d = once / (once + 2 * twice) if once and twice else 0.75
     n, v = sum(c.values()) + ends + 1, len(c) + 1
     for i, t in rows:
-        want = math.log10((ends + 1 - d) / n) + sum(math.log10(max(c[w] - d, 0) / n + d * v / n * splits(lm.MARK + w, pieces, bytes_, p)) for w in lower(t))
-        assert got[i].score == pytest.approx(want) and got[i].held_out is (i in held)
+        end, by_lattice = math.log10((ends + 1 - d) / n), {w: splits(lm.MARK + w, pieces, bytes_, p) for w in lower(t)}
+        assert got[i].score == pytest.approx(end + sum(math.log10(by_lattice[w]) for w in lower(t))) and got[i].held_out is (i in held)
+        assert got[i].word_score == pytest.approx(end + sum(math.log10(max(c[w] - d, 0) / n + d * v / n * by_lattice[w]) for w in lower(t)))
 
 
 def test_nothing_to_learn_from(spark):
@@ -109,3 +110,21 @@ def test_nothing_to_learn_from(spark):
     i = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
     (r,) = lm.scored(spark.createDataFrame([(i, "one two")], "doc_id long, text string"), PATH).collect()
     assert r.held_out and r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score)
+
+
+def test_no_sum_underflows():
+    pieces, bytes_, p = lm.vocabulary(PATH)
+    words = ["\U00012345" * 190, "\U00012345" * 500]
+    got = lm.lattice_log10(words, PATH, np.array(p) * 1e-3)
+    assert got[0] < -2000 and got[1] / got[0] == pytest.approx(500 / 190, rel=0.01)
+
+
+def test_fitted_weights_hold_out_better_than_the_first(spark):
+    """Held-out words of the documents are likelier under fitted weights, and known words under the word unigram too."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r for r in lm.scored(docs, PATH).collect() if r.held_out]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    words = [(r, (texts[r.doc_id] or "").encode().lower().decode().split()) for r in rows]
+    first = lm.lattice_log10([w for _, ws in words for w in ws], PATH, np.array(lm.vocabulary(PATH)[2])).sum()
+    assert sum(r.score for r in rows) > 0.85 * first and sum(r.word_score for r in rows) > sum(r.score for r in rows)
+    assert sum(r.score for r in rows) / sum(r.n_tokens for r in rows) > -5.4

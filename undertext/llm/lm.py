@@ -1,11 +1,11 @@
 """Language-model scoring by the marginal likelihood of a subword lattice.
 
 The pieces and first weights are those of an existing vocabulary (weight falls with the piece's rank). Expectation
-maximisation over every distinct training word fits the weights, step after step, until a step lifts the words'
-likelihood by less than REST of itself. A word's probability over all its segmentations is the forward recursion's sum.
-Training words are pieces of their own besides: a word seen c times keeps (c - d) / N, and the lattice spells any word
-with the rest, d * V / N (absolute discounting; d follows from the numbers of words seen once and twice). A text's score
-adds its words and one end token each document. The base is the word unigram with add-one smoothing.
+maximisation over every training word, by its count, fits the weights, step after step, until a step lifts the words'
+likelihood by less than REST of itself. A word's probability over all its segmentations is the sum of the forward
+recursion, in logarithms. A text's score adds its words and one end token. The base is the word unigram with add-one
+smoothing; word_score is a word unigram with absolute discounting (d follows from the numbers of words seen once and
+twice) that spells words by the lattice with what is left.
 
 Words are counted once for the whole corpus. Each tile of documents (a part of an input split, bounded in bytes) asks
 for its own distinct words, and its documents are scored against that dictionary, so no token is joined by itself.
@@ -29,7 +29,7 @@ from undertext.llm.common import blank_split, lower_ascii, shared_folder, stored
 FOLDS, HELD = 7, 2
 PLAIN, TINY = 200, 1e-120
 #: Fitting rests at a step that gains less than this share of the likelihood, or after so many steps.
-REST, STEPS = 0.002, 12
+REST, STEPS = 0.004, 12
 #: Bytes of words that are gathered, and their characters worked on at once.
 GATHER, CHARS = 1 << 21, 1 << 17
 #: Bytes of an input file in one tile.
@@ -160,6 +160,17 @@ class Lattices:
                 a[j] += a[j - n] * x[:, j - n]
         return a, q
 
+    def log_forward(self, logs: np.ndarray) -> np.ndarray:
+        """The logarithm of each word's sum over all segmentations, from those of the pieces' probabilities."""
+        every = np.concatenate([logs, [sum(logs[k] for k in spelt) for spelt in self.spelt], [-np.inf]])
+        q = [every[arc] for arc in self.arcs]
+        a = np.zeros((self.shape[1] + 1, self.shape[0]))
+        for j in range(1, self.shape[1] + 1):
+            into = np.stack([a[j - n] + x[:, j - n] for n, x in enumerate(q[:j], 1)])
+            top = into.max(axis=0)  # a character at least is always an arc
+            a[j] = top + np.log(np.exp(into - top).sum(axis=0))
+        return a[-1]
+
     def uses(self, p: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """c times the expected uses of each piece, added up, and each word's probability. Words that come close to underflow are left out."""
         a, q = self.forward(p)
@@ -202,20 +213,21 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(some)
 
 
+def log_sum(logs: list[float]) -> float:
+    top = max(logs)
+    return top + math.log(math.fsum(math.exp(x - top) for x in logs))
+
+
 def log10_word(word: str, pieces, bytes_, p) -> float:
-    """log10 of the word's probability over all segmentations. Scaled whenever it gets tiny."""
+    """log10 of the word's probability over all segmentations."""
     text = MARK + word
-    a, scale, reach = [1.0] + [0.0] * len(text), 0.0, 0
+    into: list[list[float]] = [[0.0], *([] for _ in text)]
     for i in range(len(text)):
-        if (s := a[i]) < TINY:
-            for j in range(i, reach + 1):
-                a[j] /= s
-            scale += math.log10(s)
-            s = 1.0
+        here, into[i] = log_sum(into[i]), []
         for j, _, q in arcs_from(text, i, pieces, bytes_, p):
-            a[j] += s * q
-            reach = max(reach, j)
-    return math.log10(a[-1]) + scale
+            # A character that is spelt in many bytes may have less than the least double.
+            into[j].append(here + (math.log(q) if q > 0 else sum(math.log(p[bytes_[b]]) for b in text[i].encode())))
+    return log_sum(into[-1]) / math.log(10)
 
 
 def add_uses(text: str, c: float, use: dict[int, float], pieces, bytes_, p) -> None:
@@ -293,24 +305,23 @@ def lattice_log10(words: list[str], path: str, p: np.ndarray) -> np.ndarray:
     pieces, bytes_, _ = vocabulary(path)
     texts, out = [MARK + w for w in words], np.full(len(words), -np.inf)
     for at, some in by_length(texts):
-        whole = Lattices(some, path).forward(p)[0][-1]
-        out[at] = np.where(whole > TINY, np.log10(np.maximum(whole, TINY)), -np.inf)
+        out[at] = Lattices(some, path).log_forward(np.log(p)) / math.log(10)
     plain = p.tolist()
-    for i in np.flatnonzero(np.isinf(out)).tolist():
+    for i in np.flatnonzero(np.isinf(out)).tolist():  # longer words
         out[i] = log10_word(words[i], pieces, bytes_, plain)
     return out
 
 
 def scored_words(path: str, p: list[float], n: int, d: float, rest: float):
-    """ls: log10 of a word's probability, as a piece of its own (if training has it) or spelt by the lattice with the rest."""
+    """ls: log10 of a word's probability by the lattice; ws: by the word unigram, which leaves rest to the lattice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.array(p)
         for batch in gathered(batches):
-            c = batch["c"].to_numpy()
-            spelt = math.log(rest) + lattice_log10(batch["word"].to_pylist(), path, weights) * math.log(10)
+            c, ls = batch["c"].to_numpy(), lattice_log10(batch["word"].to_pylist(), path, weights)
             own = np.where(c > 0, np.log(np.maximum(c - d, 1e-9) / n), -np.inf)
-            yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], pa.array(np.logaddexp(own, spelt) / math.log(10))], names=["word", "c", "ls"])
+            ws = np.logaddexp(own, math.log(rest) + ls * math.log(10)) / math.log(10)
+            yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], pa.array(ls), pa.array(ws)], names=["word", "c", "ls", "ws"])
 
     return run
 
@@ -335,7 +346,7 @@ def scored_texts(n: int, v: int, ends: int, p_end: float):
 
     def run(words: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         place = {w.encode(): i for i, w in enumerate(words["word"])}
-        counts, lattice = words["c"].to_numpy(), words["ls"].to_numpy()
+        counts, lattice, own = (words[c].to_numpy() for c in ("c", "ls", "ws"))
         known, base = counts > 0, np.where(counts > 0, np.log10(counts + 1.0), 0.0)
         out = []
         for doc_id, text in zip(docs["doc_id"], docs["text"]):
@@ -344,18 +355,19 @@ def scored_texts(n: int, v: int, ends: int, p_end: float):
             size = len(tokens) + 1
             held = zlib.crc32(str(int(doc_id)).encode()) % FOLDS == HELD if doc_id is not None and doc_id == doc_id else False
             b = float(base[at].sum()) + math.log10(ends + 1) - size * unit
-            s = float(lattice[at].sum()) + p_end
-            out.append((doc_id, held, size, int(known[at].sum()) + (ends > 0), n, b, s))
-        return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]).astype({"doc_id": "Int64"})
+            s, w = float(lattice[at].sum()) + p_end, float(own[at].sum()) + p_end
+            out.append((doc_id, held, size, int(known[at].sum()) + (ends > 0), n, b, s, w))
+        return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "word_score"]).astype({"doc_id": "Int64"})
 
     return run
 
 
 def scored(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs (doc_id, text).
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, word_score) of every row of docs (doc_id, text).
 
     Null text is empty: its only token is the end. A null doc_id is never held out. Repeated rows are counted and
-    scored each. An empty table gives no rows; without training rows all words are spelt by the vocabulary's own weights.
+    scored each. Other columns are left out. An empty table gives no rows; without training rows all words are spelt by
+    the vocabulary's own weights. Texts are whole; a word of any length is one lattice.
     """
     if path is None:
         import public_tokenizers
@@ -375,17 +387,18 @@ def scored(docs: DataFrame, path: str | None = None) -> DataFrame:
     known = F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
     n, v, once, twice = counts.where("c > 0").agg(*known).first()
 
-    p = fitted(counts.where("c > 0").select("word", F.lit(1).cast("bigint").alias("c")), path)
+    p = fitted(counts.where("c > 0"), path)
     # One end more than the documents have, so that an end is always known.
     d = once / (once + 2 * twice) if once and twice else 0.75
     all_ = n + ends + 1
-    words = stored(counts.mapInArrow(scored_words(path, p, all_, d, d * (v + 1) / all_), "word string, c bigint, ls double"), f"{folder}/words")
+    words = stored(counts.mapInArrow(scored_words(path, p, all_, d, d * (v + 1) / all_), "word string, c bigint, ls double, ws double"), f"{folder}/words")
     n, v = n + ends, v + (ends > 0)
     wanted = tiled.select("tile", "word").join(words, "word")
     run = scored_texts(n, v, ends, math.log10((ends + 1 - d) / all_))
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, word_score double"
     return wanted.groupBy("tile").cogroup(rows.groupBy("tile")).applyInPandas(run, schema)
 
 
 def op6_lm_scoring(spark, sf_dir) -> DataFrame:
+    """The whole documents table, as scored gives it; see there for nulls, repeated rows and empty tables."""
     return scored(table(spark, sf_dir, "documents"))
