@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-The budget is cut into blocks of equally many words. Seats (blocks) go to sources by the highest quotients
-target / (2 s + 1), and each source's seats go to its shards in the same way by the shards' words. Within a
-shard the documents lie in seeded order on one line of words that is cut into blocks; a quota of q over b blocks
-takes every block q div b times and the q mod b blocks of the lowest seeded hash once more. Documents are cut at
-block borders, so that sources meet their targets to within a block a shard.
+The budget is cut into blocks of equally many words (`block_words`, or fewer where a source's target is small, so that
+none comes to nothing). Seats (blocks) go to sources by the highest quotients target / (2 s + 1), and each source's seats
+go to its shards in the same way by the shards' words. Within a shard the documents lie in seeded order on one line of
+words that is cut into strips; a quota of q words over n is taken as q div n passes over all strips, and q mod n words of
+the strips of the lowest seeded hash once more, the last of which is taken in part. Documents are cut at these borders,
+so that sources meet their targets to within a block a shard.
 
 The divisor method never lists seats: rounding target / (total / seats) comes within half a seat a party of the
 answer, and the few steps that remain take or return the best quotients (jump and step). Only tables with a row
@@ -28,6 +29,7 @@ class Mix:
     weights: tuple[int, ...] = (1, 2, 3)
     cap: int = 3
     block_words: int = 64
+    strip_words: int = 64
     shard_words: int = 500_000
     seed: int = 17
 
@@ -78,7 +80,7 @@ def apportioned(parties: DataFrame, group: list[str], party: str, votes: str, se
 
 
 def pieces(sized: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
-    """Rows (all columns of sized, and src, begin, end, times) for every part of a document in one block; the targets.
+    """Rows (all columns of sized, and src, begin, end, times) for every part of a document in one strip; the targets.
 
     sized needs key, source, size. begin and end are the part's words, from 0; times is how often the mix takes it.
     """
@@ -90,23 +92,33 @@ def pieces(sized: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
     names = plan.select("src", F.col("source").alias("_source"), "source_size", "target")
     named = sized.join(broadcast_if_small(names, n_sources, 10_000), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("shard", shard)
 
-    b = mix.block_words
-    by_shard = named.groupBy("src", "shard").agg(F.sum("size").alias("shard_size")).withColumn("blocks", F.ceil(F.col("shard_size") / b).cast("long"))
-    seats = plan.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy()) / b).cast("long")).withColumn("most", F.ceil(F.col("source_size") * mix.cap / b).cast("long")).withColumn("one", F.lit(1))
+    # The source with the least target has 16 seats at least, if it has as many words.
+    least = plan.where("target > 0").agg(F.min("target")).first()[0]
+    block = max(1, min(mix.block_words, int((least or 0) // 16)))
+    seats_of = lambda size: F.floor(F.col(size) * mix.cap / block).cast("long")
+    seats = plan.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long")).withColumn("most", seats_of("source_size")).withColumn("one", F.lit(1))
     by_source = apportioned(seats, ["one"], "src", "target", "seats", "most").select("src", F.col("quota").alias("source_seats"))
-    by_shard = by_shard.join(by_source, "src").withColumn("most", F.col("blocks") * mix.cap)
-    quotas = apportioned(by_shard, ["src"], "shard", "shard_size", "source_seats", "most").select("src", "shard", "blocks", "quota")
+    by_shard = named.groupBy("src", "shard").agg(F.sum("size").alias("shard_size")).where("shard_size > 0").join(by_source, "src").withColumn("most", seats_of("shard_size"))
+    quotas = apportioned(by_shard, ["src"], "shard", "shard_size", "source_seats", "most").select("src", "shard", "shard_size", (F.col("quota") * block).alias("words"))
 
+    b = mix.strip_words
     line = Window.partitionBy("src", "shard").orderBy(F.xxhash64(F.lit(mix.seed), "key.doc_id", "key.h"), "key")
     upto = F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))
     laid = named.where("size > 0").withColumn("_end", upto).withColumn("_begin", F.col("_end") - F.col("size"))
-    cut = laid.withColumn("block", F.explode(F.sequence(F.floor(F.col("_begin") / b), F.floor((F.col("_end") - 1) / b))))
-    rank = F.dense_rank().over(Window.partitionBy("src", "shard").orderBy(F.xxhash64(F.lit(mix.seed), "src", "shard", "block"), "block"))
-    begin = F.greatest(F.col("block") * b, F.col("_begin")) - F.col("_begin")
-    end = F.least((F.col("block") + 1) * b, F.col("_end")) - F.col("_begin")
-    parts = cut.withColumn("_rank", rank).withColumn("begin", begin).withColumn("end", end).join(quotas, ["src", "shard"])
-    times = F.expr("quota div blocks") + (F.col("_rank") <= F.col("quota") % F.col("blocks")).cast("long")
-    return parts.withColumn("times", F.least(times, F.lit(mix.cap).cast("long"))).select(*sized.columns, "src", "begin", "end", "times"), plan
+    cut = laid.withColumn("strip", F.explode(F.sequence(F.floor(F.col("_begin") / b), F.floor((F.col("_end") - 1) / b))))
+    chance = lambda strip: F.xxhash64(F.lit(mix.seed), "src", "shard", strip)
+    rank = F.dense_rank().over(Window.partitionBy("src", "shard").orderBy("_chance", "strip"))
+    parts = cut.withColumn("_chance", chance("strip")).withColumn("_rank", rank).join(quotas, ["src", "shard"]).withColumn("_last", F.floor((F.col("shard_size") - 1) / b))
+    # All strips before a strip are whole but for the line's last one.
+    short = F.struct(chance("_last"), "_last") < F.struct("_chance", "strip")
+    before = (F.col("_rank") - 1) * b - F.when(short, (F.col("_last") + 1) * b - F.col("shard_size")).otherwise(0)
+    more = F.col("strip") * b + F.greatest(F.lit(0), F.least(F.lit(b), F.expr("words % shard_size") - before))  # up to here on the line
+    begin, end = F.greatest(F.col("strip") * b, "_begin"), F.least((F.col("strip") + 1) * b, "_end")
+    edge = F.greatest(begin, F.least(end, more))
+    passes = F.expr("words div shard_size")
+    own = lambda a, z, times: F.struct((a - F.col("_begin")).alias("begin"), (z - F.col("_begin")).alias("end"), times.alias("times"))
+    both = parts.select(*sized.columns, "src", F.explode(F.array(own(begin, edge, passes + 1), own(edge, end, passes))).alias("_p"))
+    return both.where("_p.begin < _p.end").select(*sized.columns, "src", "_p.begin", "_p.end", "_p.times"), plan
 
 
 def word_count(text):
@@ -138,7 +150,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 def copies(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each time that a document is taken whole, and one with
-    the words of the blocks that are taken once more, joined by spaces; n_chars follows the text where it is there.
+    the words that are taken once more, joined by spaces; n_chars follows the text where it is there.
     Null and blank texts are never taken. Equal rows are interchangeable. Other columns are carried, whatever their names.
     """
     folder = shared_folder(docs.sparkSession)
@@ -180,5 +192,5 @@ def stage(spark, docs, sf_dir) -> DataFrame:
 
 
 def op1_mix_sources(spark, sf_dir) -> DataFrame:
-    """The whole documents table, as mixed gives it."""
+    """The whole documents table, as mixed gives it; see there for nulls, repeated rows and empty tables."""
     return mixed(table(spark, sf_dir, "documents"))
