@@ -62,6 +62,22 @@ def decontaminate(docs, items, span=10):
     return out
 
 
+def near_items(docs, items, span, reach):
+    """Id to the items (as strings) with a window all of whose words stand at most reach away from a place of its rarest word."""
+    cut = {doc: TERM.findall((text or "").translate(FOLD)) for doc, text in docs.items()}
+    counts = collections.Counter(w for words in cut.values() for w in words)
+    out = {doc: set() for doc in docs}
+    for item, text in items.items():
+        w = TERM.findall((text or "").translate(FOLD))
+        for i in range(max(1, len(w) - span + 1) if w else 0):
+            window = w[i : i + span]
+            rarest = min(window, key=lambda t: (counts[t], window.index(t)))
+            for doc, words in cut.items():
+                if any(x == rarest and set(window) <= set(words[max(0, at - reach) : at + reach + 1]) for at, x in enumerate(words)):
+                    out[doc].add(str(item))
+    return out
+
+
 def jaccard(docs, n=3, num=90, den=100):
     """docs: list of (id, text). Returns (id, set size, component's least id)."""
     sets = []

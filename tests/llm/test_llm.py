@@ -1,4 +1,6 @@
 import hashlib
+import heapq
+import random
 import sys
 from pathlib import Path
 
@@ -63,6 +65,41 @@ def test_mixing(docs):
     assert sum(len(brute.WORD.findall(r.text)) for r in copies) == sum(r.taken for r in rows)
 
 
+def sainte_lague(votes, seats):
+    """Seats by the highest quotients; of equal ones, the earlier party's."""
+    won, heap = [0] * len(votes), [(-v, i) for i, v in enumerate(votes) if v]
+    heapq.heapify(heap)
+    for _ in range(seats if heap else 0):
+        _, i = heapq.heappop(heap)
+        won[i] += 1
+        heapq.heappush(heap, (-votes[i] / (2 * won[i] + 1), i))
+    return won
+
+
+def test_quotas_are_those_of_the_highest_quotients(spark):
+    rng, rows, want = random.Random(6), [], {}
+    for g in range(40):
+        votes, seats = [rng.choice([0, 1, 5, 64, rng.randint(1, 10**6)]) for _ in range(rng.randint(1, 12))], rng.choice([0, 1, 7, 100, 5000])
+        want |= {(g, i): n for i, n in enumerate(sainte_lague([v / max(1, sum(votes)) for v in votes], seats))}
+        rows += [(g, i, v, seats, 10**9) for i, v in enumerate(votes)]
+    parties = spark.createDataFrame(rows, "g int, party int, votes long, seats long, most long")
+    got = {(r.g, r.party): r.quota for r in mixing.apportioned(parties, ["g"], "party", "votes", "seats", "most").collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("words,sources", [([20], 300), ([6, 40000], 2), ([1, 2, 3, 500, 70], 40)])
+def test_small_sources_come_near_their_targets(spark, words, sources):
+    rows = [(100 * s + d, f"s{s:03d}", " ".join(f"w{i}" for i in range(words[s % len(words)] // n + (d < words[s % len(words)] % n)))) for s in range(sources) for n in [1 + s % 3] for d in range(n)]
+    sums = {}
+    for r, (_, source, text) in zip(sorted(mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect(), key=lambda r: r.doc_id), rows):
+        taken, _ = sums.get(source, (0, 0))
+        sums[source] = taken + r.taken, r.target
+        assert 0 <= r.taken <= 3 * len(text.split())
+    assert abs(sum(t for t, _ in sums.values()) - sum(x for _, x in sums.values())) <= 64
+    assert all(abs(taken - target) <= 64 and taken >= target / 2 - 1 for taken, target in sums.values())
+    assert all(taken for taken, target in sums.values() if target >= 1)
+
+
 def test_decontamination(spark, docs):
     items = {7: "c d e f g h i j k l", 8: "One", 9: None, 10: " ".join(f"w{i}" for i in range(50, 65)), 11: "nothing like it here"}
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
@@ -74,8 +111,28 @@ def test_decontamination(spark, docs):
 
 
 def test_proximity(spark):
-    postings = spark.createDataFrame([(1, 0, "a"), (1, 3, "b"), (2, 0, "a"), (2, 9, "b")], "d long, pos int, term string").select(F.struct("d").alias("key"), "pos", "term")
-    assert [r.key.d for r in decontam.near(postings, ["a", "b"], 4).collect()] == [1]
+    """Exact and proximity matches of every window, against a version that tries all places."""
+    rng = random.Random(3)
+    texts = {i: " ".join(rng.choice("abcdefgh" if i % 2 else "abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(0, 120))) for i in range(60)}
+    items = {100: "a b c d e", 101: "q r", 102: "z", 103: "a a b", 104: texts[4][:39], 105: "nowhere a", 106: "h g f e d c b a h g f e"}
+    docs, bench = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for span, reach in ((10, 20), (3, 2)):
+        want, near = brute.decontaminate(texts, items, span), brute.near_items(texts, items, span, reach)
+        for r in decontam.checked(docs, bench, span=span, reach=reach).collect():
+            n, hit, found = want[r.doc_id]
+            assert (r.n_words, r.n_hit, r.n_items) == (n, hit, len(found))
+            assert r.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
+            assert r.n_near == len(near[r.doc_id]) and set(found) <= near[r.doc_id]
+
+
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_decontamination_by_shuffles_alone(spark, monkeypatch, small):
+    monkeypatch.setattr(decontam, "SMALL", small)
+    sf = "/root/testdata/sf0.001"
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = brute.decontaminate({r.doc_id: r.text for r in docs.collect()}, {r.item_id: r.text for r in items.collect()})
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontam.op2_decontaminate(spark, sf).collect()}
+    assert got == {k: (n, hit, len(found)) for k, (n, hit, found) in want.items()} and any(x[1] for x in got.values())
 
 
 def test_licenses(docs):
@@ -185,7 +242,7 @@ def test_pipeline_stages_keep_whole_rows(spark, docs, tmp_path):
     clean = stages["decontaminate"](spark, one, str(tmp_path))
     assert [tuple(r) for r in clean.collect()] == [rows[0]]
     mix = stages["mix_sources"](spark, clean, str(tmp_path))
-    assert [tuple(r) for r in mix.collect()] == [rows[0]] or mix.count() == 1
+    assert [tuple(r) for r in mix.collect()] == [(20, good, "en", "a", len(good), "x", 1)]  # n_chars follows the text
     assert stages["token_store"](spark, mix, str(tmp_path)).count() == mix.count()
 
 

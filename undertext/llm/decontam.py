@@ -1,76 +1,82 @@
 """Benchmark decontamination over a positional inverted index.
 
-Postings (term, document, position) of all training tokens are written once, in parts by document. Every benchmark
-window picks its rarest term by the index's counts; that term's postings, adjusted by its offset, give the only
-starts that the window can have. The other terms' positions at those starts decide on exact phrases; near() decides
-on proximity from the same lists.
+Postings (key, position, term) of the training tokens that stand in any benchmark item are written once, with each
+document's number of words. A window's terms are ranked by the index's counts. The rarest term's list gives the places
+that the window can have; they are intersected with the offset-adjusted list of the second, which leaves few, and then
+with those of all other terms, of the documents that are left. Lists are met within `reach` positions: a place where
+every term is at its own offset is an exact phrase, one where every term is somewhere within reach of the rarest a
+proximity match.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from undertext.llm.common import broadcast_if_small, discard, gap_split, let, named_rows, shared_folder, stored, table, without
+from undertext.llm.common import broadcast_if_small, discard, gap_split, named_rows, shared_folder, stored, table, without
 
-SPAN = 10
-#: Benchmark windows and terms are broadcast up to this many rows (about 200 bytes each), else joined by shuffle.
+SPAN, REACH = 10, 20
+#: Benchmark windows, terms and documents with places are broadcast up to this many rows (about 200 bytes each), else joined by shuffle.
 SMALL = 200_000
 
 
-def keyed(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns in keep, and a key that equal rows share."""
-    return docs.select(*keep, F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"))
+def index(docs: DataFrame, vocabulary: DataFrame, keep: tuple[str, ...], folder: str) -> DataFrame:
+    """(key, pos, term) of every token of docs that vocabulary (term) has, and a row with null term, whose pos is the number of words, for every row of docs; written to folder.
 
-
-def index(docs: DataFrame, folder: str) -> DataFrame:
-    """(key, pos, term) of every token of docs, written below folder."""
-    words = keyed(docs, "text").select("key", gap_split(F.col("text")).alias("words"))
-    return stored(words.select("key", F.posexplode("words").alias("pos", "term")), f"{folder}/postings")
+    key holds doc_id, the columns in keep and a hash of the text; equal rows share it.
+    """
+    key = F.struct("doc_id", *[c for c in keep if c != "doc_id"], F.xxhash64("text").alias("_text")).alias("key")
+    words = docs.select(key, gap_split(F.col("text")).alias("words"))
+    each = words.select("key", F.posexplode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("pos", "term"))
+    known = vocabulary.select(F.col("term").alias("_term")).withColumn("_known", F.lit(True))
+    return stored(each.join(known, F.col("term") == F.col("_term"), "left").where("term is null or _known").select("key", "pos", "term"), folder)
 
 
 def windows(items: DataFrame, span: int) -> DataFrame:
-    """(wid, terms, items): distinct windows of span consecutive words; a shorter item is one window."""
+    """(terms, items): distinct windows of span consecutive words; a shorter item is one window."""
     words = items.select("item_id", gap_split(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - span + 1, F.lit(1)))
     cut = words.withColumn("i", F.explode(starts)).select("item_id", F.slice("w", F.col("i"), F.lit(span)).alias("terms"))
-    return cut.groupBy("terms").agg(F.collect_set(F.col("item_id").cast("string")).alias("items")).select(F.sha2(F.array_join("terms", " "), 256).alias("wid"), "terms", "items")
-
-
-def occurrences(docs: DataFrame, postings: DataFrame, items: DataFrame, span: int, folder: str) -> DataFrame:
-    """(key, start, size, items) of every occurrence of a window in a document of the index."""
-    asked = stored(windows(items, span), f"{folder}/windows")
-    listed = asked.select("wid", F.posexplode("terms").alias("offset", "term"))
-    n_terms, n_asked = listed.select("term").distinct().count(), asked.count()
-    vocabulary = broadcast_if_small(listed.select("term").distinct(), n_terms, SMALL)
-    counts = stored(postings.select("term").join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("c")), f"{folder}/counts")
-    ranked = listed.join(broadcast_if_small(counts, n_terms, SMALL), "term", "left").groupBy("wid").agg(
-        F.min(F.coalesce("c", F.lit(0))).alias("least"), F.min_by(F.struct("term", "offset"), F.struct(F.coalesce("c", F.lit(0)), "offset")).alias("r")
-    )
-    rarest = ranked.where("least > 0").join(asked, "wid").select(F.xxhash64("terms").alias("w"), F.size("terms").cast("tinyint").alias("size"), "r.term", "r.offset", "terms", "items")
-    rarest = stored(rarest, f"{folder}/rarest")
-    # a start travels with its window's hash and size; only where the document's words have that hash do they meet the window
-    starts = postings.join(broadcast_if_small(rarest.select("w", "size", "term", "offset"), n_asked, SMALL), "term").where("pos >= offset")
-    by_doc = starts.groupBy("key").agg(F.collect_set(F.struct((F.col("pos") - F.col("offset")).alias("start"), "w", "size")).alias("c"))
-
-    def alike(w):
-        seen = lambda x: F.slice(w, x.getField("start") + 1, x.getField("size").cast("int"))
-        met = F.filter("c", lambda x: F.xxhash64(seen(x)) == x.getField("w"))
-        return F.transform(met, lambda x: F.struct(x.getField("start").alias("start"), x.getField("w").alias("w"), seen(x).alias("seen")))
-
-    words = keyed(docs, "text").join(by_doc, "key")
-    near_by = words.select("key", F.explode(let(gap_split(F.col("text")), alike)).alias("m")).select("key", "m.start", "m.w", "m.seen")
-    told = near_by.join(broadcast_if_small(rarest.select("w", "terms", "items"), n_asked, SMALL), "w").where("seen = terms")
-    return told.select("key", "start", F.size("terms").alias("size"), "items")
-
-
-def near(postings: DataFrame, terms: list[str], within: int) -> DataFrame:
-    """(key, pos): places of the first term with every other term at most `within` positions away, either side."""
-    found = postings.where(F.col("term") == terms[0]).select("key", "pos")
-    for t in terms[1:]:
-        other = postings.where(F.col("term") == t).select(F.col("key").alias("k"), F.col("pos").alias("p"))
-        found = found.join(other, F.col("key").eqNullSafe(F.col("k")) & (F.abs(F.col("pos") - F.col("p")) <= within), "left_semi")
-    return found
+    return cut.groupBy("terms").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+
+
+def ranked(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """(w, size, offset, term, rank) of the terms of windows asked (w, terms), the rarest by counts (term, c) first. Windows with a term that no document has are left out."""
+    listed = asked.select("w", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
+    own = Window.partitionBy("w")
+    told = listed.withColumn("rank", F.row_number().over(own.orderBy("c", "offset"))).withColumn("found", F.count("c").over(own))
+    return told.where("found = size").select("w", "size", "offset", "term", "rank")
+
+
+def near(places: DataFrame, lists: DataFrame, reach: int, how: str) -> DataFrame:
+    """places (key, pos, wanted and others) joined with lists (k, p, term): where the term wanted is at most reach away. Both meet in stretches of positions, a place in two of them at most."""
+    wide = 2 * reach
+    asked = places.withColumn("stretch", F.explode(F.sequence(F.floor((F.col("pos") - reach) / wide), F.floor((F.col("pos") + reach) / wide))))
+    dealt = lists.withColumn("_stretch", F.floor(F.col("p") / wide))
+    same = F.col("key").eqNullSafe(F.col("k")) & (F.col("wanted") == F.col("term")) & (F.col("stretch") == F.col("_stretch")) & (F.abs(F.col("pos") - F.col("p")) <= reach)
+    return asked.join(dealt, same, how)
+
+
+def matches(postings: DataFrame, asked: DataFrame, terms: DataFrame, reach: int, folder: str) -> DataFrame:
+    """(key, start, size, w, exact) of every place of a window in the index: all its terms are within reach of its rarest, and exact if each is at its own offset."""
+    n = asked.count()
+    small = lambda df, times: broadcast_if_small(df, n * times, SMALL)
+    lists = postings.select(F.col("key").alias("k"), F.col("pos").alias("p"), "term")
+    first = postings.join(small(terms.where("rank = 1").drop("rank"), 1), "term").select("key", "pos", "w", "size", "offset")
+    second = terms.where("rank = 2")
+    of_second = lists.join(small(second.select("term").distinct(), 1), "term", "left_semi")
+    two = near(first.join(small(second.select("w", F.col("term").alias("wanted")), 1), "w"), of_second, reach, "left_semi")
+    places = stored(two.select(*first.columns).union(first.where("size = 1")).distinct(), f"{folder}/places")
+    keys = places.select(F.col("key").alias("_key")).distinct()
+    left = lists.join(broadcast_if_small(keys, places.count(), SMALL), F.col("k").eqNullSafe(F.col("_key")), "left_semi")
+    # The second term is met again: only now its offset counts.
+    others = terms.where("rank > 1").select("w", F.col("offset").alias("o"), F.col("term").alias("wanted"), F.expr("shiftleft(1L, rank)").alias("bit"))
+    met = near(places.join(small(others, SPAN), "w"), left, reach, "inner")
+    there = F.col("p") - F.col("pos") == F.col("o") - F.col("offset")
+    whole = met.groupBy(*first.columns).agg(F.bit_or("bit").alias("all"), F.bit_or(F.when(there, F.col("bit")).otherwise(0)).alias("at"))
+    every = F.expr("shiftleft(1L, size + 1) - 4")
+    found = whole.where(F.col("all") == every).select("key", (F.col("pos") - F.col("offset")).alias("start"), "size", "w", (F.col("at") == every).alias("exact"))
+    return found.union(places.where("size = 1").select("key", "pos", "size", "w", F.lit(True)))
 
 
 def covered(spans):
@@ -82,30 +88,41 @@ def covered(spans):
     return F.aggregate(spans, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step, lambda a: a.getField("n"))
 
 
-def checked(docs: DataFrame, items: DataFrame, *keep: str, span: int = SPAN) -> DataFrame:
-    """Every row of docs with n_words, n_hit, n_items, items_sha256, contaminated, and the columns in keep.
+def checked(docs: DataFrame, items: DataFrame, *keep: str, span: int = SPAN, reach: int = REACH) -> DataFrame:
+    """Every row of docs with n_words, n_hit, n_items, items_sha256, contaminated, n_near and the columns in keep.
 
-    Null text has no words and is clean. Items without words say nothing. Repeated rows have the same result each.
+    n_near: items with a proximity match of any of their windows, exact ones among them. Null text has no words and is
+    clean. Items without words say nothing. Repeated rows have the same result each. An empty table gives no rows, and
+    without items all documents are clean.
     """
+    if span > 60:
+        raise ValueError("a window's terms are bits of a number: 60 at most")
     folder = shared_folder(docs.sparkSession)
-    postings = index(docs, folder)
-    found = occurrences(docs, postings, items, span, folder).groupBy("key").agg(
-        F.array_sort(F.collect_set(F.struct("start", "size"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
-    )
-    found = found.select("key", covered(F.col("spans")).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    keep = ("doc_id", *[c for c in keep if c != "doc_id"])
-    lengths = postings.groupBy("key").agg((F.max("pos") + 1).cast("long").alias("n_words"))
-    facts = stored(lengths.join(found, "key", "left"), f"{folder}/facts")
+    asked = stored(windows(items, span).withColumn("w", F.monotonically_increasing_id()), f"{folder}/windows")
+    vocabulary = stored(asked.select(F.explode("terms").alias("term")).distinct(), f"{folder}/vocabulary")
+    n_terms = vocabulary.count()
+    postings = index(docs, broadcast_if_small(vocabulary, n_terms, SMALL), keep, f"{folder}/postings")
+    words = postings.where("term is not null")
+    counts = stored(words.groupBy("term").agg(F.count(F.lit(1)).alias("c")), f"{folder}/counts")
+    terms = stored(ranked(asked, broadcast_if_small(counts, n_terms, SMALL)), f"{folder}/terms")
+    named = matches(words, asked, terms, reach, folder).join(broadcast_if_small(asked.select("w", "items"), asked.count(), SMALL), "w")
+    exact = F.when(F.col("exact"), F.struct("start", "size"))
+    of = lambda kept: F.array_distinct(F.flatten(F.collect_set(kept)))
+    found = named.groupBy("key").agg(F.array_sort(F.collect_set(exact)).alias("spans"), F.array_sort(of(F.when(F.col("exact"), F.col("items")))).alias("items"), F.size(of(F.col("items"))).cast("long").alias("n_near"))
+    found = found.select(F.col("key").alias("_key"), "n_near", covered(F.col("spans")).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    facts = stored(found, f"{folder}/facts")
+    rows = stored(postings.where("term is null").select("key", F.col("pos").cast("long").alias("n_words")), f"{folder}/rows")
     discard(docs.sparkSession, f"{folder}/postings")
-    rows = keyed(docs, *keep)
-    zero = F.lit(0).cast("long")
-    return rows.join(facts, "key", "left").select(
-        *keep, F.coalesce("n_words", zero).alias("n_words"), F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated")
-    )
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    told = rows.join(broadcast_if_small(facts, facts.count(), SMALL), F.col("key").eqNullSafe(F.col("_key")), "left")
+    return told.select(
+        *[F.col("key").getField(c).alias(c) for c in ("doc_id", *[c for c in keep if c != "doc_id"])],
+        "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"), zero("n_near"),
+    )
 
 
 def op2_decontaminate(spark, sf_dir) -> DataFrame:
-    """The whole documents and benchmark tables, as checked gives them."""
+    """The whole documents and benchmark tables, as checked gives them; see there for nulls, repeated rows and empty tables."""
     return checked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
