@@ -7,9 +7,9 @@ from undertext.functions.lexicon import INVISIBLE
 from undertext.functions.text import decoded, is_adversarial, lines
 from undertext.operators import gates as gate_tables
 from undertext.operators import reports, run_layers, text_layers
-from undertext.plans import files, gates, pages, queries
+from undertext.plans import files, gates, layout, pages, queries
 
-QUERIES, SQL = queries.QUERIES | pages.QUERIES | gates.QUERIES | files.QUERIES, queries.SQL | pages.SQL | gates.SQL | files.SQL
+QUERIES, SQL = queries.QUERIES | pages.QUERIES | gates.QUERIES | files.QUERIES | layout.QUERIES, queries.SQL | pages.SQL | gates.SQL | files.SQL | layout.SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

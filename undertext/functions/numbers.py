@@ -42,6 +42,10 @@ def colour(kind: Column, v: Column) -> Column:
     return F.when((kind == "rgb") & known(3), rgb).when((kind == "grey") & known(1), grey(at(0))).when((kind == "cmyk") & known(4), cmyk(at(0), at(1), at(2), at(3))).otherwise(black)
 
 
+def luminance(rgb: Column) -> Column:
+    return half_up(rgb["r"] * 0.299 + rgb["g"] * 0.587 + rgb["b"] * 0.114, 0).cast("int")
+
+
 def line_colours(spans: DataFrame, line: tuple[str, ...], far: Column) -> DataFrame:
     """Of each line's spans (op_index, rgb): the colour of the first, and the least distance to two digits."""
     told = spans.withColumn("far", far).groupBy(*line).agg(F.min_by("rgb", "op_index").alias("fg"), F.min("far").alias("least"))

@@ -104,6 +104,12 @@ def history(reports: DataFrame, threats: DataFrame, order: list[str]) -> DataFra
     return reports.join(first, "doc_id", "left").select("doc_id", "name", "file_type", "verdict", F.col("t.layer").alias("layer"), payload.alias("payload"), "ts")
 
 
+def entries(reports: DataFrame, threats: DataFrame, order: list[str]) -> DataFrame:
+    """Entries as history gives them, with an id of their own and the location (of threats) of the first threat; null without threats. Ids are random, so they differ between runs."""
+    first = threats.groupBy("doc_id").agg(F.min_by("location", F.struct(*order)).alias("location"))
+    return history(reports, threats, order).join(first, "doc_id", "left").withColumn("id", F.expr("uuid()"))
+
+
 def visible(entries: DataFrame, kind: str, query: str) -> DataFrame:
     """History entries of a verdict (or all) whose name contains the query, in any case; a blank query finds all."""
     wanted = query.strip(SPACES).lower()

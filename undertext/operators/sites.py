@@ -69,3 +69,10 @@ def to_register(sites: DataFrame, granted: DataFrame) -> DataFrame:
     """Of sites (of known_sites), those not built in that a permission was granted for (granted: origin), with origin and script, once each."""
     asked = sites.where("not builtin").select("host").distinct().withColumn("origin", origin(F.col("host")))
     return asked.join(granted.select(F.col("origin").alias("o")), F.col("origin") == F.col("o"), "left_semi").withColumn("script", script_name(F.col("host")))
+
+
+def gate_state(stored: DataFrame) -> tuple[bool, dict[str, bool]]:
+    """Whether all is paused, and hosts' settings, from rows (key, value as JSON) of the settings store; off and none where they are missing or unreadable. The two rows come to the driver."""
+    found = {r.key: r.value for r in stored.where("key in ('paused', 'sites')").groupBy("key").agg(F.max("value").alias("value")).collect()}
+    row = stored.sparkSession.createDataFrame([(found.get("sites"),)], "v string").select(F.from_json("v", "map<string,boolean>").alias("m")).first()
+    return found.get("paused") == "true", dict(row.m or {})
