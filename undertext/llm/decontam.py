@@ -2,8 +2,8 @@
 
 Postings (key, position, term) of the training tokens that stand in any benchmark item are written once, with each
 document's number of words. A window's terms are ranked by the index's counts. The rarest term's list gives the places
-that the window can have; they are intersected with the offset-adjusted list of the second, which leaves few, and then
-with those of all other terms, of the documents that are left. Lists are met within `reach` positions: a place where
+that the window can have; they are intersected with the offset-adjusted lists of the next rarest, one after the other, which
+leaves few, and then with those of all other terms, of the documents that are left. Lists are met within `reach` positions: a place where
 every term is at its own offset is an exact phrase, one where every term is somewhere within reach of the rarest a
 proximity match.
 """
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from undertext.llm.common import broadcast_if_small, discard, gap_split, named_rows, shared_folder, stored, table, without
 
 SPAN, REACH = 10, 20
+#: So many of a window's rarest terms are met one after the other, over all documents.
+PRUNED = 2
 #: Benchmark windows, terms and documents with places are broadcast up to this many rows (about 200 bytes each), else joined by shuffle.
 SMALL = 200_000
 
@@ -62,18 +64,20 @@ def matches(postings: DataFrame, asked: DataFrame, terms: DataFrame, reach: int,
     n = asked.count()
     small = lambda df, times: broadcast_if_small(df, n * times, SMALL)
     lists = postings.select(F.col("key").alias("k"), F.col("pos").alias("p"), "term")
-    first = postings.join(small(terms.where("rank = 1").drop("rank"), 1), "term").select("key", "pos", "w", "size", "offset")
-    second = terms.where("rank = 2")
-    of_second = lists.join(small(second.select("term").distinct(), 1), "term", "left_semi")
-    two = near(first.join(small(second.select("w", F.col("term").alias("wanted")), 1), "w"), of_second, reach, "left_semi")
-    places = stored(two.select(*first.columns).union(first.where("size = 1")).distinct(), f"{folder}/places")
-    keys = places.select(F.col("key").alias("_key")).distinct()
-    left = lists.join(broadcast_if_small(keys, places.count(), SMALL), F.col("k").eqNullSafe(F.col("_key")), "left_semi")
-    # The second term is met again: only now its offset counts.
+    places = postings.join(small(terms.where("rank = 1").drop("rank"), 1), "term").select("key", "pos", "w", "size", "offset")
+    columns = places.columns
+    for rank in range(2, PRUNED + 1):
+        own = terms.where(F.col("rank") == rank)
+        of_own = lists.join(small(own.select("term").distinct(), 1), "term", "left_semi")
+        kept = near(places.join(small(own.select("w", F.col("term").alias("wanted")), 1), "w"), of_own, reach, "left_semi")
+        places = stored(kept.select(*columns).union(places.where(F.col("size") < rank)).distinct(), f"{folder}/places{rank}")
+    keys = stored(places.select(F.col("key").alias("_key")).distinct(), f"{folder}/keys")
+    left = lists.join(broadcast_if_small(keys, keys.count(), SMALL), F.col("k").eqNullSafe(F.col("_key")), "left_semi")
+    # The first terms are met again: only now their offsets count.
     others = terms.where("rank > 1").select("w", F.col("offset").alias("o"), F.col("term").alias("wanted"), F.expr("shiftleft(1L, rank)").alias("bit"))
     met = near(places.join(small(others, SPAN), "w"), left, reach, "inner")
     there = F.col("p") - F.col("pos") == F.col("o") - F.col("offset")
-    whole = met.groupBy(*first.columns).agg(F.bit_or("bit").alias("all"), F.bit_or(F.when(there, F.col("bit")).otherwise(0)).alias("at"))
+    whole = met.groupBy(*columns).agg(F.bit_or("bit").alias("all"), F.bit_or(F.when(there, F.col("bit")).otherwise(0)).alias("at"))
     every = F.expr("shiftleft(1L, size + 1) - 4")
     found = whole.where(F.col("all") == every).select("key", (F.col("pos") - F.col("offset")).alias("start"), "size", "w", (F.col("at") == every).alias("exact"))
     return found.union(places.where("size = 1").select("key", "pos", "size", "w", F.lit(True)))
