@@ -6,8 +6,10 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from undertext.llm import jaccard
 
@@ -112,3 +114,23 @@ def test_words_are_split_and_folded_as_the_contract_says():
         for w, h in zip(words, hashes[at[i] : at[i + 1]].tolist()):
             assert names.setdefault(w, h) == h
     assert len(set(names.values())) == len(names)
+
+
+@pytest.mark.parametrize("k", [1, 1000, 2000, 8000])
+def test_rows_of_a_group_grow_with_its_blocks_alone(spark, k):
+    members = spark.range(k).select(F.lit(1).cast("long").alias("comp"), F.col("id").cast("string").cast("binary").alias("node"), (F.lit(100) + F.col("id") % 3).alias("n"), F.lit(1).cast("long").alias("c"), F.lit(k).cast("long").alias("k"))
+    own, pairs = jaccard.blocks(members, 90, 100)
+    n_blocks = own.select("block").distinct().count()
+    assert own.count() == k and n_blocks <= -(-k // jaccard.BLOCK) + 3 and pairs.count() <= n_blocks**2
+    assert {(r.block, r.other) for r in pairs.collect()} >= {(r.block, r.block) for r in own.select("block").distinct().collect()}
+
+
+def test_fragments_share_the_first_runs_evenly():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in rng.integers(20, 400, 3000)]
+    _, begin, sig = jaccard.runs(sets, 90, 100)
+    place = jaccard.fragment(begin, 90, 100, 256)
+    sizes = np.bincount(place, minlength=256)
+    assert sig.dtype == np.uint64 and place.min() >= 0 and place.max() <= 255 and sizes.max() < 3 * len(place) / 256
+    assert (np.diff(jaccard.fragment(np.sort(begin), 90, 100, 256)) >= 0).all()
+    assert set(jaccard.fragment(np.array([0, (1 << 64) - 1], dtype=np.uint64), 1, 2, 7).tolist()) == {0, 6}

@@ -7,11 +7,11 @@ few n-grams that only one of the two sets has, that among the first runs of each
 is common to both (see there). Runs go to the fragment in which they begin. There, sets with an equal run are tied
 to one of them, which makes a row a set and not a row a pair; sets that are tied, directly or not, form a group.
 
-Counts: sets of a group are laid against each other in blocks. A block pair's sets are cut into PARTS fragments; each
-fragment's overlaps are counted apart, as an array with a place for each pair, and the arrays are summed for each block
-pair. Links follow from the sums, and components from the links. Equal sets are one set from the start, however many
-copies there are. So the work, not the number of rows, grows with the square of a group of different sets; all else
-grows with the input.
+Counts: sets of a group are laid against each other in blocks, each of which is one row for each of PARTS fragments of
+its sets. Each fragment's overlaps of a block pair are counted apart, as an array with a place for each pair of sets,
+and the arrays are summed for each block pair. Links follow from the sums, and components from the links. Equal sets are one
+set from the start, however many copies there are. A group of k different sets is k / BLOCK blocks, so that it has
+(k / BLOCK) ** 2 rows and its comparison k ** 2 counts; all else grows with the input.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from undertext.llm.common import NAME, matching, named_rows, shared_folder, stor
 PARTS = 4
 #: Sets in a block, and n-grams that are laid out for it at a time.
 BLOCK, WIDE = 1024, 4096
-#: Fragments by which runs are dealt, at least; twice the shuffle partitions where those are more.
-FRAGMENTS = 256
+#: Fragments by which runs are dealt: so many at least, twice the shuffle partitions, and one for so many documents.
+FRAGMENTS, A_FRAGMENT = 256, 10_000
 #: Runs that a task holds before it deals them, and texts that it reads at once.
 HELD, TEXTS = 1_000_000, 500
 #: Bytes of text whose words are hashed at once.
@@ -140,6 +140,14 @@ def runs(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.nda
     return of, flat[start], sig
 
 
+def fragment(begin: np.ndarray, num: int, den: int, fragments: int) -> np.ndarray:
+    """The fragment of the global order that an n-gram lies in. A set's first runs begin with its lowest n-grams, so the order's beginning, where nearly all lie, is cut into nine tenths of the fragments."""
+    dense = min(1.0, 1.2 * run_length(num, den) * (den - num) / den)
+    x = begin.astype(np.float64) / 2.0**64
+    share = np.where(x < dense, 0.9 * x / dense, 0.9 + 0.1 * (x - dense) / (1.0 - dense)) if dense < 1 else x
+    return np.minimum((share * fragments).astype(np.int32), fragments - 1)
+
+
 def fingerprint(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
@@ -179,8 +187,7 @@ def signing(n: int, num: int, den: int, fragments: int) -> Callable:
                 fresh = [i for i, x in enumerate(nodes) if x is not None and x not in met and not met.add(x)]
                 of, begin, sig = runs([sets[i] for i in fresh], num, den)
                 keys = np.array([key_of(nodes[i]) for i in fresh], dtype=np.int64)[of]
-                place = ((begin >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int32)
-                held.append((place, keys, sig.astype(np.uint32)))
+                held.append((fragment(begin, num, den, fragments), keys, sig))
                 size += len(of)
                 spread = [-1 - (k * 7919 + at) % (1 << 20) for k in range(piece.num_rows)]
                 yield filled(ROW_KINDS, piece.num_rows, frag=spread, doc_id=piece["doc_id"], h=piece["h"], h2=piece["h2"], n=[len(g) for g in sets], node=nodes, key=[x and key_of(x) for x in nodes])
@@ -201,7 +208,7 @@ def tying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows as they are; for each fragment's runs, in one go, ties (a, b) of sets with an equal run to the least of them."""
 
     def ties(keys: list, sigs: list) -> pa.RecordBatch:
-        key, sig = np.frombuffer(b"".join(keys), dtype=np.int64), np.frombuffer(b"".join(sigs), dtype=np.uint32)
+        key, sig = np.frombuffer(b"".join(keys), dtype=np.int64), np.frombuffer(b"".join(sigs), dtype=np.uint64)
         order = np.lexsort((key, sig))
         key, sig = key[order], sig[order]
         begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
@@ -284,6 +291,18 @@ def grouped(batches: Iterator[pa.RecordBatch], by: tuple[str, ...], rest: tuple[
         yield now, rows
 
 
+PACKED = "comp bigint, block bigint, frag int, nodes array<binary>, facts binary, segments array<binary>"
+
+
+def packing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block and fragment, from its sets' rows in their order; facts: n and c of each."""
+    names, kinds = [c.split()[0] for c in PACKED.split(", ")], [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.binary())]
+    for (comp, block, frag), rows in grouped(batches, ("comp", "block", "frag"), ("node", "n", "c", "segment")):
+        rows = [r for i, r in enumerate(rows) if not i or r[0] != rows[i - 1][0]]  # a row that occurs twice gives its set twice
+        columns = [comp, block, frag, [r[0] for r in rows], np.array([r[1:3] for r in rows], dtype=np.int64).tobytes(), [r[3] for r in rows]]
+        yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds)], names=names)
+
+
 COUNTED = "comp bigint, lo bigint, hi bigint, frag int, nodes array<binary>, facts binary, width int, overlaps binary"
 
 
@@ -291,13 +310,15 @@ def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each block pair and fragment, the overlaps of its sets' segments: rows of the lower block by columns of the higher."""
     names = [c.split()[0] for c in COUNTED.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.int32(), pa.binary()]
-    for (comp, lo, hi, frag), rows in grouped(batches, ("comp", "lo", "hi", "frag"), ("block", "node", "n", "c", "segment")):
-        rows = [r for i, r in enumerate(rows) if not i or r[:2] != rows[i - 1][:2]]  # a row that occurs twice gives its set twice
-        segments = [np.frombuffer(r[4], dtype=np.uint64) for r in rows]
-        x, y = ([s for r, s in zip(rows, segments) if r[0] == side] for side in (lo, hi))
+    for (comp, lo, hi, frag), sides in grouped(batches, ("comp", "lo", "hi", "frag"), ("block", "nodes", "facts", "segments")):
+        x, y = ([np.frombuffer(g, dtype=np.uint64) for g in next(r[3] for r in sides if r[0] == side)] for side in (lo, hi))
         found = overlaps(x, y)
         width = 2 if found.max(initial=0) < 1 << 16 else 4
-        told = (pa.array([[r[1] for r in rows]], kinds[4]), [np.array([(r[0] == lo, r[0] == hi, r[2], r[3]) for r in rows], dtype=np.int64).tobytes()]) if frag == 0 else ([None], [None])
+        told = (pa.array([None], kinds[4]), pa.array([None], kinds[5]))
+        if frag == 0:
+            whole = {r[0]: r for r in sides}
+            parts = [np.column_stack([np.full(len(r[1]), r[0] == lo), np.full(len(r[1]), r[0] == hi), np.frombuffer(r[2], dtype=np.int64).reshape(-1, 2)]) for r in whole.values()]
+            told = (pa.array([[x for r in whole.values() for x in r[1]]], kinds[4]), pa.array([np.concatenate(parts).astype(np.int64).tobytes()], kinds[5]))
         columns = [[comp], [lo], [hi], [frag], *told, [width], [found.astype(f"<u{width}").tobytes()]]
         yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
@@ -342,19 +363,20 @@ def summing(num: int, den: int, pairs: bool) -> Callable:
     return run
 
 
-def blocks(members: DataFrame, num: int, den: int) -> DataFrame:
-    """The members with their block and, a row each, the blocks that they are held against.
+def blocks(members: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The members with their block; and (comp, block, other) of the blocks that are held against each other.
 
     Groups of more than a block's sets are cut by size, so that links lie within a class or between neighbours, and by hash.
     """
     width = F.log(F.lit(1.01 * den / num))  # a little over the ratio of sizes, so that no rounding sets linked sizes two classes apart
     sized = members.withColumn("cls", F.when(F.col("k") <= BLOCK, F.lit(0).cast("long")).otherwise(F.floor(F.log(F.col("n").cast("double")) / width)))
-    ladder = sized.groupBy("comp", "cls").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).groupBy("comp").agg(F.collect_list(F.struct("cls", "parts")).alias("ladder"))
+    ladder = sized.groupBy("comp", "cls").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     named = lambda cls, part: F.shiftleft(cls, 32) + part
-    own = F.filter("ladder", lambda x: x["cls"] == F.col("cls"))[0]["parts"]
-    near = F.filter("ladder", lambda x: F.abs(x["cls"] - F.col("cls")) <= 1)
-    other = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["parts"] - 1), lambda b: named(x["cls"], b))))
-    return sized.join(ladder, "comp").select("comp", "node", "n", "c", named(F.col("cls"), F.pmod(F.xxhash64("node"), own)).alias("block"), F.explode(other).alias("other"))
+    own = sized.join(ladder, ["comp", "cls"]).select("comp", "node", "n", "c", named(F.col("cls"), F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
+    there = ladder.select("comp", "cls", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    near = ladder.select("comp", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)).alias("cls"), F.col("cls").alias("o_cls"), F.col("parts").alias("o_parts"))
+    pairs = there.join(near, ["comp", "cls"]).withColumn("o_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("o_parts") - 1)))
+    return own, pairs.select("comp", named(F.col("cls"), F.col("part")).alias("block"), named(F.col("o_cls"), F.col("o_part")).alias("other"))
 
 
 def similar(docs: DataFrame, n: int, num: int, den: int, pairs: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -366,7 +388,7 @@ def similar(docs: DataFrame, n: int, num: int, den: int, pairs: bool = False) ->
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = named_rows(docs, ("text",), "text")
-    parcels = texts.mapInArrow(signing(n, num, den, max(FRAGMENTS, 2 * partitions)), ROWS).repartition(partitions, "frag").sortWithinPartitions("frag")
+    parcels = texts.mapInArrow(signing(n, num, den, max(FRAGMENTS, 2 * partitions, docs.count() // A_FRAGMENT)), ROWS).repartition(partitions, "frag").sortWithinPartitions("frag")
     signed = stored(parcels.mapInArrow(tying, SIGNED), f"{folder}/signed")
     rows = signed.where("n is not null").drop("a", "b")
     groups = components(signed.where("a is not null").select("a", "b"), f"{folder}/groups")
@@ -378,9 +400,11 @@ def similar(docs: DataFrame, n: int, num: int, den: int, pairs: bool = False) ->
     members = stored(met.join(sizes, "comp"), f"{folder}/members")
     owned = matching(texts, members, members.count(), "left_semi")
     cut = owned.select("text").mapInArrow(cutting(n), "node binary, segments array<binary>")
-    dealt = blocks(members, num, den).join(cut, "node").select("comp", "block", "node", "n", "c", "other", F.posexplode("segments").alias("frag", "segment"))
-    keyed = dealt.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "frag", "block", "node", "n", "c", "segment")
-    laid = keyed.repartition("comp", "lo", "hi", "frag").sortWithinPartitions("comp", "lo", "hi", "frag", "block", "node")
+    own, against = blocks(members, num, den)
+    dealt = own.join(cut, "node").select("comp", "block", "node", "n", "c", F.posexplode("segments").alias("frag", "segment"))
+    packed = dealt.repartition("comp", "block", "frag").sortWithinPartitions("comp", "block", "frag", "node").mapInArrow(packing, PACKED)
+    keyed = packed.join(against, ["comp", "block"]).select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "frag", "block", "nodes", "facts", "segments")
+    laid = keyed.repartition("comp", "lo", "hi", "frag").sortWithinPartitions("comp", "lo", "hi", "frag", "block")
     counts = laid.mapInArrow(counting, COUNTED).repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "frag")
     found = counts.mapInArrow(summing(num, den, pairs), "a binary, b binary" if pairs else "node binary, linked bigint, to binary")
     return rows, stored(found, f"{folder}/found")
@@ -418,7 +442,7 @@ def links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tuple[D
 
 
 def op5_ngram_jaccard(spark, sf_dir) -> DataFrame:
-    """The whole documents table, as joined gives it."""
+    """The whole documents table, as joined gives it; see there for nulls, repeated rows and empty tables."""
     return joined(table(spark, sf_dir, "documents"))
 
 
