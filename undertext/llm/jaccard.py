@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertext.llm.common import NAME, matching, named_rows, shared_folder, stored, table
+from undertext.llm.common import NAME, discard, matching, named_rows, shared_folder, stored, table
 
 #: Fragments for which overlaps are counted apart.
 PARTS = 4
@@ -242,8 +242,10 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         spread = labels.join(near, "node").select("node", "comp", F.least("comp", "m").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("comp").alias("up"))
         new = stored(spread.join(jump, "to").select("node", F.least("to", "up").alias("comp"), (F.least("to", "up") < F.col("comp")).alias("moved")), f"{folder}/labels{i}")
+        discard(links.sparkSession, f"{folder}/labels{i - 1}")
         labels = new.select("node", "comp")
         if new.where("moved").isEmpty():
+            discard(links.sparkSession, f"{folder}/edges")
             return labels
     raise RuntimeError("components did not settle")
 
@@ -407,7 +409,10 @@ def similar(docs: DataFrame, n: int, num: int, den: int, pairs: bool = False) ->
     laid = keyed.repartition("comp", "lo", "hi", "frag").sortWithinPartitions("comp", "lo", "hi", "frag", "block")
     counts = laid.mapInArrow(counting, COUNTED).repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "frag")
     found = counts.mapInArrow(summing(num, den, pairs), "a binary, b binary" if pairs else "node binary, linked bigint, to binary")
-    return rows, stored(found, f"{folder}/found")
+    written = stored(found, f"{folder}/found")
+    for name in ("groups", "met", "members"):
+        discard(spark, f"{folder}/{name}")
+    return rows, written
 
 
 def in_components(rows: DataFrame, found: DataFrame, folder: str) -> DataFrame:

@@ -20,10 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undertext.llm.common import table
-from undertext.llm.tokens import PLAIN, REMEMBERED, library, special_strings
+from undertext.llm.tokens import PLAIN, REMEMBERED, library, require, special_strings
 
 #: The pre-token pattern of the published vocabulary, over the lower-cased characters of PLAIN.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+#: The settings of files with that pattern.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [SPLIT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 LIMIT = 2048
 NONE = np.iinfo(np.int64).max
 
@@ -93,6 +97,7 @@ class TokenCounter:
 
     def __init__(self, path: str):
         self.tokenizer, self.table = library(path), MergeTable(path)
+        require(path, self.tokenizer, normalizer=NORMALIZER, pre_tokenizer=PRE_TOKENIZER)
         self.special = special_strings(self.tokenizer)
         self.known: dict[str, int] = {}
 
@@ -140,7 +145,7 @@ def counting(path: str, limit: int):
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row of docs (doc_id, text).
 
-    path: a byte-level BPE vocabulary file with word ends. Null text is empty and has no tokens; special strings in a
+    path: a byte-level BPE vocabulary file with word ends, whose texts are split as WORDS does; others raise. Null text is empty and has no tokens; special strings in a
     text are one token each; repeated rows and null ids are counted like others; an empty table gives no rows.
     """
     if path is None:
@@ -152,4 +157,5 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
 
 
 def op4_token_counts(spark, sf_dir) -> DataFrame:
+    """The whole documents table, as token_counts gives it; see there for nulls, repeated rows and empty tables."""
     return token_counts(table(spark, sf_dir, "documents"))

@@ -9,6 +9,7 @@ space, texts with a special string and texts with U+0000 go through the library
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import chain
@@ -22,6 +23,8 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: The byte-level pre-token pattern of the published vocabulary, over the characters of PLAIN.
 BYTE_LEVEL = re.compile(r"'(?:[st]|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
+#: Fixed value: the setting of files with that pattern.
+BYTE_LEVEL_SETTING = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 #: A space that need not begin a pre-token.
 INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
 #: What any text with an inner space contains; looking for these first is quicker.
@@ -48,6 +51,14 @@ def library(path: str):
     return _open[path]
 
 
+def require(path: str, tokenizer, **parts) -> None:
+    """Raises where a tokenizer's normalizer or pre_tokenizer isn't the one that is split by here."""
+    for name, wanted in parts.items():
+        part = getattr(tokenizer, name)
+        if (part and json.loads(part.__getstate__())) != wanted:
+            raise ValueError(f"{path}: texts are not split as by its {name}")
+
+
 def special_strings(tokenizer) -> re.Pattern | None:
     found = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
     return re.compile("|".join(sorted(found, key=len, reverse=True))) if found else None
@@ -70,6 +81,7 @@ class ByteLevelEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = library(path)
+        require(path, self.tokenizer, normalizer=None, pre_tokenizer=BYTE_LEVEL_SETTING)
         self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.special = special_strings(self.tokenizer)

@@ -269,6 +269,7 @@ def token_store(spark: SparkSession, docs: DataFrame, path: str | None = None, e
 
 
 def op10_token_store(spark, sf_dir) -> DataFrame:
+    """The whole documents table, as token_store gives it; see there for nulls, repeated rows and empty tables."""
     return token_store(spark, table(spark, sf_dir, "documents"))
 
 

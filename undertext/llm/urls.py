@@ -52,23 +52,25 @@ def evaluated(captures: DataFrame, log: DataFrame) -> DataFrame:
     n_entries counts the intervals that hold; categories are theirs, distinct, sorted and comma-joined (else empty);
     entry is the longest of their domains, the least of equals (else null). A null or hostless url and a null day
     are never blocked. Repeated captures are each returned; empty captures or lists give empty rows or no blocks.
+    Columns of captures that are named like a result are carried as in_host and so on; other names don't matter.
     """
-    own = [c for c in captures.columns if c not in ("host", "blocked", "n_entries", "categories", "entry")]
-    hosted = captures.select(*own, host_of(F.col("url")).alias("host"))
-    asked = hosted.where("host is not null and fetched_day is not null").select("host", "fetched_day").distinct()
-    asked = asked.withColumn("domain", F.explode(domains_above(F.col("host")))).withColumn("bucket", F.floor(F.col("fetched_day") / BUCKET_DAYS))
-    end = F.lit(asked.agg(F.max("fetched_day")).first()[0]).cast("long") + 1  # of all that is asked
+    results = ("host", "blocked", "n_entries", "categories", "entry")
+    hosted = captures.select(F.struct("*").alias("row"), host_of(F.col("url")).alias("host"), F.col("fetched_day").alias("day"))
+    asked = hosted.where("host is not null and day is not null").select("host", "day").distinct()
+    asked = asked.withColumn("domain", F.explode(domains_above(F.col("host")))).withColumn("bucket", F.floor(F.col("day") / BUCKET_DAYS))
+    end = F.lit(asked.agg(F.max("day")).first()[0]).cast("long") + 1  # of all that is asked
     held = intervals(log).where(F.col("since") < end)
     until = F.least(F.coalesce(F.col("until"), end), end)
     spans = held.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("since") / BUCKET_DAYS), F.floor((until - 1) / BUCKET_DAYS)))).select("domain", "bucket", "category", "since", "until")
-    valid = (F.col("since") <= F.col("fetched_day")) & (F.col("until").isNull() | (F.col("fetched_day") < F.col("until")))
+    valid = (F.col("since") <= F.col("day")) & (F.col("until").isNull() | (F.col("day") < F.col("until")))
     met = asked.join(spans, ["domain", "bucket"]).where(valid)
-    found = met.groupBy(F.col("host").alias("_host"), F.col("fetched_day").alias("_day")).agg(
+    found = met.groupBy(F.col("host").alias("f_host"), F.col("day").alias("f_day")).agg(
         F.count(F.lit(1)).alias("n_entries"),
         F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"),
         F.min_by("domain", F.struct(-F.length("domain"), "domain")).alias("entry"),
     )
-    return hosted.join(found, (F.col("host") == F.col("_host")) & (F.col("fetched_day") == F.col("_day")), "left").select(
+    own = [F.col("row").getField(c).alias(f"in_{c}" if c in results else c) for c in captures.columns]
+    return hosted.join(found, (F.col("host") == F.col("f_host")) & (F.col("day") == F.col("f_day")), "left").select(
         *own, "host", F.col("n_entries").isNotNull().alias("blocked"), F.coalesce("n_entries", F.lit(0)).alias("n_entries"), F.coalesce("categories", F.lit("")).alias("categories"), "entry"
     )
 
@@ -94,6 +96,7 @@ def log_of_hosts(pages: DataFrame) -> DataFrame:
 
 
 def op8_url_filters(spark, sf_dir) -> DataFrame:
+    """The whole pages table against the derived lists, as evaluated gives it; see there for nulls, repeated rows and empty tables."""
     pages = table(spark, sf_dir, "pages")
     return evaluated(dated_captures(pages), log_of_hosts(pages))
 

@@ -142,13 +142,18 @@ def warc_bytes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def archived(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) as read back from an archive of pages."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) as read back from an archive of pages.
+
+    A row each row of pages, repeated ones too; nulls and empty tables as write_archive has them; payloads of any length
+    are whole; other columns are left out.
+    """
     spark, folder = pages.sparkSession, shared_folder(pages.sparkSession)
     write_archive(pages, folder, least)
     return records(spark, folder).mapInArrow(read_records, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def op9_warc_archive(spark, sf_dir) -> DataFrame:
+    """The whole pages table, as archived gives it."""
     return archived(table(spark, sf_dir, "pages"))
 
 
