@@ -43,7 +43,8 @@ def in_force(asked: DataFrame, told: DataFrame, seconds: int = 86_400) -> DataFr
     key is many groups.
     """
     bin_ = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (seconds * 1_000_000))
-    both = told.where("key is not null and on is not null").select("id", "key", "ts", F.lit(0).alias("kind"), "on").unionByName(asked.select("id", "key", "ts", F.lit(1).alias("kind"), F.lit(None).cast("boolean").alias("on")))
+    nobody = asked.where("key is null").select("id", "key", "ts", F.lit(True).alias("active"))  # answered without a group
+    both = told.where("key is not null and on is not null").select("id", "key", "ts", F.lit(0).alias("kind"), "on").unionByName(asked.where("key is not null").select("id", "key", "ts", F.lit(1).alias("kind"), F.lit(None).cast("boolean").alias("on")))
     both = both.withColumn("bin", bin_)
     within = Window.partitionBy("key", "bin").orderBy("ts", "kind", "id")
     last = both.where("kind = 0").groupBy("key", "bin").agg(F.max_by("on", F.struct("ts", "id")).alias("carried"))
@@ -52,7 +53,7 @@ def in_force(asked: DataFrame, told: DataFrame, seconds: int = 86_400) -> DataFr
     before = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     carried = bins.join(last, ["key", "bin"], "left").withColumn("from_before", F.last("carried", ignorenulls=True).over(before)).select("key", "bin", "from_before")
     own = both.withColumn("own", F.last("on", ignorenulls=True).over(within)).where("kind = 1")
-    return own.join(carried, ["key", "bin"], "left").select("id", "key", "ts", F.coalesce("own", "from_before", F.lit(True)).alias("active"))
+    return own.join(carried, ["key", "bin"], "left").select("id", "key", "ts", F.coalesce("own", "from_before", F.lit(True)).alias("active")).unionByName(nobody)
 
 
 def overlaid(defaults: DataFrame, stored: DataFrame) -> DataFrame:
