@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from undertext.functions import attributes, numbers
-from undertext.operators import layout, reports, sites, uploads
+from undertext.operators import layout, packages, reports, sites, uploads
 from undertext.streaming import guard
 
 CLASSES = {
@@ -13,6 +13,8 @@ CLASSES = {
     "run_attributes": {"hidden": {True, False, None}},
     "session_verdicts": {"verdict": {"clean", "infected", "unscannable"}},
     "notes_bodies": {"slide_no": {1, 2}},
+    "package_limits": {"stopped": {True, False}},
+    "crash_flush": {"verdict": {"clean", "infected", "unscannable", "error"}},
 }
 
 
@@ -100,3 +102,27 @@ def test_blocked_uploads_of_a_stream(spark, tmp_path):
     told = files.withColumn("verdict", F.when(F.col("name").contains(".pdf"), "infected").otherwise("clean")).withColumn("ts", F.lit(1))
     guard.block_marks(told).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination(60)
     assert sorted((r.name, r.size) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("bad.pdf", 5), ("upload.pdf", 604)]
+
+
+def test_parts_are_read_up_to_the_limits(spark):
+    mb = 1 << 20
+    sizes = {1: [100 * mb, 100 * mb, 1, 5], 2: [100 * mb + 1, 1], 3: [None, 99 * mb, None, 99 * mb, 2 * mb, None], 4: [], 5: [0, 200 * mb]}
+    rows = [(f, i, f"p{i}", x) for f, xs in sizes.items() for i, x in enumerate(xs)]
+    got = {}
+    for r in packages.read_parts(spark.createDataFrame(rows, "file_id int, read_ord int, path string, size long")).collect():
+        got.setdefault(r.file_id, {})[r.read_ord] = r.stopped
+    assert got == {1: {0: False, 1: False, 2: True}, 2: {0: True}, 3: dict.fromkeys(range(6), False), 5: {0: False, 1: True}}
+
+
+def test_changes_of_site_lists(spark):
+    rows = [("u", "a", 1, 1, "add"), ("u", "a", 2, 2, "add"), ("u", "b", 1, 3, "add"), ("u", "b", 5, 4, "remove"), ("u", "c", 1, 5, "add"), ("u", "c", 5, 6, "remove"), ("u", "c", 5, 7, "add"), ("u", "c", 9, 8, "add"), ("v", "a", 3, 9, "remove"), (None, "a", 1, 10, "add"), ("v", None, 1, 11, "add"), (None, "d", 1, 12, "add"), (None, "d", 1, 13, "remove")]
+    changes = spark.createDataFrame(rows, "owner string, host string, ts int, id int, action string")
+    assert {tuple(r) for r in sites.after_changes(changes).collect()} == {("u", "a", 1), ("u", "c", 7), (None, "a", 10)}
+
+
+def test_crashes_flush_what_was_not_told(spark):
+    at = lambda s: None if s is None else AT + datetime.timedelta(seconds=s)
+    rows = [(1, "a", 0, 5, "infected"), (2, "a", 0, 50, "infected"), (3, "a", 11, 50, "infected"), (4, "a", 0, None, None), (5, "a", 11, None, None), (6, "b", 0, 99, "error"), (7, "a", 10, 12, "infected"), (8, "a", 0, 10, "infected"), (9, None, 0, None, None)]
+    requests = spark.createDataFrame([(i, s, at(a), at(t), v) for i, s, a, t, v in rows], "id int, session string, asked timestamp, told timestamp, verdict string")
+    crashes = spark.createDataFrame([("a", at(10)), ("a", at(10)), ("c", at(0)), (None, at(1))], "session string, at timestamp")
+    assert {r.id: r.verdict for r in guard.flushed(requests, crashes).collect()} == {1: "infected", 2: "error", 3: "infected", 4: "error", 5: "clean", 6: "error", 7: "error", 8: "infected", 9: "clean"}

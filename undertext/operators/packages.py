@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 LISTING, LISTING_FOLDER = "ppt/presentation.xml", "ppt"
 NOTES = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/notesSlide"
 
+# The most declared bytes of one part and of all that are read of a package.
+MOST_PART, MOST_PACKAGE = 100 << 20, 200 << 20
+
 
 def resolved(folder: Column, target: Column) -> Column:
     """The path of a relationship's target, from the folder of its source; steps up beyond the root stay there."""
@@ -43,3 +46,17 @@ def slides(listed: DataFrame, rels: DataFrame, parts: DataFrame) -> DataFrame:
     notes = known.where(F.col("type") == NOTES).groupBy("file_id", F.col("source").alias("path")).agg(F.min_by("target", F.struct("place", "rel_id")).alias("target"))
     noted = notes.withColumn("notes", resolved(folder_of(F.col("path")), F.col("target"))).join(there, of("notes"), "left_semi").select("file_id", "path", F.col("notes").alias("notes_path"))
     return numbered.join(noted, ["file_id", "path"], "left").select("file_id", "slide_no", "path", "notes_path")
+
+
+def read_parts(parts: DataFrame) -> DataFrame:
+    """(file_id, read_ord, path, total, stopped) of the parts of packages (file_id, read_ord, path, size) that are read, in order of read_ord.
+
+    total: bytes declared so far. Reading stops at the first part that is too large, or with which all are; it has
+    stopped true, and what would come later is left out. A null size counts as nothing. A package has some thousand
+    parts at most, so its order is one group.
+    """
+    own = Window.partitionBy("file_id").orderBy("read_ord", "path")
+    so_far = parts.withColumn("total", F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    over = F.coalesce(F.col("size") > MOST_PART, F.lit(False)) | (F.coalesce("size", F.lit(0)) > 0) & (F.col("total") > MOST_PACKAGE)
+    marked = so_far.withColumn("stopped", over).withColumn("_before", F.max("stopped").over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    return marked.where("not coalesce(_before, false)").select("file_id", "read_ord", "path", "total", "stopped")

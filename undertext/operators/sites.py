@@ -76,3 +76,15 @@ def gate_state(stored: DataFrame) -> tuple[bool, dict[str, bool]]:
     found = {r.key: r.value for r in stored.where("key in ('paused', 'sites')").groupBy("key").agg(F.max("value").alias("value")).collect()}
     row = stored.sparkSession.createDataFrame([(found.get("sites"),)], "v string").select(F.from_json("v", "map<string,boolean>").alias("m")).first()
     return found.get("paused") == "true", dict(row.m or {})
+
+
+def after_changes(changes: DataFrame) -> DataFrame:
+    """(owner, host, place) of the custom sites that owners have after changes (owner, host, ts, id, action add or remove), place being the id of the change that put it there.
+
+    Adding what is there changes nothing; what was removed and added again stands where it was added last. Of equal
+    times the larger id is later.
+    """
+    when = F.struct("ts", "id")
+    last = changes.where("action = 'remove' and host is not null").groupBy(F.col("owner").alias("o"), F.col("host").alias("h")).agg(F.max(when).alias("gone"))
+    added = changes.where("action = 'add' and host is not null").join(last, F.col("owner").eqNullSafe(F.col("o")) & (F.col("host") == F.col("h")), "left").where(F.col("gone").isNull() | (when > F.col("gone")))
+    return added.groupBy("owner", "host").agg(F.min_by("id", when).alias("place"))

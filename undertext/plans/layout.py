@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from undertext.functions import attributes, numbers
 from undertext.functions.lexicon import PHRASES, dialect
-from undertext.operators import layout, reports, run_layers
+from undertext.operators import layout, packages, reports, run_layers, sites
 from undertext.plans import files, pages
 from undertext.plans import queries as base
 from undertext.plans.queries import RUNS, _t, q, runs
@@ -105,7 +105,31 @@ def history_entries(spark, sf_dir):
     return reports.entries(told, threats, ["line_no", "col"]).select("doc_id", "verdict", "layer", "location.line", "location.col")
 
 
-QUERIES = {f.__name__: f for f in (page_boxes, pdf_extra_keywords, run_attributes, painted_luminance, notes_bodies, session_verdicts, answered_files, history_entries)}
+def package_limits(spark, sf_dir):
+    """Every document's package declares up to nine parts of up to 120 MB."""
+    k = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), (F.col("doc_id") % 9 + 1).cast("int"))).alias("read_ord"))
+    size = F.when((F.col("doc_id") + F.col("read_ord")) % 7 != 0, (F.col("doc_id") * 31 + F.col("read_ord") * 17) % 120 * 1_000_000)
+    return packages.read_parts(k.select(F.col("doc_id").alias("file_id"), "read_ord", F.concat(F.lit("p"), F.col("read_ord").cast("string")).alias("path"), size.alias("size"))).withColumnRenamed("file_id", "doc_id")
+
+
+def custom_sites(spark, sf_dir):
+    """Signups add a host to a user's list and errors remove one."""
+    events = _t(spark, sf_dir, "events").where("event_type in ('signup', 'error')")
+    host = F.concat(F.lit("h"), F.floor(F.col("value") % 3).cast("int").cast("string"), F.lit(".example.org"))
+    changes = events.select(F.col("user_id").alias("owner"), host.alias("host"), "ts", F.col("event_id").alias("id"), F.when(F.col("event_type") == "signup", "add").otherwise("remove").alias("action"))
+    return sites.after_changes(changes)
+
+
+def crash_flush(spark, sf_dir):
+    """Clicks ask; answers take up to 50,000 seconds or never come; a user's errors are crashes."""
+    e = _t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    told = F.when(F.col("event_id") % 7 != 0, F.timestamp_micros(F.unix_micros("ts") + F.col("event_id") * 7919 % 50_000 * 1_000_000))
+    verdict = F.when(told.isNotNull(), F.when(F.col("value") > 30, "infected").otherwise("unscannable"))
+    asked = e.where("event_type = 'click'").select(F.col("event_id").alias("id"), F.col("user_id").alias("session"), F.col("ts").alias("asked"), told.alias("told"), verdict.alias("verdict"))
+    return guard.flushed(asked, e.where("event_type = 'error'").select(F.col("user_id").alias("session"), F.col("ts").alias("at")))
+
+
+QUERIES = {f.__name__: f for f in (package_limits, custom_sites, crash_flush, page_boxes, pdf_extra_keywords, run_attributes, painted_luminance, notes_bodies, session_verdicts, answered_files, history_entries)}
 
 _S = f"""(SELECT doc_id, (para_no - 1) // {A_PAGE} + 1 AS page_no, (para_no - 1) * 100000 + run_no AS op_index, CAST(run_no % 14 * 60 - 60 AS DOUBLE) AS x0, CAST({A_PAGE * STEP} - (para_no - 1) % {A_PAGE} * {STEP} - 40 AS DOUBLE) AS y0 FROM {RUNS})"""
 _B = f"(SELECT *, x0 + 50 AS x1, y0 + 10 AS y1, CASE page_no % 2 WHEN 1 THEN 595.0 ELSE 180.0 END AS w, CASE page_no % 2 WHEN 1 THEN 842.0 ELSE 200.0 END AS h FROM {_S} WHERE page_no <> 3)"
@@ -114,6 +138,13 @@ _LIST = lambda values: "([" + ", ".join("NULL" if v is None else q(v) for v in v
 _FIRST = "SELECT event_id AS s, value, ts, arg_min(nonce, (late, nonce)) AS nonce FROM events e LEFT JOIN (SELECT event_id, 'n' || event_id AS nonce, event_id % 6 AS late FROM events WHERE event_id % 4 <> 0 UNION ALL SELECT event_id, 'm' || event_id, event_id % 3 FROM events WHERE event_id % 5 = 0) h USING (event_id) WHERE late IS NULL OR late <= 3 GROUP BY 1, 2, 3"
 
 SQL = {
+    "package_limits": f"""SELECT doc_id, CAST(k AS INT) AS read_ord, 'p' || k AS path, CAST(total AS BIGINT) AS total, stopped FROM (SELECT *, coalesce(bool_or(stopped) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS past FROM (
+      SELECT *, coalesce(size > 104857600, false) OR (coalesce(size, 0) > 0 AND total > 209715200) AS stopped FROM (SELECT *, coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY k), 0) AS total FROM (
+        SELECT doc_id, k, CASE WHEN (doc_id + k) % 7 <> 0 THEN (doc_id * 31 + k * 17) % 120 * 1000000 END AS size FROM {files._K.replace('doc_id % 5', 'doc_id % 9')})))) WHERE NOT past""",
+    "custom_sites": """WITH c AS (SELECT user_id AS owner, 'h' || CAST(floor(value % 3) AS INT) || '.example.org' AS host, ts, event_id AS id, event_type AS kind FROM events WHERE event_type IN ('signup', 'error'))
+      SELECT owner, host, arg_min(id, (ts, id)) AS place FROM c a WHERE kind = 'signup' AND NOT EXISTS (SELECT 1 FROM c r WHERE r.kind = 'error' AND r.owner = a.owner AND r.host = a.host AND (r.ts, r.id) > (a.ts, a.id)) GROUP BY 1, 2""",
+    "crash_flush": """SELECT c.event_id AS id, CASE WHEN min(e.ts) IS NOT NULL AND (c.event_id % 7 = 0 OR min(e.ts) < c.ts + to_seconds(c.event_id * 7919 % 50000)) THEN 'error' WHEN c.event_id % 7 = 0 THEN 'clean' WHEN c.value > 30 THEN 'infected' ELSE 'unscannable' END AS verdict
+      FROM events c LEFT JOIN events e ON e.event_type = 'error' AND e.user_id = c.user_id AND e.ts >= c.ts WHERE c.event_type = 'click' GROUP BY c.event_id, c.ts, c.value""",
     "page_boxes": f"SELECT doc_id, page_no, CAST(floor(y0 + 2 + 0.5) AS BIGINT) AS line_key, min(op_index) AS first_op, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) FILTER (x1 <= 0 OR y1 <= 0 OR x0 >= w OR y0 >= h) AS n_off, min(x0) < min(w) AND max(x1) > 0 AND min(y0) < min(h) AND max(y1) > 0 AS on_page FROM {_B} GROUP BY 1, 2, 3",
     "pdf_extra_keywords": "SELECT pattern, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN regexp_matches(direct, {q(dialect(p, False))}) THEN {q(p)}" for p in _ALL) + f" END AS pattern FROM {pages._joined(pages.SPANS, 'true', pages.ON_PAGE)} WHERE direct <> '') WHERE pattern IS NOT NULL GROUP BY 1",
     "run_attributes": f"""SELECT doc_id, CASE WHEN s = 'absent' THEN NULL WHEN s IS NULL THEN true ELSE s IN ('1', 'true', 'on') END AS hidden, round(CASE WHEN regexp_matches(z, '[mnp]') THEN floor(CASE trim(left(z, -2)) WHEN '' THEN 0.0 ELSE try_cast(trim(left(z, -2)) AS DOUBLE) END

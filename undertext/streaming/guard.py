@@ -5,7 +5,7 @@ All functions take streams as well as tables but for those that say otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Seconds until a session without greeting is let through, and a request without verdict.
@@ -44,3 +44,16 @@ def answer(verdict: Column, choice: Column) -> Column:
 def block_marks(files: DataFrame) -> DataFrame:
     """(name, type, size, verdict, ts) of those files that are stopped."""
     return files.where("verdict = 'infected'").select("name", "type", "size", "verdict", "ts")
+
+
+def flushed(requests: DataFrame, crashes: DataFrame) -> DataFrame:
+    """(id, verdict) of requests (id, session, asked, told, verdict): error where the session's worker crashes (session, at) before it tells, from the time that it was asked on; clean where it never tells. For tables.
+
+    A session's requests and crashes are one group, in order of time.
+    """
+    asked = requests.select("session", F.col("asked").alias("t"), F.struct("id", "told", "verdict").alias("r"), F.lit(None).cast("timestamp").alias("at"))
+    down = crashes.where("session is not null and at is not null").select("session", F.col("at").alias("t"), F.lit(None).cast(asked.schema["r"].dataType).alias("r"), "at")
+    following = Window.partitionBy("session").orderBy(F.col("t").desc(), F.col("at").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = asked.unionByName(down).withColumn("next", F.min("at").over(following)).where("r is not null")
+    dead = F.col("next").isNotNull() & (F.col("r.told").isNull() | (F.col("next") < F.col("r.told")))
+    return met.select("r.id", F.when(dead, "error").otherwise(F.coalesce("r.verdict", F.lit("clean"))).alias("verdict"))
