@@ -126,3 +126,9 @@ def test_crashes_flush_what_was_not_told(spark):
     requests = spark.createDataFrame([(i, s, at(a), at(t), v) for i, s, a, t, v in rows], "id int, session string, asked timestamp, told timestamp, verdict string")
     crashes = spark.createDataFrame([("a", at(10)), ("a", at(10)), ("c", at(0)), (None, at(1))], "session string, at timestamp")
     assert {r.id: r.verdict for r in guard.flushed(requests, crashes).collect()} == {1: "infected", 2: "error", 3: "infected", 4: "error", 5: "clean", 6: "error", 7: "error", 8: "infected", 9: "clean"}
+
+
+def test_settings_are_upserted(spark):
+    rows = [({"a": True, "b": False}, "a", False), ({"a": True}, "c", True), (None, "a", False), ({"a": True}, None, False), ({}, "x", None)]
+    df = spark.createDataFrame(rows, "m map<string,boolean>, h string, v boolean")
+    assert [r[0] for r in df.select(sites.upserted(F.col("m"), F.col("h"), F.col("v"))).collect()] == [{"a": False, "b": False}, {"a": True, "c": True}, {"a": False}, {"a": True}, {"x": None}]

@@ -78,6 +78,12 @@ def gate_state(stored: DataFrame) -> tuple[bool, dict[str, bool]]:
     return found.get("paused") == "true", dict(row.m or {})
 
 
+def upserted(settings: Column, host: Column, on: Column) -> Column:
+    """A map of settings with one host's set, whether it was there or not; a null map is empty, and a null host sets nothing."""
+    known = F.coalesce(settings, F.create_map().cast("map<string,boolean>"))
+    return F.when(host.isNull(), known).otherwise(F.map_concat(F.map_filter(known, lambda k, _: k != host), F.map_from_arrays(F.array(F.coalesce(host, F.lit(""))), F.array(on))))
+
+
 def after_changes(changes: DataFrame) -> DataFrame:
     """(owner, host, place) of the custom sites that owners have after changes (owner, host, ts, id, action add or remove), place being the id of the change that put it there.
 
