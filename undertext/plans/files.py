@@ -221,6 +221,7 @@ _LABEL = lambda key, names, otherwise: f"CASE {' '.join(f'WHEN {key} = {q(k)} TH
 _SPREAD = lambda values, by: f"([{', '.join('NULL' if v is None else q(v) for v in values)}])[(doc_id // {by}) % {len(values)} + 1]"
 _AT = lambda step: f"CASE WHEN (doc_id + {step}) % 4 <> 0 THEN doc_id % 50 + {step} END"
 _UP = lambda x, digits: f"floor({x} * {10**digits} + 0.5) / {10**digits}"
+_EVEN = lambda x, digits: f"CASE round_even({x}, {digits}) WHEN 0 THEN 0.0 ELSE round_even({x}, {digits}) END"  # noqa: E731  no negative zero
 _INK = lambda k: f"CAST(floor(255 * (1 - least(1.0, (run_no + {k}) % 17 / 16 + para_no % 3 / 4)) + 0.5) AS INT)"
 _RGB = lambda k: f"CASE (run_no + doc_id) % 4 WHEN 0 THEN CAST(255 - para_no % 5 * {k} AS INT) WHEN 1 THEN CAST(floor((run_no + doc_id) % 9 / 8 * 255 + 0.5) AS INT) WHEN 2 THEN {_INK(k)} ELSE 0 END"
 _HOSTS = f"(SELECT host, min(page_id) AS place FROM {pages._H} WHERE host IS NOT NULL GROUP BY 1)"
@@ -243,7 +244,7 @@ SQL = {
         WHEN 'zip' THEN '' ELSE coalesce({q(labels.LINE)} || ' ' || {_AT(3)} || ', ' || {q(labels.COLUMN)} || ' ' || {_AT(4)}, {q(labels.LINE)} || ' ' || {_AT(3)}) END, '') AS place,
       regexp_extract(path, '[^/\\\\]*$') AS name, strftime(make_timestamp(doc_id * 86399999000), '%d.%m %H:%M') AS shown_at, verdict = 'infected' AND doc_id % 3 = 0 AS expandable, verdict = 'error' AND coalesce(code, 'INTERNAL') IN ('CORRUPT', 'ENCRYPTED', 'OVERSIZED') AS noted
       FROM (SELECT doc_id, {_SPREAD(LAYER_NAMES, 1)} AS layer, {_SPREAD(CODES, 2)} AS code, {_SPREAD(tuple(labels.VERDICTS), 3)} AS verdict, {_SPREAD(KINDS, 1)} AS kind, {_SPREAD(PATHS, 1)} AS path FROM documents)""",
-    "rounded_numbers": f"SELECT l_orderkey, l_linenumber, {_UP('x', 2)} AS up2, round_even(x, 2) AS even2, {_UP('x', 0)} AS up0, round_even(x, 0) AS even0, round_even(x, 3) AS even3 FROM (SELECT l_orderkey, l_linenumber, CAST((l_orderkey % 4001 - 2000) / 16 AS DOUBLE) AS x FROM lineitem)",
+    "rounded_numbers": f"SELECT l_orderkey, l_linenumber, {_UP('x', 2)} AS up2, {_EVEN('x', 2)} AS even2, {_UP('x', 0)} AS up0, {_EVEN('x', 0)} AS even0, {_EVEN('x', 3)} AS even3 FROM (SELECT l_orderkey, l_linenumber, CAST((l_orderkey % 4001 - 2000) / 16 AS DOUBLE) AS x FROM lineitem)",
     "line_colours": f"""SELECT doc_id, para_no, arg_min(r, run_no) AS r, arg_min(g, run_no) AS g, arg_min(b, run_no) AS b, {_UP("min(sqrt((255.0 - r) * (255 - r) + (255 - g) * (255 - g) + (255 - b) * (255 - b)))", 2)} AS euclidean
       FROM (SELECT doc_id, para_no, run_no, {_RGB(0)} AS r, {_RGB(1)} AS g, {_RGB(2)} AS b FROM {RUNS}) GROUP BY 1, 2""",
     "canonical_threats": f"""SELECT doc_id, string_agg(t, chr(10) ORDER BY t) AS threats FROM (SELECT doc_id, 'zero_width|high|{{"codepoint":"' || codepoint || '","col":"' || col || '","line":"' || line_no || '"}}|' || CASE WHEN seen = '' THEN '' ELSE seen || ' ' END || '[' || codepoint || ']|'
