@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +91,14 @@ def without(docs: DataFrame, by: tuple[str, ...], names: DataFrame, folder: str)
     return matching(named_rows(docs, by, F.struct("*").alias("row")), gone, gone.count(), "left_anti").select("row.*")
 
 
+def free_memory() -> None:
+    """Gives memory that this process has freed back to the system; for the ends of tasks, as workers wait for others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def discard(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of written tables that nothing reads any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertext.llm.common import NAME, discard, matching, named_rows, shared_folder, stored, table
+from undertext.llm.common import NAME, discard, free_memory, matching, named_rows, shared_folder, stored, table
 
 #: Fragments for which overlaps are counted apart.
 PARTS = 4
@@ -34,7 +34,7 @@ BLOCK, WIDE = 1024, 4096
 #: Fragments by which runs are dealt: so many at least, twice the shuffle partitions, and one for so many documents.
 FRAGMENTS, A_FRAGMENT = 256, 10_000
 #: Runs that a task holds before it deals them, and texts that it reads at once.
-HELD, TEXTS = 1_000_000, 500
+HELD, TEXTS = 250_000, 500
 #: Bytes of text whose words are hashed at once.
 AT_ONCE = 1 << 20
 
@@ -196,6 +196,8 @@ def signing(n: int, num: int, den: int, fragments: int) -> Callable:
                     held, size = [], 0
         if size:
             yield parcels(held)
+        met, held = set(), []
+        free_memory()
 
     return run
 
@@ -231,6 +233,8 @@ def tying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sigs.append(sig)
     if keys:
         yield ties(keys, sigs)
+    keys, sigs = [], []
+    free_memory()
 
 
 def components(links: DataFrame, folder: str) -> DataFrame:
@@ -261,6 +265,7 @@ def cutting(n: int) -> Callable:
                 cut = [[s.tobytes() for s in np.split(g, np.searchsorted(g, edges))] for g in sets]
                 columns = [pa.array([fingerprint(g) for g in sets], pa.binary()), pa.array(cut, pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "segments"])
+        free_memory()
 
     return run
 

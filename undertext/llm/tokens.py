@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from undertext.llm.common import free_memory
+
 #: Pieces and texts made of these only are split here.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -90,7 +92,7 @@ class ByteLevelEncoder:
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.flat, self.begin, self.size = np.empty(0, dtype=self.kind), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        pa.default_memory_pool().release_unused()
+        free_memory()
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """An array of ids for each text; null is empty."""
