@@ -85,7 +85,7 @@ def crc_of_joined(first: int, second: int, length: int) -> int:
     return first ^ second
 
 
-def encode_into_pieces(path: str, end_id: int):
+def encode_into_pieces(path: str, end_id: int, forget: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         from pyspark import TaskContext
@@ -114,7 +114,8 @@ def encode_into_pieces(path: str, end_id: int):
                     out.append(("R", struct.pack(">IQ", part, row), doc_id, len(ids), merkle(digests), digests, None, None))
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
-        encode.forget()  # a worker goes on to other work with its memory free
+        if forget:
+            encode.forget()  # a worker goes on to other work with its memory free
 
     return run
 
@@ -143,14 +144,15 @@ def numbering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield of(1, kind=["M"], part=[part], root=[merkle(leaves)], n_tokens=[start], docs=[len(leaves)])
 
 
-def write_store(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
+def write_store(docs: DataFrame, path: str, end_id: int, folder: str, forget: bool = False) -> None:
     """Encodes every whole text of docs (doc_id, text) and writes chunks, recipes and manifest below folder.
 
     Null text is empty: it has the end id only. Rows with a null doc_id come first. Repeated rows and equal doc_ids keep
-    a recipe each, ordered by root. Other columns are left out. An empty table writes empty tables.
+    a recipe each, ordered by root. Other columns are left out. An empty table writes empty tables. forget: whether
+    workers drop the encoder's pre-tokens after each task, as between stages of other kinds; else the next task has them.
     """
     spark = docs.sparkSession
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode_into_pieces(path, end_id), PIECES)
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode_into_pieces(path, end_id, forget), PIECES)
     rest = [c.split()[0] for c in PIECES.split(", ")][2:]
     merged = made.groupBy("kind", "key").agg(*[F.first(c, ignorenulls=True).alias(c) for c in rest])
     merged.write.partitionBy("kind").parquet(f"{folder}/pieces")
@@ -257,14 +259,14 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     return gathered(recipes, manifest, bodies, "width", "body").mapInArrow(unpack, "doc_id bigint, start bigint, ids array<bigint>")
 
 
-def token_store(spark: SparkSession, docs: DataFrame, path: str | None = None, end_id: int = 2) -> DataFrame:
+def token_store(spark: SparkSession, docs: DataFrame, path: str | None = None, end_id: int = 2, forget: bool = False) -> DataFrame:
     """Writes docs (doc_id, text) with write_store into a new shared folder and gives read_digests of it: a row each row of docs."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     folder = shared_folder(spark)
-    write_store(docs, path, end_id, folder)
+    write_store(docs, path, end_id, folder, forget)
     return read_digests(spark, folder)
 
 
@@ -275,4 +277,4 @@ def op10_token_store(spark, sf_dir) -> DataFrame:
 
 def stage(spark, docs, sf_dir) -> DataFrame:
     """The documents' ids in a store, as read back from it."""
-    return token_store(spark, docs)
+    return token_store(spark, docs, forget=True)
