@@ -14,6 +14,7 @@ document's length and CRC-32 follow from those of its chunks.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -35,22 +36,31 @@ PIECES = "kind string, key binary, doc_id bigint, n_tokens bigint, root binary,
 _gear = np.random.default_rng(20).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of a non-empty id stream."""
+def cuts(ids: np.ndarray, ends: list[int]) -> list[list[int]]:
+    """Ends of the chunks of non-empty id streams that lie end to end; ends: where each stream ends.
+
+    The first sums of a stream hold ids of the one before it, but no chunk, unless it is the last, ends there: LEAST is above WINDOW.
+    """
     mixed = _gear[ids & 0xFFFF]
     rolling = mixed.copy()
     for k in range(1, min(WINDOW, len(ids))):
         rolling[k:] += mixed[:-k] << np.uint32(k)
-    found, last = [], 0
-    for end in (np.flatnonzero((rolling >> np.uint32(20)) & np.uint32(MASK) == 0) + 1).tolist() + [len(ids)]:
-        while end - last > MOST:
-            last += MOST
-            found.append(last)
-        if end - last >= LEAST or end == len(ids):
-            if end > last:
-                found.append(end)
-            last = end
-    return found
+    marks = np.flatnonzero((rolling >> np.uint32(20)) & np.uint32(MASK) == 0) + 1
+    until, marks = np.searchsorted(marks, ends, side="right").tolist(), marks.tolist()
+    out, last, at = [], 0, 0
+    for stop, upto in zip(ends, until):
+        found = []
+        for end in (*marks[at:upto], stop):
+            while end - last > MOST:
+                last += MOST
+                found.append(last)
+            if end - last >= LEAST or end == stop:
+                if end > last:
+                    found.append(end)
+                last = end
+        out.append(found)
+        at = upto
+    return out
 
 
 def merkle(digests: list[bytes]) -> bytes:
@@ -77,12 +87,19 @@ for _ in range(63):
     _powers.append(_times(_powers[-1], _powers[-1]))
 
 
-def crc_of_joined(first: int, second: int, length: int) -> int:
-    """CRC-32 of two joined byte strings; length: bytes of the second."""
+@functools.lru_cache(1 << 16)
+def _power(length: int) -> int:
+    """x to the 8 times length, modulo CRC-32's polynomial; chunks have few lengths."""
+    out = 0x80000000
     for k in range(length.bit_length()):
         if length >> k & 1:
-            first = _times(_powers[k], first)
-    return first ^ second
+            out = _times(_powers[k], out)
+    return out
+
+
+def crc_of_joined(first: int, second: int, length: int) -> int:
+    """CRC-32 of two joined byte strings; length: bytes of the second."""
+    return _times(_power(length), first) ^ second
 
 
 def encode_into_pieces(path: str, end_id: int, forget: bool):
@@ -100,19 +117,21 @@ def encode_into_pieces(path: str, end_id: int, forget: bool):
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 piece = batch.slice(at, TEXTS)
-                out = []
-                for doc_id, own in zip(piece["doc_id"].to_pylist(), encode(piece["text"])):
-                    ids = np.concatenate([own, tail])
-                    begin, digests = 0, []
-                    for end in cuts(ids):
-                        body = ids[begin:end].tobytes()
+                own = encode(piece["text"])
+                ids = np.concatenate([x for ids in own for x in (ids, tail)])
+                raw, width, begin, start, out = ids.tobytes(), encode.kind.itemsize, 0, 0, []
+                ends = np.cumsum([len(x) + 1 for x in own]).tolist()
+                for doc_id, stop, chunk_ends in zip(piece["doc_id"].to_pylist(), ends, cuts(ids, ends)):
+                    digests = []
+                    for end in chunk_ends:
+                        body = raw[begin * width : end * width]
                         digests.append(digest := hashlib.sha256(body).digest())
                         begin = end
                         if digest not in met:
                             met.add(digest)
-                            out.append(("C", digest, None, None, None, None, encode.kind.itemsize, press(body)))
-                    out.append(("R", struct.pack(">IQ", part, row), doc_id, len(ids), merkle(digests), digests, None, None))
-                    row += 1
+                            out.append(("C", digest, None, None, None, None, width, press(body)))
+                    out.append(("R", struct.pack(">IQ", part, row), doc_id, stop - start, merkle(digests), digests, None, None))
+                    row, start = row + 1, stop
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
         if forget:
             encode.forget()  # a worker goes on to other work with its memory free
@@ -188,20 +207,27 @@ def verified_starts(recipes: DataFrame, manifest: DataFrame) -> DataFrame:
     return both.withColumn("before", before).select("part", F.when(alike, F.col("before")).otherwise(wrong).alias("part_start"))
 
 
-def _opened(body: bytes, digest: bytes) -> bytes:
+def _opener():
+    """Gives a chunk's bytes, from its body and its name."""
     import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(body)
-    if hashlib.sha256(raw).digest() != digest:
-        raise ValueError(f"chunk {digest.hex()} does not have the content of its name")
-    return raw
+    unpress = zstandard.ZstdDecompressor().decompress
+
+    def opened(body: bytes, digest: bytes) -> bytes:
+        raw = unpress(body)
+        if hashlib.sha256(raw).digest() != digest:
+            raise ValueError(f"chunk {digest.hex()} does not have the content of its name")
+        return raw
+
+    return opened
 
 
 def check_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    opened = _opener()
     for batch in batches:
         crc, count = [], []
         for digest, width, body in zip(*[batch[c].to_pylist() for c in ("key", "width", "body")]):
-            ids = np.frombuffer(_opened(body, digest), dtype=f"<u{width}").astype("<u4")
+            ids = np.frombuffer(opened(body, digest), dtype=f"<u{width}").astype("<u4")
             crc.append(zlib.crc32(ids.tobytes()))
             count.append(len(ids))
         yield pa.RecordBatch.from_arrays([batch["key"], pa.array(crc, pa.int64()), pa.array(count, pa.int64())], names=["digest", "crc", "size"])
@@ -247,10 +273,11 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     chunks, recipes, manifest = _tables(spark, folder)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = _opener()
         for batch in batches:
             out = []
             for doc_id, root, n_tokens, digests, widths, bodies in zip(*[batch[c].to_pylist() for c in ("doc_id", "root", "n_tokens", "digests", "widths", "bodys")]):
-                ids = [None if b is None else np.frombuffer(_opened(b, d), dtype=f"<u{w}").astype(np.int64) for b, d, w in zip(bodies, digests, widths)]
+                ids = [None if b is None else np.frombuffer(opened(b, d), dtype=f"<u{w}").astype(np.int64) for b, d, w in zip(bodies, digests, widths)]
                 check_recipe(doc_id, root, n_tokens, digests, [None if x is None else len(x) for x in ids])
                 out.append(np.concatenate(ids))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["start"], pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
