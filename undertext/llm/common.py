@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +56,25 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/undertext-{uuid.uuid4().hex}"
 
 
+#: Bytes of rows that a worker gets in one Arrow batch, one row at least. By number of rows alone a task's whole share of
+#: texts is one batch, which the executor and the worker hold several times over.
+BATCH = 4 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Actions within send workers batches of BATCH bytes, unless the session has a size of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key, None) is None
+    if own:
+        spark.conf.set(key, str(BATCH))
+    try:
+        yield
+    finally:
+        if own:
+            spark.conf.unset(key)
+
+
 def stored(df: DataFrame, folder: str, *by: str) -> DataFrame:
     """df as a written table in a shared folder: lineage ends here, and a lost executor costs nothing before it."""
     writer = df.write.partitionBy(*by) if by else df.write

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertext.llm.common import NAME, discard, free_memory, matching, named_rows, shared_folder, stored, table
+from undertext.llm.common import NAME, discard, free_memory, matching, named_rows, shared_folder, small_batches, stored, table
 
 #: Fragments for which overlaps are counted apart.
 PARTS = 4
@@ -36,7 +36,7 @@ FRAGMENTS, A_FRAGMENT = 256, 10_000
 #: Runs that a task holds before it deals them, and texts that it reads at once.
 HELD, TEXTS = 250_000, 500
 #: Bytes of text whose words are hashed at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
 _rng = np.random.default_rng(5)
 _byte = _rng.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
@@ -178,7 +178,7 @@ def signing(n: int, num: int, den: int, fragments: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
-        held, size = [], 0
+        held, size, row = [], 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 piece = batch.slice(at, TEXTS)
@@ -189,7 +189,8 @@ def signing(n: int, num: int, den: int, fragments: int) -> Callable:
                 keys = np.array([key_of(nodes[i]) for i in fresh], dtype=np.int64)[of]
                 held.append((fragment(begin, num, den, fragments), keys, sig))
                 size += len(of)
-                spread = [-1 - (k * 7919 + at) % (1 << 20) for k in range(piece.num_rows)]
+                spread = [-1 - k * 7919 % (1 << 20) for k in range(row, row + piece.num_rows)]
+                row += piece.num_rows
                 yield filled(ROW_KINDS, piece.num_rows, frag=spread, doc_id=piece["doc_id"], h=piece["h"], h2=piece["h2"], n=[len(g) for g in sets], node=nodes, key=[x and key_of(x) for x in nodes])
                 if size >= HELD:
                     yield parcels(held)
@@ -396,7 +397,8 @@ def similar(docs: DataFrame, n: int, num: int, den: int, pairs: bool = False) ->
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = named_rows(docs, ("text",), "text")
     parcels = texts.mapInArrow(signing(n, num, den, max(FRAGMENTS, 2 * partitions, docs.count() // A_FRAGMENT)), ROWS).repartition(partitions, "frag").sortWithinPartitions("frag")
-    signed = stored(parcels.mapInArrow(tying, SIGNED), f"{folder}/signed")
+    with small_batches(spark):
+        signed = stored(parcels.mapInArrow(tying, SIGNED), f"{folder}/signed")
     rows = signed.where("n is not null").drop("a", "b")
     groups = components(signed.where("a is not null").select("a", "b"), f"{folder}/groups")
 
@@ -414,7 +416,8 @@ def similar(docs: DataFrame, n: int, num: int, den: int, pairs: bool = False) ->
     laid = keyed.repartition("comp", "lo", "hi", "frag").sortWithinPartitions("comp", "lo", "hi", "frag", "block")
     counts = laid.mapInArrow(counting, COUNTED).repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "frag")
     found = counts.mapInArrow(summing(num, den, pairs), "a binary, b binary" if pairs else "node binary, linked bigint, to binary")
-    written = stored(found, f"{folder}/found")
+    with small_batches(spark):
+        written = stored(found, f"{folder}/found")
     for name in ("groups", "met", "members"):
         discard(spark, f"{folder}/{name}")
     return rows, written

@@ -27,7 +27,7 @@ BYTE_LEVEL_SETTING = {"type": "ByteLevel", "add_prefix_space": False, "trim_offs
 SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 CHARACTERS = np.array([0, *(SHOWN.get(b, b) for b in range(1, 256))], dtype="<u4")  # 0, which no pre-token has, stands between them
 #: Bytes of text that are worked on at once, one text at least.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 20
 #: Beyond this number a worker forgets pre-tokens, at first those that only one batch had; only speed depends on it.
 REMEMBERED = 400_000
 #: Classes of the bytes of PLAIN: its letters beyond ASCII are C3 and a byte from 80 on, without the two signs 97 and B7.

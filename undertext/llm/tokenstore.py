@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from undertext.llm.common import shared_folder, table
+from undertext.llm.common import shared_folder, small_batches, stored, table
 
 WINDOW, MASK, LEAST, MOST = 4, 1023, 128, 8192
 DOCS_A_PART = 20_000
-#: Texts that are encoded at once.
-TEXTS = 2000
+#: Texts that are encoded at once, and chunks that are opened at once.
+TEXTS, CHUNKS = 500, 1000
 PIECES = "kind string, key binary, doc_id bigint, n_tokens bigint, root binary, chunks array<binary>, width int, body binary"
 
 _gear = np.random.default_rng(20).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
@@ -170,16 +170,16 @@ def write_store(docs: DataFrame, path: str, end_id: int, folder: str, forget: bo
     a recipe each, ordered by root. Other columns are left out. An empty table writes empty tables. forget: whether
     workers drop the encoder's pre-tokens after each task, as between stages of other kinds; else the next task has them.
     """
-    spark = docs.sparkSession
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode_into_pieces(path, end_id, forget), PIECES)
     rest = [c.split()[0] for c in PIECES.split(", ")][2:]
     merged = made.groupBy("kind", "key").agg(*[F.first(c, ignorenulls=True).alias(c) for c in rest])
-    merged.write.partitionBy("kind").parquet(f"{folder}/pieces")
-    recipes = spark.read.schema(merged.schema).parquet(f"{folder}/pieces").where("kind = 'R'").select("doc_id", "root", "key", "n_tokens", "chunks")
+    with small_batches(docs.sparkSession):
+        pieces = stored(merged, f"{folder}/pieces", "kind")
+    recipes = pieces.where("kind = 'R'").select("doc_id", "root", "key", "n_tokens", "chunks")
     parts = max(1, -(-recipes.count() // DOCS_A_PART))
     order = ["doc_id", "root", "key"]
     laid = recipes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(numbering, LAID)
-    laid.write.partitionBy("kind").parquet(f"{folder}/laid")
+    stored(laid, f"{folder}/laid", "kind")
 
 
 def _tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -224,11 +224,11 @@ def _opener():
 
 def check_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     opened = _opener()
-    for batch in batches:
+    for batch in (b.slice(at, CHUNKS) for b in batches for at in range(0, b.num_rows, CHUNKS)):
         crc, count = [], []
         for digest, width, body in zip(*[batch[c].to_pylist() for c in ("key", "width", "body")]):
             ids = np.frombuffer(opened(body, digest), dtype=f"<u{width}").astype("<u4")
-            crc.append(zlib.crc32(ids.tobytes()))
+            crc.append(zlib.crc32(ids))
             count.append(len(ids))
         yield pa.RecordBatch.from_arrays([batch["key"], pa.array(crc, pa.int64()), pa.array(count, pa.int64())], names=["digest", "crc", "size"])
 
