@@ -1,5 +1,6 @@
 import tracemalloc
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
@@ -62,3 +63,21 @@ def test_stores_are_written_and_sets_signed_in_small_batches(spark, tmp_path, mo
     seen.clear()
     assert jaccard.joined(docs).count() == 3
     assert seen[0] == str(common.BATCH) and seen.count(str(common.BATCH)) == 2
+
+
+def test_overlaps_of_two_whole_blocks_hold_little():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 6000, 100, dtype=np.uint64)) for _ in range(2 * jaccard.BLOCK)]
+    left, right = sets[: jaccard.BLOCK], sets[jaccard.BLOCK :]
+    out = []
+    assert held_at_most(lambda: out.append(jaccard.overlaps(left, right))) < 45
+    for i, j in ((0, 0), (5, 900), (1023, 1023)):
+        assert out[0][i, j] == len(np.intersect1d(left[i], right[j]))
+
+
+def test_workers_give_memory_back_after_comparing(monkeypatch):
+    freed = []
+    monkeypatch.setattr(jaccard, "free_memory", lambda: freed.append(1))
+    for work in (jaccard.packing, jaccard.counting, jaccard.summing(80, 100, False)):
+        assert list(work(iter(()))) == []
+    assert len(freed) == 3

@@ -30,7 +30,7 @@ from undertext.llm.common import NAME, discard, free_memory, matching, named_row
 #: Fragments for which overlaps are counted apart.
 PARTS = 4
 #: Sets in a block, and n-grams that are laid out for it at a time.
-BLOCK, WIDE = 1024, 4096
+BLOCK, WIDE = 1024, 1024
 #: Fragments by which runs are dealt: so many at least, twice the shuffle partitions, and one for so many documents.
 FRAGMENTS, A_FRAGMENT = 256, 10_000
 #: Runs that a task holds before it deals them, and texts that it reads at once.
@@ -309,6 +309,8 @@ def packing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for i, r in enumerate(rows) if not i or r[0] != rows[i - 1][0]]  # a row that occurs twice gives its set twice
         columns = [comp, block, frag, [r[0] for r in rows], np.array([r[1:3] for r in rows], dtype=np.int64).tobytes(), [r[3] for r in rows]]
         yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds)], names=names)
+    rows = columns = None
+    free_memory()
 
 
 COUNTED = "comp bigint, lo bigint, hi bigint, frag int, nodes array<binary>, facts binary, width int, overlaps binary"
@@ -329,6 +331,8 @@ def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             told = (pa.array([[x for r in whole.values() for x in r[1]]], kinds[4]), pa.array([np.concatenate(parts).astype(np.int64).tobytes()], kinds[5]))
         columns = [[comp], [lo], [hi], [frag], *told, [width], [found.astype(f"<u{width}").tobytes()]]
         yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+    x = y = found = sides = whole = parts = told = columns = None
+    free_memory()
 
 
 def least_reachable(yes: np.ndarray) -> np.ndarray:
@@ -367,6 +371,8 @@ def summing(num: int, den: int, pairs: bool) -> Callable:
             linked, to = whole @ c, least_reachable(whole)
             some = np.flatnonzero(linked).tolist()
             yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in some], pa.binary()), pa.array(linked[some], pa.int64()), pa.array([nodes[to[i]] for i in some], pa.binary())], names=["node", "linked", "to"])
+        rows = o = yes = whole = None
+        free_memory()
 
     return run
 
