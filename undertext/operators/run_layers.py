@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from undertext.functions.lexicon import dialect
 from undertext.functions.text import is_adversarial, trimmed
-from undertext.operators.covers import buried, cover_cells, met
+from undertext.operators.covers import buried, buried_by_few, by_number, cover_cells, met, on_pages_of
 
 
 def from_white(r, g, b):
@@ -106,12 +106,18 @@ def buried_lines(spans: DataFrame, covers: DataFrame, probed: DataFrame, page: t
     is painted after all its buried spans; a fill counts only on pages where probed (doc_id, page_no) says that nothing shows.
     """
     c = concealing(covers, page)
-    phrases = span_lines(buried(spans, c), F.lit(True))
-    visible = keyed_lines(spans).groupBy(*LINE).agg(touches(*page).alias("on_page")).where("on_page").select(*LINE)
+    few, many = by_number(c)
+    phrases = span_lines(buried_by_few(spans, few), F.lit(True)).union(span_lines(buried(on_pages_of(spans, many), many), F.lit(True)))
+    # A line is visible where its buried spans touch the page; they can only miss it below covers that reach beyond it.
+    touched = (F.col("x0") < page[0]) & (F.col("x1") > 0) & (F.col("y0") < page[1]) & (F.col("y1") > 0)
+    beyond = (F.col("cx0") < 0) | (F.col("cy0") < 0) | (F.col("cx1") > page[0]) | (F.col("cy1") > page[1])
+    shown = keyed_lines(on_pages_of(spans, c.where(beyond))).groupBy(*LINE).agg(touches(*page).alias("on_page")).where("on_page")
+    visible = phrases.join(shown, list(LINE), "left").where(touched | F.col("on_page")).drop("on_page")
     first = F.min(F.struct(F.when(F.col("kind") == "image", 0).otherwise(1).alias("rank"), "op", "kind")).alias("first")
-    covered = met(phrases.join(visible, list(LINE), "left_semi"), c, "last_op").groupBy(*LINE, "phrase").agg(first)
-    shapes = covered.where("first.kind <> 'image'").join(probed, ["doc_id", "page_no"], "left_semi")
-    return covered.where("first.kind = 'image'").union(shapes).select(*LINE, "phrase", F.when(F.col("first.kind") == "image", "image").otherwise("shape").alias("cover"), F.col("first.op").alias("cover_op"))
+    covered = met(visible, c, "last_op").groupBy(*LINE, "phrase").agg(first)
+    image, bare = F.col("first.kind") == "image", probed.select("doc_id", "page_no", F.lit(True).alias("bare")).distinct()
+    counted = covered.join(bare, ["doc_id", "page_no"], "left").where(image | F.col("bare"))
+    return counted.select(*LINE, "phrase", F.when(image, "image").otherwise("shape").alias("cover"), F.col("first.op").alias("cover_op"))
 
 
 def note_threats(notes: DataFrame, phrases, collapsed) -> DataFrame:
